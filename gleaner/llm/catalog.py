@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import byte_bpe, token_counts
+from gleaner.llm import byte_bpe, digests, language_id, token_counts
 from gleaner.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -21,8 +25,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_token_counts, op8_byte_bpe)}
+    return {f.__name__: f for f in (op2_digests, op6_token_counts, op8_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
