@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import byte_bpe, digests, language_id, token_counts
+from gleaner.llm import byte_bpe, digests, language_id, line_templates, packing, quality_rules, token_counts
 from gleaner.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,22 +17,34 @@ def op2_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.report(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_digests, op6_token_counts, op8_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op2_digests, op3_quality_rules, op6_token_counts, op7_line_templates, op8_byte_bpe, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality_rules.SQL, "op7_line_templates": line_templates.SQL}
