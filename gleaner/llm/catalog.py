@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import byte_bpe, digests, language_id, line_templates, packing, quality_rules, token_counts
+from gleaner.llm import byte_bpe, digests, language_id, line_templates, packing, quality_rules, token_counts, url_filters
 from gleaner.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_digests, op3_quality_rules, op6_token_counts, op7_line_templates, op8_byte_bpe, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_digests, op3_quality_rules, op6_token_counts, op7_line_templates, op8_byte_bpe, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op7_line_templates": line_templates.SQL}
+    return {"op1_url_filters": url_filters.sql(), "op3_quality_rules": quality_rules.SQL, "op7_line_templates": line_templates.SQL}
