@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import byte_bpe, context_tree, digests, language_id, line_templates, packing, quality_rules, token_counts, url_filters
+from gleaner.llm import byte_bpe, context_tree, digests, jaccard_join, language_id, line_templates, packing, quality_rules, token_counts, url_filters
 from gleaner.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,7 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filters, op2_digests, op3_quality_rules, op4_context_tree, op6_token_counts, op7_line_templates, op8_byte_bpe, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_digests, op3_quality_rules, op4_context_tree, op5_jaccard_join, op6_token_counts, op7_line_templates, op8_byte_bpe, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
