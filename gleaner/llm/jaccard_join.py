@@ -319,9 +319,14 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, of one document in each component: the first by doc_id; rows without words stay."""
-    table = join(docs)
-    keep = written(table.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__id")).distinct())
-    # repeated rows share a doc_id: of those with words, one stays
-    marked = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
-    return marked
+    """The rows of docs, with all their columns, of one document in each component: the first by doc_id.
+
+    Documents without words stay, as do those with a null doc_id; rows that repeat
+    doc_id and text stay once.
+    """
+    rows = join(docs).where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())
+    kept = written(rows.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
+    same = docs["doc_id"].eqNullSafe(kept["__id"])
+    once = docs.join(kept.where((F.col("__n") == 1) | F.col("__id").isNull()), same, "left_semi")
+    repeated = docs.join(kept.where((F.col("__n") > 1) & F.col("__id").isNotNull()), same, "left_semi")
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
