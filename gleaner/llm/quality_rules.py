@@ -26,7 +26,7 @@ from gleaner.llm.shared import written
 
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-LIMITS = {"max_docs": 20, "line_words": 40, "least_words": 20, "least_share": 0.2}
+LIMITS = {"max_docs": 20, "line_words": 40, "least_words": 5, "least_share": 0.2}
 
 
 def text_key(text: Column) -> Column:
@@ -123,6 +123,6 @@ j AS (SELECT m.*, coalesce(dl.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repe
       FROM m LEFT JOIN dl USING (r) LEFT JOIN rep USING (r) LEFT JOIN rm USING (r))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND words_left >= 20 AND words_left >= 0.2 * n_words AS kept
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND words_left >= 5 AND words_left >= 0.2 * n_words AS kept
 FROM j
 """
