@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďđēĕėęěğĩīĭįłńňōŏőŕřśşšťţũūŭůűųźżž"
 _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] if unicodedata.normalize("NFD", c)[0] != c else {"đ": "d", "ł": "l"}.get(c, c) for c in _ACCENTED)
@@ -17,7 +18,7 @@ def fold(x: Column) -> Column:
     return F.translate(x, _ACCENTED, _PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -92,6 +93,6 @@ def porter(w: str) -> str:
     return w[:-1] if _measure(w) > 1 and _double(w) and w.endswith("l") else w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem(terms: pd.Series) -> pd.Series:
     return terms.map(lambda t: None if t is None else porter(t))
