@@ -14,6 +14,11 @@ ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+def let(x: Column, f) -> Column:
+    """f of x, with x evaluated once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def trim_all(x: Column) -> Column:
     return F.regexp_replace(x, ENDS, "")
 
@@ -28,7 +33,8 @@ def collapse(x: Column) -> Column:
 
 def lines(x: Column) -> Column:
     """Lines without their ends; a last empty line doesn't count."""
-    return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(F.regexp_replace(x, r"\r\n", "\n"), r"\n\z", ""), "\n"))
+    split = lambda v: F.split(F.regexp_replace(F.replace(v, F.lit("\r\n"), F.lit("\n")), r"\n\z", ""), "\n")
+    return let(x, lambda v: F.when(v == "", F.array().cast("array<string>")).otherwise(split(v)))
 
 
 def first_line(x: Column) -> Column:
@@ -135,16 +141,19 @@ def note_summary(x: Column) -> Column:
 
 
 def rule_summary(content: Column, topic: Column | None = None) -> Column:
-    """The first rule that gives a summary; topic is an optional expression for plain text."""
+    """The first rule that gives a summary; topic is an optional expression for plain text, which may be a Python function."""
     x = trim_all(content)
     keys = F.when(x.contains("Accelerator") & x.contains("register"), F.lit("Keyboard shortcuts"))
-    rules = [error_summary(x), command_summary(x), code_summary(x), url_summary(x), build_summary(x), log_summary(x), keys, *([topic] if topic is not None else []), note_summary(x)]
-    return F.when(x == "", F.lit("Empty snippet")).otherwise(F.coalesce(*rules))
+    rules = let(x, lambda v: F.coalesce(error_summary(v), command_summary(v), code_summary(v), url_summary(v), build_summary(v), log_summary(v)))
+    return F.when(x == "", F.lit("Empty snippet")).otherwise(F.coalesce(rules, keys, *([topic] if topic is not None else []), let(x, note_summary)))
 
 
 def structure(x: Column) -> Column:
     """Terminal, Code, Table, List or Plain."""
-    rows = lines(x)
+    return let(lines(x), _structure_of)
+
+
+def _structure_of(rows: Column) -> Column:
     n = F.size(rows)
     share = lambda k: k / n
     commands = F.size(F.filter(rows, lambda v: v.rlike(fixed.COMMAND_LINE_PATTERN)))
@@ -343,9 +352,12 @@ def drop_ui_noise(x: Column) -> Column:
 
 
 def drop_fragments(x: Column) -> Column:
-    kept = _lines_where(x, lambda v: (v != "") & (v.rlike(r"[\p{L}\p{N}]") | (F.octet_length(v) >= 3)))
-    longest = trim_all(F.get(F.array_sort(lines(x), lambda a, b: F.octet_length(b) - F.octet_length(a)), 0))
-    return F.when((kept == "") & (x != ""), longest).otherwise(kept)
+    def cleaned(v: Column) -> Column:
+        kept = _lines_where(v, lambda line: (line != "") & (line.rlike(r"[\p{L}\p{N}]") | (F.octet_length(line) >= 3)))
+        longest = trim_all(F.get(F.array_sort(lines(v), lambda a, b: F.octet_length(b) - F.octet_length(a)), 0))
+        return let(kept, lambda k: F.when((k == "") & (v != ""), longest).otherwise(k))
+
+    return let(x, cleaned)
 
 
 def clean_balanced(x: Column) -> Column:
@@ -382,11 +394,11 @@ def leading_words(content: Column, n: int = 50) -> Column:
 
 
 def keyword_scores(content: Column) -> Column:
-    """category and score of each category with a keyword among the leading words, best first; ties by name."""
-    text = leading_words(content)
-    names = dict.fromkeys(c for _, c, _, _ in fixed.CATEGORY_KEYWORDS)
-    scores = [F.struct((-sum((F.when(text.contains(k), w).otherwise(0) for k, c, _, w in fixed.CATEGORY_KEYWORDS if c == name), F.lit(0))).alias("rank"), F.lit(name).alias("category")) for name in names]
-    return F.filter(F.array_sort(F.array(*scores)), lambda s: s.rank < 0)
+    """rank (negative sum of weights) and category of each category with a keyword among the leading words, best first; ties by name."""
+    rules = F.array(*(F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("category"), F.lit(w).alias("weight")) for k, c, _, w in fixed.CATEGORY_KEYWORDS))
+    total = lambda hits, name: F.aggregate(F.filter(hits, lambda h: h.category == name), F.lit(0), lambda s, h: s - h.weight)
+    rank = lambda hits: F.transform(F.array_distinct(F.transform(hits, lambda h: h.category)), lambda name: F.struct(total(hits, name).alias("rank"), name.alias("category")))
+    return let(leading_words(content), lambda t: let(F.filter(rules, lambda r: t.contains(r.keyword)), lambda hits: F.array_sort(rank(hits))))
 
 
 def keyword_category(content: Column) -> Column:
