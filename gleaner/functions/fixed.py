@@ -227,3 +227,16 @@ SEARCH_LIMIT = 10
 COSINE_FLOOR = 0.3
 CENTROID_MEMBERS, CENTROID_LEAST = 10_000, 2
 CLASSIFY_FLOOR, CLASSIFY_FLOOR_SCREENSHOT = 0.75, 0.65
+
+# Category names by keywords in the first 200 characters, in order of precedence.
+FALLBACK_LENGTH = 200
+FALLBACK_BUSINESS = (
+    ("case study", "Business Case Studies"), ("partnership", "Business Partnerships"), ("success story", "Business Success Stories"), ("testimonial", "Business Testimonials"), ("harnesses", "Business Content"),
+    ("transformed", "Business Transformation"), ("company", "Business Content"), ("firm", "Business Content"), ("corporation", "Business Content"),
+)
+FALLBACK_INDUSTRY = ((("aec", "architecture", "engineering"), "AEC Business Content"), (("construction",), "Construction Business Content"), (("marketing",), "Marketing Content"))
+FALLBACK_PRODUCT = ("joist", "ai")
+FALLBACK_PROPOSAL = (("aec", "proposal"), "AEC Proposal Management", "AI Business Tools")
+FALLBACK_TOPICS = ((("api", "documentation", "reference"), "Documentation"), (("code", "function", "class"), "Code Snippets"), (("news", "article", "breaking"), "News & Articles"))
+FALLBACK_TYPES = (("command", "Commands"), ("screenshot", "Screenshots"), ("text", "Text Content"))
+FALLBACK_LAST = "General Content"

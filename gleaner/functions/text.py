@@ -403,3 +403,55 @@ def keyword_scores(content: Column) -> Column:
 
 def keyword_category(content: Column) -> Column:
     return F.coalesce(F.get(keyword_scores(content), 0).getField("category"), quick_category(content))
+
+
+def first_sentences(x: Column, n: int, longest: int) -> Column:
+    """The first n sentences whose lengths add up to longest at most; null if the first is too long."""
+    parts = F.filter(F.split(trim_all(x), r"(?<=[.!?])[ \n]"), lambda v: trim_all(v) != "")
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"), F.lit(True).alias("open"))
+
+    def add(s: Column, v: Column) -> Column:
+        fits = s.open & (s.used + F.length(v) <= longest)
+        return F.struct(F.when(fits, s.used + F.length(v)).otherwise(s.used).alias("used"), F.when(fits, F.concat(s.kept, F.array(trim_all(v)))).otherwise(s.kept).alias("kept"), fits.alias("open"))
+
+    return F.aggregate(F.slice(parts, 1, n), start, add, lambda s: F.when(F.size(s.kept) > 0, F.array_join(s.kept, " ")))
+
+
+def json_object(x: Column) -> Column:
+    """The outermost braces of a model's answer."""
+    return F.regexp_extract(x, r"(?s)(\{.*\})", 1)
+
+
+def parse_decision(x: Column) -> Column:
+    """action, name, confidence of a model's category answer; confidence may be a number or a word in quotes."""
+    body = json_object(x)
+    get = lambda k: F.get_json_object(body, f"$.{k}")
+    return F.struct(get("action").alias("action"), without_emoji(F.coalesce(get("name"), get("category_name"))).alias("name"), F.coalesce(get("confidence").try_cast("double"), F.lit(0.5)).alias("confidence"))
+
+
+def answer_summary(x: Column) -> Column:
+    """The summary of a model's answer, whole JSON or not, else its first sentences without braces."""
+    found = F.regexp_extract(x, r'(?s)"summary"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
+    return F.when(found != "", truncate(trim_all(found), 200)).otherwise(first_sentences(F.translate(x, "{}", ""), 3, 200))
+
+
+def fallback_category(content: Column, kind: Column) -> Column:
+    """A name from keyword rules, else the first longer words of the first sentence, else the type's."""
+
+    def chosen(start: Column) -> Column:
+        low = F.lower(start)
+        business = F.lit(None).cast("string")
+        for keyword, name in reversed(fixed.FALLBACK_BUSINESS):
+            business = F.when(low.contains(keyword), name).otherwise(business)
+        for keywords, name in reversed(fixed.FALLBACK_INDUSTRY):
+            business = F.when(business.isNotNull() & has_any(low, keywords), name).otherwise(business)
+        proposal, yes, no = fixed.FALLBACK_PROPOSAL
+        product = F.when(has_any(low, fixed.FALLBACK_PRODUCT), F.when(has_any(low, proposal), yes).otherwise(no))
+        command = F.when(kind == "command", dict(fixed.FALLBACK_TYPES)["command"])
+        topics = F.coalesce(*(F.when(has_any(low, keywords), name) for keywords, name in fixed.FALLBACK_TOPICS))
+        first = F.slice(F.filter(words(F.regexp_extract(start, r"(?s)^([^.!?]*)", 1)), lambda w: (F.octet_length(w) > 3) & w.rlike(r"^\p{L}+$")), 1, 3)
+        title = F.concat(F.array_join(F.transform(first, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " "), F.lit(" Content"))
+        last = F.coalesce(*(F.when(kind == t, name) for t, name in fixed.FALLBACK_TYPES), F.lit(fixed.FALLBACK_LAST))
+        return F.coalesce(business, product, command, topics, F.when(F.size(first) >= 2, title), last)
+
+    return let(F.substring(content, 1, fixed.FALLBACK_LENGTH), chosen)

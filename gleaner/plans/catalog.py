@@ -590,6 +590,39 @@ def combine_screenshot(spark, sf_dir):
     return L.read(spark, sf_dir, "conversations").select("conv_id", "turn", T.combine_screenshot(F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(""), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text"))).alias("combined"))
 
 
+def _contains_case(pairs) -> str:
+    return "CASE " + " ".join(f"WHEN {O._any('low', keys)} THEN '{name}'" for keys, name in pairs) + " END"
+
+
+_FALLBACK = (
+    "coalesce(CASE WHEN b IS NOT NULL THEN coalesce(" + _contains_case(fixed.FALLBACK_INDUSTRY) + ", b) END, CASE WHEN " + O._any("low", fixed.FALLBACK_PRODUCT) + " THEN CASE WHEN " + O._any("low", fixed.FALLBACK_PROPOSAL[0])
+    + f" THEN '{fixed.FALLBACK_PROPOSAL[1]}' ELSE '{fixed.FALLBACK_PROPOSAL[2]}' END END, CASE WHEN type = 'command' THEN 'Commands' END, " + _contains_case(fixed.FALLBACK_TOPICS)
+    + ", CASE WHEN len(f) >= 2 THEN array_to_string(list_transform(f, lambda w: replace(upper(w[1:1]), 'ẞ', 'SS') || w[2:]), ' ') || ' Content' END, CASE type " + " ".join(f"WHEN '{t}' THEN '{n}'" for t, n in fixed.FALLBACK_TYPES) + f" ELSE '{fixed.FALLBACK_LAST}' END)"
+)
+
+
+@query(W(f"SELECT id, {_FALLBACK} AS name FROM (SELECT id, type, lower(p) AS low, list_filter({O.words("regexp_extract(p, '^([^.!?]*)', 1)")}, lambda w: strlen(w) > 3 AND regexp_matches(w, '^\\p{{L}}+$'))[1:3] AS f, {_contains_case([((k,), n) for k, n in fixed.FALLBACK_BUSINESS]).replace('low', 'lower(p)')} AS b FROM (SELECT id, type, substring(content, 1, 200) AS p FROM snippets))"))
+def fallback_category(spark, sf_dir):
+    return L.snippets(spark, sf_dir).select("id", T.fallback_category(F.col("content"), F.col("type")).alias("name"))
+
+
+def _caption_case() -> str:
+    prefixes = " ".join(f"WHEN {' OR '.join(f"starts_with(c, '{k}')" for k in keys)} THEN '{name}'" for name, keys in fixed.CAPTION_PREFIXES)
+    return f"CASE {prefixes} " + " ".join(f"WHEN {O._any('c', keys)} THEN '{name}'" for name, keys in fixed.CAPTION_KEYWORDS) + " ELSE 'General' END"
+
+
+@query(W(f"SELECT id, {_caption_case()} AS kind FROM (SELECT id, lower(CASE id % 4 WHEN 0 THEN 'Code: ' WHEN 1 THEN 'pdf: ' ELSE '' END || content) AS c FROM snippets)"))
+def caption_type(spark, sf_dir):
+    caption = F.concat(F.when(F.col("id") % 4 == 0, "Code: ").when(F.col("id") % 4 == 1, "pdf: ").otherwise(""), "content")
+    return L.snippets(spark, sf_dir).select("id", T.caption_type(caption).alias("kind"))
+
+
+@query(W("SELECT id, CASE WHEN c = '' THEN 'Screenshot content' WHEN length(c) > 100 THEN substring(c, 1, 97) || '...' ELSE c END AS summary FROM (SELECT id, CASE WHEN id % 3 = 0 THEN summary ELSE content END AS c FROM snippets)"))
+def screenshot_summary(spark, sf_dir):
+    caption = F.when(F.col("id") % 3 == 0, F.col("summary")).otherwise(F.lit("Screenshot at noon"))
+    return L.snippets(spark, sf_dir).select("id", T.screenshot_summary(caption, F.col("content")).alias("summary"))
+
+
 @query(W("SELECT id, strlen(content) // 4 AS tokens FROM snippets"))
 def token_estimate(spark, sf_dir):
     return L.snippets(spark, sf_dir).select("id", T.estimate_tokens(F.col("content")).alias("tokens"))
