@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
+from gleaner.functions.text import let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,8 +24,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def top_k(vectors: DataFrame, query: list[float], limit: int = fixed.SEARCH_LIMIT, floor: float = fixed.COSINE_FLOOR) -> DataFrame:
@@ -77,17 +77,35 @@ def centroids(vectors: DataFrame, assignments: DataFrame, members: int = fixed.C
     return whole.select("category_id", "n", unit(F.col("mean")).alias("centroid"))
 
 
-def classify(vectors: DataFrame, centres: DataFrame, categories: DataFrame, floor: float = fixed.CLASSIFY_FLOOR, least: int = fixed.CENTROID_LEAST) -> DataFrame:
+def classify(vectors: DataFrame, centres: DataFrame, categories: DataFrame, floor: float = fixed.CLASSIFY_FLOOR, least: int = fixed.CENTROID_LEAST, block: int = 8192) -> DataFrame:
     """snippet_id, category_id, confidence of the nearest centroid of a category with enough members, at or above the floor; ties by name.
 
-    Centroids are one row a category; Spark broadcasts them where they are under its
-    threshold and deals out the product otherwise. The best is an aggregate, so each
-    task sends one row a vector.
+    Vectors are dealt to blocks by hash and each block meets all centroids as one
+    matrix, so what is shuffled is the vectors, once, and centroids x blocks.
     """
+    import numpy as np
+    import pyarrow as pa
+
+    n = max(1, -(-vectors.count() // block))
     named = centres.where(F.col("n") >= least).join(categories.select(F.col("id").alias("category_id"), "name"), "category_id")
-    scored = vectors.join(named).select("snippet_id", "category_id", "name", dot(unit(F.col("embedding")), F.col("centroid")).alias("confidence"))
-    best = F.min_by(F.struct("category_id", "confidence"), F.struct(-F.round("confidence", 9), "name"))
-    return scored.where(F.col("confidence") >= floor).groupBy("snippet_id").agg(best.alias("b")).select("snippet_id", "b.category_id", "b.confidence")
+    right = named.select("category_id", "name", "centroid", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    left = vectors.select("snippet_id", "embedding", F.pmod(F.xxhash64("snippet_id"), F.lit(n)).alias("v"))
+
+    def nearest(rows: pa.Table, centroids: pa.Table) -> pa.Table:
+        ids = rows.column("snippet_id").to_numpy()
+        out = {"snippet_id": ids[:0], "category_id": ids[:0], "confidence": np.zeros(0)}
+        if len(ids) and centroids.num_rows:
+            ranked = centroids.sort_by("name")
+            x = np.array(rows.column("embedding").to_pylist(), np.float64)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            sims = x @ np.array(ranked.column("centroid").to_pylist(), np.float64).T
+            best = np.round(sims, 9).argmax(axis=1)  # the first of equals
+            top = sims[np.arange(len(ids)), best]
+            good = top >= floor
+            out = {"snippet_id": ids[good], "category_id": ranked.column("category_id").to_numpy()[best][good], "confidence": top[good]}
+        return pa.table({"snippet_id": pa.array(out["snippet_id"], pa.int64()), "category_id": pa.array(out["category_id"], pa.int64()), "confidence": pa.array(out["confidence"], pa.float64())})
+
+    return left.groupBy("v").cogroup(right.groupBy("b")).applyInArrow(nearest, "snippet_id long, category_id long, confidence double")
 
 
 def classify_new(vectors: DataFrame, assignments: DataFrame, categories: DataFrame, limit: int, **floors: float) -> DataFrame:
