@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -362,3 +362,34 @@ def debounce(events: DataFrame, keys: list[str], ts: str, milliseconds: int = 80
     ms = F.unix_micros(F.col(ts).cast("timestamp")) / 1000
     gap = ms - F.lag(ms).over(Window.partitionBy(*keys).orderBy(ts))
     return events.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > milliseconds)).drop("__gap")
+
+
+# the command palette, and rows of history
+
+
+def palette(commands: DataFrame, query: str) -> DataFrame:
+    """Commands (label, description, category, keywords) of which some part holds the query."""
+    q = query.strip().lower()
+    part = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).contains(q)
+    return commands.where(part("label") | part("description") | part("category") | F.exists(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.lower(k).contains(q))) if q else commands
+
+
+def recent_first(commands: DataFrame, recent: list[str], order: list[str]) -> DataFrame:
+    """Recent labels first, latest first, then by the order of categories and by label."""
+    place = lambda values, c: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, values)) if values else F.array().cast("array<string>"), F.col(c)), F.lit(0)), F.lit(1 << 30))
+    return commands.orderBy(place(recent, "label"), place(order, "category"), "label")
+
+
+def undismissed(found: DataFrame, dismissed: DataFrame) -> DataFrame:
+    return found.join(dismissed, "suggestion_id", "left_anti")
+
+
+def search_event(spark: SparkSession, query: str, kind: str, keyword: int, semantic: int, total: int, latency_ms: int, at: Column) -> DataFrame:
+    """One row of search analytics, to append."""
+    row = [(query, kind, keyword, semantic, total, latency_ms)]
+    return spark.createDataFrame(row, "query string, search_type string, keyword_results long, semantic_results long, total_results long, latency_ms long").withColumn("timestamp", at)
+
+
+def export_event(spark: SparkSession, kind: str, path: str, items: int, size: int, at: Column) -> DataFrame:
+    """One row of export history, to append."""
+    return spark.createDataFrame([(kind, path, items, size)], "format string, file_path string, item_count long, file_size_bytes long").withColumn("exported_at", at)

@@ -633,6 +633,39 @@ def storage_policy(spark, sf_dir):
     return tables.within_policy(L.snippets(spark, sf_dir), as_of(), 100, 50).select("id")
 
 
+def _commands(spark, sf_dir):
+    return L.read(spark, sf_dir, "part").select(F.col("p_name").alias("label"), F.col("p_brand").alias("description"), F.col("p_type").alias("category"), F.array(F.col("p_size").cast("string"), "p_brand").alias("keywords"), "p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), '#1') OR contains(lower(p_brand), '#1') OR contains(lower(p_type), '#1') OR contains(p_size::VARCHAR, '#1')")
+def palette_filter(spark, sf_dir):
+    return tables.palette(_commands(spark, sf_dir), " #1 ").select("p_partkey")
+
+
+@query(W("SELECT suggestion_id FROM (SELECT 'dup-hash-' || content_hash AS suggestion_id, count(*) AS n FROM snippets GROUP BY content_hash HAVING count(*) > 1) WHERE n <= 2"))
+def undismissed(spark, sf_dir):
+    groups = tables.duplicate_groups(L.snippets(spark, sf_dir)).select(F.concat(F.lit("dup-hash-"), "content_hash").alias("suggestion_id"), "n")
+    return tables.undismissed(groups, groups.where("n > 2").select("suggestion_id")).select("suggestion_id")
+
+
+@query(W("SELECT id, embedding_input FROM (SELECT id, coalesce(summary, '') || chr(10) || chr(10) || content AS embedding_input FROM snippets)"))
+def embedding_input(spark, sf_dir):
+    return L.snippets(spark, sf_dir).select("id", vectors.embedding_input(F.col("summary"), F.col("content")).alias("embedding_input"))
+
+
+@query("SELECT conv_id, turn, array_to_string(" + O.words("lower(text)") + ", ' ') AS cache_key FROM conversations")
+def cache_key(spark, sf_dir):
+    return L.read(spark, sf_dir, "conversations").select("conv_id", "turn", T.cache_key(F.col("text")).alias("cache_key"))
+
+
+@query(W("SELECT id, content_hash IN (SELECT content_hash FROM snippets WHERE id < 100) AS known FROM snippets WHERE id >= 100"))
+def check_duplicate(spark, sf_dir):
+    rows = L.snippets(spark, sf_dir)
+    new = rows.where("id >= 100").select("id", "content_hash")
+    known = tables.find_duplicates(rows.where("id < 100"), new).select("id", F.lit(True).alias("known"))
+    return new.join(known, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 # export and import
 
 

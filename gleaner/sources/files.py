@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +89,29 @@ def load_settings(rows: DataFrame) -> Settings:
 
 def save_settings(spark: SparkSession, settings: Settings, path: str) -> None:
     spark.createDataFrame([settings.__dict__]).coalesce(1).write.mode("overwrite").json(path)
+
+
+def _size(data: bytes | None) -> tuple[int, int] | None:
+    """Width and height from the first bytes of a PNG, JPEG or lossy WebP file."""
+    if not data:
+        return None
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+    if data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8 " and len(data) >= 30:
+        return int.from_bytes(data[26:28], "little") & 0x3FFF, int.from_bytes(data[28:30], "little") & 0x3FFF
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 < len(data) and data[at] == 0xFF:
+        if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None
+
+
+def image_size(content: Column) -> Column:
+    """width and height of image bytes; nulls where the format isn't known."""
+
+    @F.pandas_udf("width int, height int")
+    def run(files: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_size(f) or (None, None) for f in files], columns=["width", "height"]).astype("Int32")
+
+    return run(content)

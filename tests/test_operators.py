@@ -194,3 +194,18 @@ def test_settings(spark, tmp_path):
     files.save_settings(spark, files.Settings(search_limit=5), f"{tmp_path}/settings")
     assert files.load_settings(spark.read.json(f"{tmp_path}/settings")).search_limit == 5
     assert files.load_settings(spark.createDataFrame([], "search_limit int")) == files.Settings()
+
+
+def test_image_size(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + (30).to_bytes(2, "big") + (40).to_bytes(2, "big") + b"\x03\x01"
+    rows = spark.createDataFrame([(png,), (jpeg,), (b"?",), (None,)], "content binary").select(files.image_size(F.col("content")).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in rows] == [(640, 480), (40, 30), (None, None), (None, None)]
+
+
+def test_palette(spark):
+    rows = spark.createDataFrame([("Open", "a file", "File", ["load"]), ("Copy", "text", "Edit", None), ("Find", None, "Edit", ["search"])], "label string, description string, category string, keywords array<string>")
+    assert [r.label for r in tables.palette(rows, "SEAR").collect()] == ["Find"] and tables.palette(rows, "").count() == 3
+    assert [r.label for r in tables.recent_first(rows, ["Find"], ["File", "Edit"]).collect()] == ["Find", "Open", "Copy"]
+    event = tables.search_event(spark, "q", "hybrid", 1, 2, 3, 4, F.lit("2024-01-01").cast("timestamp"))
+    assert event.first().total_results == 3 and tables.export_event(spark, "json", "p", 1, 2, F.lit(None)).count() == 1
