@@ -209,3 +209,18 @@ def test_palette(spark):
     assert [r.label for r in tables.recent_first(rows, ["Find"], ["File", "Edit"]).collect()] == ["Find", "Open", "Copy"]
     event = tables.search_event(spark, "q", "hybrid", 1, 2, 3, 4, F.lit("2024-01-01").cast("timestamp"))
     assert event.first().total_results == 3 and tables.export_event(spark, "json", "p", 1, 2, F.lit(None)).count() == 1
+
+
+def test_decisions(spark):
+    from gleaner.operators import decisions
+
+    cats = spark.createDataFrame([(1, "Web Pages"), (2, "Git Commands")], "id long, name string")
+    rows = [
+        (1, "create_new", "🎉 web_pages", 0.8, "x", "text", None), (2, "create_new", "PD2", 0.8, "long words here today", "text", None), (3, "use_existing", "Garden Tools", 0.8, "x", "text", None), (4, "create_new", "Any Thing", 0.8, "git push", "command", None),
+        (5, "create_new", "Documentation", 0.8, "our case study", "text", None), (6, "create_new", "Garden Tools", 0.5, "docker ps", "text", None), (7, "use_existing", "Web Page", 0.9, "x", "text", None),
+    ]
+    got = {r.id: (r.action, r.name, round(r.confidence, 3)) for r in decisions.validate(spark.createDataFrame(rows, "id long, action string, name string, confidence double, content string, type string, url string"), cats).collect()}
+    assert got == {
+        1: ("use_existing", "Web Pages", 0.95), 2: ("create_new", "Long Words Here Content", 0.75), 3: ("create_new", "Garden Tools", 0.72), 4: ("use_existing", "Git Commands", 0.95),
+        5: ("create_new", "Business Case Studies", 0.85), 6: ("create_new", "Docker Commands", 0.92), 7: ("use_existing", "Web Pages", 0.9),
+    }
