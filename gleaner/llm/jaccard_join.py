@@ -22,7 +22,7 @@ behind a bit-parity bound on the difference; nothing else can add to the
 components. Verification counts the exact intersection.
 
 Moved between machines: about a fifth of the shingles as key and class; full sets
-only of those that share a key. Nothing of all documents is collected; what is
+only of pairs that the parity bound lets through. Nothing of all documents is collected; what is
 broadcast are two bitmaps of fixed size.
 
 Defined results: null or blank texts have 0 shingles and link with nothing; fewer
@@ -38,7 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.shared import prepare, text_buffer, written
@@ -49,8 +49,6 @@ SHINGLE = 5
 FREQUENT, LOCAL, CHUNK = 64, 8, 2_000_000
 #: Bits of the bitmaps that are broadcast.
 CELLS = 1 << 22
-#: 64-bit words of the parity signature.
-PARITY = 16
 STEP = 1 << 20
 _FACTORS = [pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1 for j in range(SHINGLE)]
 
@@ -103,37 +101,38 @@ def _bits(packed: bytes) -> np.ndarray:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n of each document, and cell, count of tokens that are common within a chunk."""
-    names = ["doc_id", "key", "n", "cell", "count"]
+    """doc_id, key, n, parity of each document, and cell, count of tokens that are common within a chunk."""
+    names = ["doc_id", "key", "n", "parity", "cell", "count"]
 
     def common(gathered: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(gathered), return_counts=True)
         often = counts >= LOCAL
         k = int(often.sum())
-        return pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array((tokens[often] & np.uint64(CELLS - 1)).astype(np.int64)), pa.array(counts[often].astype(np.int64))], names=names)
+        return pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64())), pa.array((tokens[often] & np.uint64(CELLS - 1)).astype(np.int64)), pa.array(counts[often].astype(np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         gathered: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, marks = [], [], []
             for tokens in shingle_sets(batch.column("text")):
                 key = set_key(tokens) if len(tokens) else None
                 keys.append(key)
                 sizes.append(len(tokens))
+                marks.append(None if key is None else parity(tokens).tolist())
                 if key is not None and key not in met:
                     met.add(key)
                     gathered.append(tokens)
                     size += len(tokens)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64())], names=names)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64())], names=names)
             if size >= CHUNK:
                 yield common(gathered)
                 gathered, size = [], 0
         if gathered:
             yield common(gathered)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n int, cell long, count long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n int, parity array<long>, cell long, count long")
 
 
 @lru_cache(1)
@@ -221,27 +220,42 @@ def shared_entries(entries: DataFrame) -> DataFrame:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """Each bit tells whether an odd number of tokens fall on it; sets differ in as many tokens at least as in bits."""
-    bits = np.bincount((tokens >> np.uint64(8)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    """At least as many bits as tokens, a power of two from 64 on; each tells whether an odd number of tokens fall on it. Sets differ in as many tokens at least as in bits."""
+    size = max(64, 1 << (len(tokens) - 1).bit_length())
+    bits = np.bincount((tokens >> np.uint64(8)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def full_sets(docs: DataFrame, wanted: bytes) -> DataFrame:
-    """key, parity, tokens of the classes whose bit is set."""
+def once_each(entries: DataFrame) -> DataFrame:
+    """Of tokens with the same classes under them, as those of one shared passage have, the entries of one."""
+    members = entries.groupBy("token").agg(F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"), F.count("*").alias("m"))
+    kept = members.groupBy("x", "y", "m").agg(F.min("token").alias("token")).select("token")
+    return entries.join(written(kept), "token", "left_semi")
+
+
+def full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key, tokens of the classes in pairs (a, b); a bitmap of fixed size keeps most others from leaving their task."""
+    wanted = _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, met = _bits(wanted), set()
         for batch in batches:
-            keys, marks, sets = [], [], []
+            keys, sets = [], []
             for tokens in shingle_sets(batch.column("text")):
                 if len(tokens) and (key := set_key(tokens)) not in met and bits[key & (CELLS - 1)]:
                     met.add(key)
                     keys.append(key)
-                    marks.append(parity(tokens).tolist())
                     sets.append(tokens.tobytes())
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["key", "parity", "tokens"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "tokens"])
+
+    return written(docs.select("text").mapInArrow(run, "key long, tokens binary").dropDuplicates(["key"]))
 
-    return docs.select("text").mapInArrow(run, "key long, parity array<long>, tokens binary")
+
+def apart(a: Column, b: Column) -> Column:
+    """Bits in which two parity signatures differ; one of twice the size is folded first. Null where sizes are further apart, as those of sets that link never are."""
+    size = F.least(F.size(a), F.size(b))
+    folded = lambda x: F.when(F.size(x) == size, x).otherwise(F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, F.size(x) - size), lambda u, v: u.bitwiseXOR(v)))
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,19 +290,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(entries: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) whose signatures allow a link."""
+    first = pairs.join(marks.select(F.col("key").alias("a"), F.col("parity").alias("x")), "a")
+    both = first.join(marks.select(F.col("key").alias("b"), F.col("parity").alias("y")), "b")
+    return both.where(9 * apart(F.col("x"), F.col("y")) <= F.col("na") + F.col("nb")).select("a", "b")
+
+
+def _across(entries: DataFrame, comps: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs (a, b) under a key that lie in different components, have fitting sizes and may differ little enough; neither is the key's leader."""
     placed = entries.join(comps, "key", "left").select("token", "leader", "key", "n", F.coalesce("comp", "key").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("least") != F.col("most")).select("token")
     placed = written(placed.join(mixed, "token", "left_semi"))
     leaders = placed.where(F.col("key") == F.col("leader")).select("token", F.col("comp").alias("lead")).distinct()
     rows = placed.where(F.col("key") != F.col("leader")).distinct().join(leaders, "token")
-    rows = written(rows.join(sets.select("key", "parity"), "key").select("token", "key", "n", "comp", (F.col("comp") == F.col("lead")).alias("main"), "parity"))
+    rows = written(rows.join(marks, "key").select("token", "key", "n", "comp", (F.col("comp") == F.col("lead")).alias("main"), "parity"))
     left, right = rows.where(~F.col("main")).alias("p"), rows.alias("q")
-    apart = F.aggregate(F.zip_with("p.parity", "q.parity", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     sizes = (5 * F.col("p.n") >= 4 * F.col("q.n")) & (5 * F.col("q.n") >= 4 * F.col("p.n"))
     once = F.col("q.main") | (F.col("p.key") < F.col("q.key"))
-    fits = (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") != F.col("q.comp")) & once & sizes & (9 * apart <= F.col("p.n") + F.col("q.n"))
+    near = 9 * apart(F.col("p.parity"), F.col("q.parity")) <= F.col("p.n") + F.col("q.n")
+    fits = (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") != F.col("q.comp")) & once & sizes & near
     return left.join(right, fits).select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct()
 
 
@@ -297,14 +318,15 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prepare(docs.sparkSession)
     found = written(classes(docs))
     cells = found.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT)
-    entries = written(shared_entries(index(docs, _bitmap(cells, "cell"))))
-    wanted = entries.select("key")
-    sets = full_sets(docs, _bitmap(wanted, "key")).dropDuplicates(["key"])
-    sets = written(sets)
+    entries = written(once_each(written(shared_entries(index(docs, _bitmap(cells, "cell"))))))
+    marks = found.where(F.col("key").isNotNull()).select("key", "parity").join(entries.select("key"), "key", "left_semi")
+    marks = written(marks.dropDuplicates(["key"]))
     sizes = (5 * F.col("n") >= 4 * F.col("leader_n")) & (5 * F.col("leader_n") >= 4 * F.col("n"))
-    stars = entries.where((F.col("key") != F.col("leader")) & sizes).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    links = written(verified(stars, sets))
-    more = written(verified(_across(entries, components(links), sets), sets))
+    stars = entries.where((F.col("key") != F.col("leader")) & sizes).select(F.col("leader").alias("a"), F.col("key").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb")).distinct()
+    stars = written(_near(stars, marks))
+    links = written(verified(stars, full_sets(docs, stars)))
+    others = written(_across(entries, components(links), marks))
+    more = written(verified(others, full_sets(docs, others)))
     comps = components(links.unionByName(more))
     return found.where(F.col("n").isNotNull()).select("doc_id", "key", "n"), comps
 
