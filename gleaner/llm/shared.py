@@ -37,6 +37,7 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
+    jvm.System.gc()  # Spark removes a finished job's shuffle files when the driver collects its garbage; an operator of many jobs shouldn't wait for that
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
