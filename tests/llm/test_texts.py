@@ -86,7 +86,7 @@ def test_context_tree_is_a_distribution():
     near = (two.keys >> np.uint64(8) & np.uint64(255)) << np.uint64(8) | two.keys & np.uint64(255)
     unique, inverse = np.unique(near, return_inverse=True)
     so_far, left = context_tree.upper(list(zip(unique.tolist(), *(np.bincount(inverse, v) for v in (two.zeros, two.ones, two.weighted)), strict=True)))
-    context = int.from_bytes(b"abra"[-depth:], "big") << 8
+    context = int.from_bytes(b"dabra"[-depth:], "big") << 8
     probability = 10 ** context_tree.values(np.array([context | b for b in range(256)], np.uint64), tree, so_far, left)
     assert probability.sum() == pytest.approx(1)
     assert probability.argmax() in (ord("c"), ord("b"), 255)
