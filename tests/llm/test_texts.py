@@ -135,7 +135,7 @@ def test_language(spark, docs, empty):
     for i in range(240):
         lang = ("aa", "bb", "cc")[i % 3]
         stock = sound[lang].split()
-        rows.append((i, " ".join("".join(rng.sample(rng.choice(stock), 3)) for _ in range(40)), lang))
+        rows.append((i, " ".join("".join(rng.choices(rng.choice(stock), k=4)) for _ in range(40)), lang))
     frame = spark.createDataFrame(rows + [(900, None, "aa"), (901, "12 !?", "bb"), (902, "", None)], "doc_id long, text string, lang string")
     model = language_id.fit(frame)
     out = {r.doc_id: r for r in language_id.identify(frame, model).collect()}
