@@ -16,8 +16,9 @@ a set with more empty groups than d gets a key for that. Sizes go by classes who
 bounds grow by a quarter, and a set is indexed for its class and the one below.
 
 Candidates: every set under a key is compared with the key's leader only, and
-verified links make components. Keys whose sets still lie in several components
-then compare sets across components, those outside the leader's with all others,
+verified links make components. Sets outside the leader's component are compared
+with up to ORDERS of its members, and links make components anew. Keys whose sets still
+lie in several components then compare sets across components, those outside the leader's with all others,
 behind a bit-parity bound on the difference; nothing else can add to the
 components. Verification counts the exact intersection.
 
@@ -47,6 +48,8 @@ from gleaner.llm.words import mix, word_hashes
 SHINGLE = 5
 #: Sum of a cell's counts from which its tokens are of the frequent class; a chunk of CHUNK tokens reports counts of LOCAL or more.
 FREQUENT, LOCAL, CHUNK = 64, 8, 2_000_000
+#: Members of a leader's component that a class outside it is compared with, for each key.
+ORDERS = 16
 #: Bits of the bitmaps that are broadcast.
 CELLS = 1 << 22
 STEP = 1 << 20
@@ -297,14 +300,29 @@ def _near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return both.where(9 * apart(F.col("x"), F.col("y")) <= F.col("na") + F.col("nb")).select("a", "b")
 
 
+def _led(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """token, leader, key, n, comp, main: whether the class is in the component of its key's leader."""
+    placed = written(entries.join(comps, "key", "left").select("token", "leader", "key", "n", F.coalesce("comp", "key").alias("comp")))
+    leaders = placed.where(F.col("key") == F.col("leader")).select("token", F.col("comp").alias("lead")).distinct()
+    return placed.join(leaders, "token").select("token", "leader", "key", "n", "comp", (F.col("comp") == F.col("lead")).alias("main"))
+
+
+def _second_stars(entries: DataFrame, comps: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes outside their key's leader's component with ORDERS members of it, the first by as many hash orders. In a group of near copies most find a partner so; a group that shares a passage only has no such members."""
+    rows = written(_led(entries, comps))
+    first = lambda r: F.min_by(F.struct("key", "n"), F.xxhash64(F.lit(r), "key"))
+    picks = rows.where(F.col("main") & (F.col("key") != F.col("leader"))).groupBy("token").agg(F.array(*map(first, range(ORDERS))).alias("picks"))
+    pairs = rows.where(~F.col("main")).join(written(picks), "token").select("key", "n", F.explode(F.array_distinct("picks")).alias("p"))
+    pairs = pairs.where((5 * F.col("n") >= 4 * F.col("p.n")) & (5 * F.col("p.n") >= 4 * F.col("n")))
+    return _near(pairs.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).distinct(), marks).distinct()
+
+
 def _across(entries: DataFrame, comps: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs (a, b) under a key that lie in different components, have fitting sizes and may differ little enough; neither is the key's leader."""
-    placed = entries.join(comps, "key", "left").select("token", "leader", "key", "n", F.coalesce("comp", "key").alias("comp"))
+    placed = _led(entries, comps)
     mixed = placed.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("least") != F.col("most")).select("token")
-    placed = written(placed.join(mixed, "token", "left_semi"))
-    leaders = placed.where(F.col("key") == F.col("leader")).select("token", F.col("comp").alias("lead")).distinct()
-    rows = placed.where(F.col("key") != F.col("leader")).distinct().join(leaders, "token")
-    rows = written(rows.join(marks, "key").select("token", "key", "n", "comp", (F.col("comp") == F.col("lead")).alias("main"), "parity"))
+    rows = placed.where(F.col("key") != F.col("leader")).distinct().join(written(mixed), "token", "left_semi")
+    rows = written(rows.join(marks, "key").select("token", "key", "n", "comp", "main", "parity"))
     left, right = rows.where(~F.col("main")).alias("p"), rows.alias("q")
     sizes = (5 * F.col("p.n") >= 4 * F.col("q.n")) & (5 * F.col("q.n") >= 4 * F.col("p.n"))
     once = F.col("q.main") | (F.col("p.key") < F.col("q.key"))
@@ -325,9 +343,10 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = entries.where((F.col("key") != F.col("leader")) & sizes).select(F.col("leader").alias("a"), F.col("key").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb")).distinct()
     stars = written(_near(stars, marks))
     links = written(verified(stars, full_sets(docs, stars)))
-    others = written(_across(entries, components(links), marks))
-    more = written(verified(others, full_sets(docs, others)))
-    comps = components(links.unionByName(more))
+    for candidates in (_second_stars, _across):
+        pairs = written(candidates(entries, components(links), marks))
+        links = written(links.unionByName(verified(pairs, full_sets(docs, pairs))))
+    comps = components(links)
     return found.where(F.col("n").isNotNull()).select("doc_id", "key", "n"), comps
 
 
