@@ -4,7 +4,9 @@ A rule is a host and a path prefix and fits the host and its subdomains; the
 longest rule that fits decides. Other urls get their host's verdict: personalised
 PageRank spreads trust from hosts with allowed urls along links, and distrust from
 hosts with blocked urls against links, and a host is blocked where distrust
-exceeds ``ratio`` times its trust.
+exceeds ``ratio`` times its trust by more than a share of ``TIE``. The unrounded
+scores are compared, as they shrink with the table; the columns shown are rounded.
+The SQL twin compares rounded scores, so it says allow where both round to 0.
 
 Links come from the pages' href attributes; a link without a host stays on its
 page's host. Links are summed to host edges before any join, so a hot host is as
@@ -29,6 +31,8 @@ from gleaner.llm.shared import written
 #: verdict, host and path prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 ROUNDS, DAMPING, RATIO = 8, 0.85, 1.0
+#: Scores that differ by a smaller share are a tie: sums are added up in any order.
+TIE = 1e-7
 URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 HREF = r"""(?i)href\s*=\s*["']((?:https?:)?//[^/?#"'\s]+|[^"'#][^"']*)["']"""
 
@@ -87,12 +91,12 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, rounds: in
     trust = propagate(edges, seeds.where("allow > 0").select("host", (F.col("allow") / total).alias("seed")), "src", "dst", rounds, damping)
     distrust = propagate(edges, seeds.where("block > 0").select("host", (F.col("block") / total).alias("seed")), "dst", "src", rounds, damping)
     hosts = written(trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full"))
-    out = rows.join(hosts, "host", "left").select(
-        "page_id", "host", "path", F.col("found.rule").alias("rule"),
-        F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust"), "found.verdict",
+    trusted, distrusted = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    method = F.when(distrusted > ratio * trusted * (1 + TIE), F.lit("block")).otherwise(F.lit("allow"))
+    return rows.join(hosts, "host", "left").select(
+        "page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", method).alias("verdict"),
+        F.round(trusted, 9).alias("trust"), F.round(distrusted, 9).alias("distrust"),
     )
-    method = F.when(F.col("distrust") > ratio * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("verdict", F.coalesce("verdict", method)).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
 def sql(rules: Iterable[tuple[str, str]] = RULES, rounds: int = ROUNDS, damping: float = DAMPING, ratio: float = RATIO) -> str:

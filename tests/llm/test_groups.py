@@ -191,6 +191,13 @@ def test_urls(spark):
     assert url_filters.judge(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_small_scores_decide(spark):
+    link = lambda host, n=1: f'<a href="http://{host}/">' * n
+    rows = [(1, "http://bad.com/de/a", ""), (2, "http://spam.net/", link("bad.com", 40_000) + link("mid.net", 40_000)), (3, "http://mid.net/", link("bad.com")), (4, "http://far.net/", link("mid.net"))]
+    out = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[4].distrust == 0 and out[4].verdict == "block"  # shown as 0, but above no trust at all
+
+
 def test_page_rank(spark):
     edges = [("a", "b", 1), ("a", "c", 3), ("b", "c", 2), ("c", "a", 1), ("d", "c", 1)]
     score = {"a": 1.0}
