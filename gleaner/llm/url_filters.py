@@ -8,6 +8,11 @@ exceeds ``ratio`` times its trust by more than a share of ``TIE``. The unrounded
 scores are compared, as they shrink with the table; the columns shown are rounded.
 The SQL twin compares rounded scores, so it says allow where both round to 0.
 
+Scores are propagated until no host's changes by more than a share of ``SETTLED``
+in ``EVERY`` rounds, so every host that a path joins to a seed is reached, however
+long the path. The SQL twin stops after ``ROUNDS``, which is the same where pages
+link to their own host only.
+
 Links come from the pages' href attributes; a link without a host stays on its
 page's host. Links are summed to host edges before any join, so a hot host is as
 many rows as it has neighbours. Seeds are weighted by their numbers of ruled urls,
@@ -22,6 +27,7 @@ links. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count as numbers
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +39,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 ROUNDS, DAMPING, RATIO = 8, 0.85, 1.0
 #: Scores that differ by a smaller share are a tie: sums are added up in any order.
 TIE = 1e-7
+#: Rounds between written tables, and the change in them that counts as none; scores under LEAST, some 4,000 links from a seed, don't count.
+EVERY, SETTLED, LEAST = 4, 1e-9, 1e-290
 URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 HREF = r"""(?i)href\s*=\s*["']((?:https?:)?//[^/?#"'\s]+|[^"'#][^"']*)["']"""
 
@@ -67,20 +75,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, source: str, target: str, rounds: int, damping: float) -> DataFrame:
-    """host, score: personalised PageRank of seeds (host, seed) along edges from source to target. Mass at hosts without edges is lost."""
+def propagate(edges: DataFrame, seeds: DataFrame, source: str, target: str, rounds: int | None, damping: float) -> DataFrame:
+    """host, score: personalised PageRank of seeds (host, seed) along edges from source to target, of so many rounds or settled. Mass at hosts without edges is lost."""
     totals = edges.groupBy(source).agg(F.sum("n").alias("total"))
     shares = written(edges.join(totals, source).select(F.col(source).alias("host"), F.col(target).alias("to"), (F.col("n") / F.col("total")).alias("share")))
-    score = seeds.select("host", F.col("seed").alias("score"))
-    for turn in range(rounds):
+    score = last = seeds.select("host", F.col("seed").alias("score"))
+    for turn in numbers() if rounds is None else range(rounds):
         moved = score.join(shares, "host").select(F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         score = moved.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-        if turn % 4 == 3:
+        if turn % EVERY == EVERY - 1:
             score = written(score)
+            if rounds is None and _settled(last, score):
+                break
+            last = score
     return score
 
 
-def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, rounds: int = ROUNDS, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
+def _settled(last: DataFrame, score: DataFrame) -> bool:
+    """No host is new or has another score. Hosts once reached stay."""
+    before = last.select("host", F.col("score").alias("before"))
+    change = F.abs(F.col("score") - F.coalesce("before", F.lit(0.0)))
+    return score.where(F.col("score") > LEAST).join(before, "host", "left").where(change > SETTLED * F.col("score")).isEmpty()
+
+
+def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, rounds: int | None = None, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("found", ruled(F.col("host"), F.col("path"), rules))

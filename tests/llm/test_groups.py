@@ -198,6 +198,12 @@ def test_small_scores_decide(spark):
     assert out[4].distrust == 0 and out[4].verdict == "block"  # shown as 0, but above no trust at all
 
 
+def test_long_chains(spark):
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(12)] + [(12, "http://h11.net/", '<a href="http://bad.com/">'), (13, "http://bad.com/de/a", "")]
+    out = {r.page_id: r.verdict for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(out.values()) == {"block"}  # the farthest is 12 links from the seed
+
+
 def test_page_rank(spark):
     edges = [("a", "b", 1), ("a", "c", 3), ("b", "c", 2), ("c", "a", 1), ("d", "c", 1)]
     score = {"a": 1.0}
