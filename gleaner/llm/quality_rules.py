@@ -3,10 +3,12 @@
 Base rules look at one text: words, symbols, repeated lines, words in repeated
 eight-word windows. The method's rule looks across documents: lines are
 normalised (lower case, single spaces) and hashed, and for each host the distinct
-texts that hold a line are counted. Lines of at most ``line_words`` words that
-more than ``max_docs`` texts of a host hold are removed, and a document that keeps
-fewer than ``least_words`` words or less than ``least_share`` of its words is
-rejected. Exact copies count as one text, so copies of a clean text stay.
+texts that hold a line are counted. Lines, however long, that more than
+``max_docs`` texts of a host hold are removed, and a document that keeps fewer
+than ``least_words`` words or less than ``least_share`` of its words is rejected.
+Exact copies count as one text, so copies of a clean text stay. The SQL twin
+leaves lines of more than 40 words uncounted; the two differ only where more than
+``max_docs`` texts of a host share such a line.
 
 ``documents`` has no host; its ``source`` stands for it. Texts are read once, and
 only line hashes, counts and text hashes are moved between machines.
@@ -26,7 +28,7 @@ from gleaner.llm.shared import written
 
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-LIMITS = {"max_docs": 20, "line_words": 40, "least_words": 5, "least_share": 0.2}
+LIMITS = {"max_docs": 20, "least_words": 5, "least_share": 0.2}
 
 
 def text_key(text: Column) -> Column:
@@ -80,9 +82,9 @@ def parse(docs: DataFrame) -> DataFrame:
     )
 
 
-def _verdicts(docs: DataFrame, max_docs: int, line_words: int, least_words: int, least_share: float) -> DataFrame:
+def _verdicts(docs: DataFrame, max_docs: int, least_words: int, least_share: float) -> DataFrame:
     parsed = written(parse(docs).withColumn("row", F.monotonically_increasing_id()))
-    lines = parsed.select("row", "host", "key", F.explode("lines").alias("x")).select("row", "host", "key", "x.line", "x.n").where(F.col("n") <= line_words)
+    lines = parsed.select("row", "host", "key", F.explode("lines").alias("x")).select("row", "host", "key", "x.line", "x.n")
     counted = lines.select("host", "line", "key").distinct().groupBy("host", "line").count()
     frequent = written(counted.where(F.col("count") > max_docs).select("host", "line"))
     removed = written(lines.join(frequent, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("n").alias("removed")))

@@ -53,6 +53,13 @@ def test_quality_lines(spark):
     assert quality_rules.keep(copies).count() == 50  # copies of one text count once
 
 
+def test_quality_long_lines(spark):
+    licence = " ".join(f"clause{j}" for j in range(200))
+    docs = spark.createDataFrame([(i, f"{licence}\nown{i} words here", "s") for i in range(30)], "doc_id long, text string, source string")
+    assert not any(r.kept for r in quality_rules.judge(docs).collect()) and quality_rules.keep(docs).count() == 0
+    assert quality_rules.keep(docs.limit(20)).count() == 20
+
+
 def test_quality_keeps_columns(docs):
     kept = quality_rules.keep(docs)
     assert kept.columns == docs.columns
