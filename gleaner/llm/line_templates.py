@@ -7,6 +7,10 @@ A line follows its leaf's template if at least ``alike`` of its tokens do; the
 other places are its variable fields. A template that the lines of ``min_docs``
 distinct texts or more follow recurs: these lines are dropped, except in the first
 text (smallest doc_id) that has them, so no passage is lost from all documents.
+The lines that don't follow get a template in turn, until a leaf's template no
+longer recurs; of the lines left then, those go whose whole generalised wording
+``min_docs`` texts share. Left in: variable lines of several wordings in about
+equal number, whose places mix. The SQL twin forms one template a leaf.
 
 Exact copies count as one text, so they keep their lines; copies are another
 operator's work. Only the lines of shared leaves are taken apart; texts move
@@ -20,6 +24,8 @@ empty table gives an empty result; extra columns are kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +49,14 @@ def _leaf(tokens: Column) -> Column:
     return F.xxhash64(F.size(tokens), *(F.coalesce(_general(F.get(tokens, i)), F.lit("")) for i in range(LEAD)))
 
 
+def _recurring(following: DataFrame, group: list[str], min_docs: int) -> DataFrame:
+    """The groups that enough distinct texts follow, with the first of the texts."""
+    # nulls last: the flag comes first
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).getField("key").alias("first")
+    perdoc = following.groupBy(*group, "key").agg(F.min("doc_id").alias("doc_id"))
+    return written(perdoc.groupBy(*group).agg(F.count("*").alias("n"), first).where(F.col("n") >= min_docs).select(*group, "first"))
+
+
 def _drops(docs: DataFrame, min_docs: int, alike: float, min_tokens: int) -> DataFrame:
     """a, b (a text's key), at: numbers of the lines to drop, from 0."""
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", text_key(F.col("text")).alias("key"))
@@ -54,18 +68,27 @@ def _drops(docs: DataFrame, min_docs: int, alike: float, min_tokens: int) -> Dat
     inside = placed.join(shared, "leaf", "left_semi").groupBy("leaf", "key", "at").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
     lines = written(inside.select("leaf", "key", "at", "doc_id", F.transform("tokens", _general).alias("tokens")))
 
-    seen = lines.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").count()
-    common = seen.groupBy("leaf", "place").agg(F.max_by("token", F.struct("count", "token")).alias("token"))
-    templates = written(common.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).getField("token").alias("template")))
-
     same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
-    following = lines.join(templates, "leaf").where(same >= alike * F.size("tokens")).select("leaf", "key", "at", "doc_id")
-    # nulls last: the flag comes first
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).getField("key").alias("first")
-    perdoc = following.groupBy("leaf", "key").agg(F.min("doc_id").alias("doc_id"))
-    recurring = written(perdoc.groupBy("leaf").agg(F.count("*").alias("n"), first).where(F.col("n") >= min_docs).select("leaf", "first"))
-    gone = following.join(recurring, "leaf").where(F.col("key") != F.col("first"))
-    return gone.groupBy(F.col("key.a").alias("__a"), F.col("key.b").alias("__b")).agg(F.collect_set("at").alias("__at"))
+    follows = same >= alike * F.size("tokens")
+    gone, left = [], []
+    while True:
+        seen = lines.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").count()
+        common = seen.groupBy("leaf", "place").agg(F.max_by("token", F.struct("count", "token")).alias("token"))
+        templates = written(common.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).getField("token").alias("template")))
+        following = lines.join(templates, "leaf").where(follows).select("leaf", "key", "at", "doc_id")
+        recurring = _recurring(following, ["leaf"], min_docs)
+        gone.append(following.join(recurring, "leaf").where(F.col("key") != F.col("first")).select("key", "at"))
+        # a leaf whose template no longer recurs has no more of them
+        exact = F.xxhash64("tokens").alias("line")
+        left.append(lines.join(recurring, "leaf", "left_anti").select("leaf", exact, "key", "at", "doc_id"))
+        lines = written(lines.join(templates.join(recurring, "leaf", "left_semi"), "leaf").where(~follows).drop("template"))
+        if lines.isEmpty():
+            break
+    # wordings of like number mix into a template that none follows: what is left goes by the whole generalised line
+    rest = reduce(DataFrame.unionByName, left)
+    whole = ["leaf", "line"]
+    gone.append(rest.join(_recurring(rest, whole, min_docs), whole).where(F.col("key") != F.col("first")).select("key", "at"))
+    return reduce(DataFrame.unionByName, gone).groupBy(F.col("key.a").alias("__a"), F.col("key.b").alias("__b")).agg(F.collect_set("at").alias("__at"))
 
 
 def drop_lines(docs: DataFrame, **limits: float) -> DataFrame:
