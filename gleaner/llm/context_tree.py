@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.shared import prepare, text_buffer, written
 from gleaner.llm.words import word_hashes
 
-DEPTH = 4
+DEPTH = 6
 #: Bytes that UTF-8 never has: before a text's first byte, and after its last.
 BEFORE, END = 0xFE, 0xFF
 #: Bytes of text a chunk, and a step within it; distinct n-grams solved together.

@@ -114,6 +114,14 @@ def test_context_tree_is_a_distribution():
         assert level.weighted[at] == pytest.approx(np.logaddexp(estimate, below.weighted[children].sum()) - math.log(2), rel=1e-6)
 
 
+def test_far_contexts(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(f"{'ab'[b]}....{'xy'[b]}" for b in rng.integers(0, 2, 200)) for _ in range(40)]
+    rows = context_tree.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    # x or y follows from the byte five before it; without that it costs a bit in six bytes besides the bit of a or b
+    assert max(r.bits_per_byte for r in rows if r.held_out) < 0.25
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 2.5, 7.9, 8, 100.5, 1e6])
     assert np.allclose(context_tree.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
