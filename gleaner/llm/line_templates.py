@@ -17,7 +17,7 @@ operator's work. Only the lines of shared leaves are taken apart; texts move
 between machines once, when the lines to drop meet them.
 
 Defined results: null text has no lines and stays null; lines without a word and
-lines of fewer than ``min_tokens`` tokens are kept; null doc_ids come last; a
+lines of fewer than ``min_tokens`` tokens are kept (``dedup``: none); null doc_ids come last; a
 text all of whose lines go becomes empty; repeated rows are treated alike; an
 empty table gives an empty result; extra columns are kept.
 """
@@ -34,6 +34,8 @@ from gleaner.llm.shared import written
 
 LEAD = 3
 LIMITS = {"min_docs": 5, "alike": 0.7, "min_tokens": 3}
+#: What ``dedup``, which has no SQL twin to agree with, has instead: lines of every length.
+DEDUP = {"min_tokens": 1}
 
 
 def _tokens(line: Column) -> Column:
@@ -106,7 +108,7 @@ def drop_lines(docs: DataFrame, **limits: float) -> DataFrame:
 
 def dedup(docs: DataFrame, **limits: float) -> DataFrame:
     """docs with recurring lines dropped from their texts; n_chars, where there is one, follows."""
-    out = drop_lines(docs, **limits).drop("__lines", "__dropped")
+    out = drop_lines(docs, **(DEDUP | limits)).drop("__lines", "__dropped")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -87,6 +87,12 @@ def test_templates_of_one_leaf(spark):
         assert [r.doc_id for r in out if c in r.text] == [100 * k]
 
 
+def test_dedup_of_short_lines(spark):
+    rows = [(i, f"Les.\nAnd ornd.\n{c * 4} only") for i, c in enumerate("abcdefg")]
+    out = {r.doc_id: r.text for r in line_templates.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert out == {0: rows[0][1]} | {i: f"{c * 4} only" for i, c in enumerate("abcdefg") if i}
+
+
 def test_context_tree_is_a_distribution():
     depth = context_tree.DEPTH
     texts = pa.array(["abracadabra", "abrabrabra", "cadabra"])
