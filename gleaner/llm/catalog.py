@@ -59,4 +59,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters.sql(), "op3_quality_rules": quality_rules.SQL, "op7_line_templates": line_templates.SQL}
+    return {"op1_url_filters": url_filters.sql(), "op3_quality_rules": quality_rules.SQL, "op7_line_templates": line_templates.sql()}

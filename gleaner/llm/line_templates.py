@@ -2,24 +2,29 @@
 
 A line goes down a tree of fixed depth: its number of tokens, then its first
 ``LEAD`` tokens, with tokens that hold a digit generalised to ``<*>``. A leaf that
-enough distinct texts share gets a template: at each place the commonest token.
-A line follows its leaf's template if at least ``alike`` of its tokens do; the
-other places are its variable fields. A template that the lines of ``min_docs``
-distinct texts or more follow recurs: these lines are dropped, except in the first
-text (smallest doc_id) that has them, so no passage is lost from all documents.
-The lines that don't follow get a template in turn, until a leaf's template no
-longer recurs; of the lines left then, those go whose whole generalised wording
-``min_docs`` texts share. Left in: variable lines of several wordings in about
-equal number, whose places mix. The SQL twin forms one template a leaf.
+enough distinct texts share gets templates: at each place the commonest token of
+the leaf's lines. A line follows a template if at least ``alike`` percent of its
+tokens do; the other places are its variable fields. Lines that don't follow make
+the leaf's next template, as long as enough lines follow the last; the lines left
+then are compared by their whole generalised wording. A template or wording that
+the lines of ``min_docs`` distinct texts follow recurs (for lines of
+``long_tokens`` tokens or more: of ``long_docs``), if ``constant`` percent of its
+tokens are constant, so that lines of numbers only don't count as alike. Lines
+that recur are dropped, except in the first text (smallest doc_id) that has them:
+no passage is lost from all documents.
 
 Exact copies count as one text, so they keep their lines; copies are another
-operator's work. Only the lines of shared leaves are taken apart; texts move
-between machines once, when the lines to drop meet them.
-
-Defined results: null text has no lines and stays null; lines without a word and
-lines of fewer than ``min_tokens`` tokens are kept (``dedup``: none); null doc_ids come last; a
-text all of whose lines go becomes empty; repeated rows are treated alike; an
-empty table gives an empty result; extra columns are kept.
+operator's work. Templates are formed over distinct wordings with their numbers of
+lines, so a line that half the corpus shares is one row there. Only lines of shared
+leaves are taken apart. Of the texts, those move that have lines to drop, as told
+by a bitmap of fixed size, and no others.
+
+Defined results: null text has no lines and stays null; lines without a word are
+kept; null doc_ids come last, and of equal doc_ids the text with the smaller hash is
+first; between tokens equally common at a place the greater in byte order makes
+the template; a text all of whose lines go becomes empty; repeated rows are treated
+alike; a very long text or line is treated whole; an empty table gives an empty
+result; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.quality_rules import SPACES, text_key
-from gleaner.llm.shared import written
+from gleaner.llm.shared import divided, fresh, quoted, written
 
 LEAD = 3
-LIMITS = {"min_docs": 5, "alike": 0.7, "min_tokens": 3}
-#: What ``dedup``, which has no SQL twin to agree with, has instead: lines of every length.
-DEDUP = {"min_tokens": 1}
+LIMITS = {"min_docs": 5, "long_docs": 2, "long_tokens": 50, "alike": 70, "constant": 50}
+#: A generalised token.
+ANY = "<*>"
 
 
 def _tokens(line: Column) -> Column:
@@ -43,7 +48,7 @@ def _tokens(line: Column) -> Column:
 
 
 def _general(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), F.lit("<*>")).otherwise(token)
+    return F.when(token.rlike("[0-9]"), F.lit(ANY)).otherwise(token)
 
 
 def _leaf(tokens: Column) -> Column:
@@ -51,91 +56,118 @@ def _leaf(tokens: Column) -> Column:
     return F.xxhash64(F.size(tokens), *(F.coalesce(_general(F.get(tokens, i)), F.lit("")) for i in range(LEAD)))
 
 
-def _recurring(following: DataFrame, group: list[str], min_docs: int) -> DataFrame:
-    """The groups that enough distinct texts follow, with the first of the texts."""
-    # nulls last: the flag comes first
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).getField("key").alias("first")
-    perdoc = following.groupBy(*group, "key").agg(F.min("doc_id").alias("doc_id"))
-    return written(perdoc.groupBy(*group).agg(F.count("*").alias("n"), first).where(F.col("n") >= min_docs).select(*group, "first"))
+def _steady(tokens: Column, constant: int) -> Column:
+    """Whether enough of the tokens are constant."""
+    return 100 * F.size(F.filter(tokens, lambda t: t != ANY)) >= constant * F.size(tokens)
 
 
-def _drops(docs: DataFrame, min_docs: int, alike: float, min_tokens: int) -> DataFrame:
-    """a, b (a text's key), at: numbers of the lines to drop, from 0."""
+def _groups(wordings: DataFrame, alike: int, constant: int) -> DataFrame:
+    """leaf, line, exact, group: the template, by its turn in the leaf, or the whole wording that each of the lines follows. Others follow none."""
+    same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
+    follows = 100 * same >= alike * F.size("tokens")
+    found, rest, left, turn = [], [], wordings, 0
+    while True:
+        seen = left.select("leaf", "weight", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("weight").alias("n"))
+        common = seen.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+        templates = common.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).getField("token").alias("template"))
+        met = left.join(templates.where(_steady(F.col("template"), constant)), "leaf", "left")
+        met = written(met.select("leaf", "line", "tokens", "weight", "need", F.coalesce(follows, F.lit(False)).alias("follows")))
+        # more lines than texts may follow a template, not fewer: one that too few follow can't recur, and the leaf has no more
+        often = met.groupBy("leaf").agg(F.sum(F.when(F.col("follows"), F.col("weight")).otherwise(0)).alias("n"), F.first("need").alias("need")).where(F.col("n") >= F.col("need")).select("leaf")
+        often = written(often)
+        found.append(met.where("follows").join(often, "leaf", "left_semi").select("leaf", "line", F.lit(False).alias("exact"), F.lit(turn).cast("long").alias("group")))
+        left = met.where(~F.col("follows")).drop("follows")
+        whole = left.join(often, "leaf", "left_anti").where(_steady(F.col("tokens"), constant) & (F.col("weight") >= F.col("need")))
+        rest.append(whole.select("leaf", "line", F.lit(True).alias("exact"), F.col("line").alias("group")))
+        left, turn = written(left.join(often, "leaf", "left_semi")), turn + 1
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found + rest)
+
+
+def _drops(docs: DataFrame, min_docs: int, long_docs: int, long_tokens: int, alike: int, constant: int) -> DataFrame:
+    """__a, __b (a text's key), __at: numbers of the lines to drop, from 0."""
+    need = lambda n: F.when(n >= long_tokens, long_docs).otherwise(min_docs)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", text_key(F.col("text")).alias("key"))
     tokens = texts.select("doc_id", "key", F.transform(F.split("text", "\n"), _tokens).alias("tokens"))
-    leaves = tokens.select("key", F.explode(F.array_distinct(F.transform(F.filter("tokens", lambda t: F.size(t) >= min_tokens), _leaf))).alias("leaf"))
-    shared = written(leaves.distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"))
+    paths = F.transform(F.filter("tokens", lambda t: F.size(t) > 0), lambda t: F.struct(_leaf(t).alias("leaf"), F.size(t).alias("size")))
+    leaves = tokens.select("key", F.explode(F.array_distinct(paths)).alias("p")).select("key", "p.leaf", "p.size").distinct()
+    shared = written(leaves.groupBy("leaf", "size").count().where(F.col("count") >= need(F.col("size"))).select("leaf"))
+
+    placed = tokens.select("doc_id", "key", F.posexplode("tokens").alias("at", "tokens")).where(F.size("tokens") > 0).withColumn("leaf", _leaf(F.col("tokens")))
+    inside = placed.join(shared, "leaf", "left_semi").select("leaf", "key", "at", "doc_id", F.transform("tokens", _general).alias("tokens"))
+    lines = inside.groupBy("leaf", "key", "at").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
+    lines = written(lines.select("leaf", F.xxhash64("tokens").alias("line"), "key", "at", "doc_id", "tokens"))
+    wordings = lines.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"), F.count("*").alias("weight"))
+    groups = written(_groups(written(wordings.withColumn("need", need(F.size("tokens")))), alike, constant))
+
+    group = ["leaf", "exact", "group"]
+    following = written(lines.select("leaf", "line", "key", "at", "doc_id", F.size("tokens").alias("size")).join(groups, ["leaf", "line"]).drop("line"))
+    # nulls last: the flag comes first
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).getField("key").alias("first")
+    texts_of = following.groupBy(*group, "key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"))
+    recurring = written(texts_of.groupBy(*group).agg(F.count("*").alias("n"), F.first("size").alias("size"), first).where(F.col("n") >= need(F.col("size"))).select(*group, "first"))
+    gone = following.join(recurring, group).where(F.col("key") != F.col("first")).select("key", "at")
+    return gone.groupBy(F.col("key.a").alias("__a"), F.col("key.b").alias("__b")).agg(F.collect_set("at").alias("__at"))
 
-    placed = tokens.select("doc_id", "key", F.posexplode("tokens").alias("at", "tokens")).where(F.size("tokens") >= min_tokens).withColumn("leaf", _leaf(F.col("tokens")))
-    inside = placed.join(shared, "leaf", "left_semi").groupBy("leaf", "key", "at").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
-    lines = written(inside.select("leaf", "key", "at", "doc_id", F.transform("tokens", _general).alias("tokens")))
 
-    same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
-    follows = same >= alike * F.size("tokens")
-    gone, left = [], []
-    while True:
-        seen = lines.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").count()
-        common = seen.groupBy("leaf", "place").agg(F.max_by("token", F.struct("count", "token")).alias("token"))
-        templates = written(common.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).getField("token").alias("template")))
-        following = lines.join(templates, "leaf").where(follows).select("leaf", "key", "at", "doc_id")
-        recurring = _recurring(following, ["leaf"], min_docs)
-        gone.append(following.join(recurring, "leaf").where(F.col("key") != F.col("first")).select("key", "at"))
-        # a leaf whose template no longer recurs has no more of them
-        exact = F.xxhash64("tokens").alias("line")
-        left.append(lines.join(recurring, "leaf", "left_anti").select("leaf", exact, "key", "at", "doc_id"))
-        lines = written(lines.join(templates.join(recurring, "leaf", "left_semi"), "leaf").where(~follows).drop("template"))
-        if lines.isEmpty():
-            break
-    # wordings of like number mix into a template that none follows: what is left goes by the whole generalised line
-    rest = reduce(DataFrame.unionByName, left)
-    whole = ["leaf", "line"]
-    gone.append(rest.join(_recurring(rest, whole, min_docs), whole).where(F.col("key") != F.col("first")).select("key", "at"))
-    return reduce(DataFrame.unionByName, gone).groupBy(F.col("key.a").alias("__a"), F.col("key.b").alias("__b")).agg(F.collect_set("at").alias("__at"))
-
-
-def drop_lines(docs: DataFrame, **limits: float) -> DataFrame:
-    """docs with shorter texts, and __lines and __dropped: how many lines there were and went."""
-    drops = written(_drops(docs, **(LIMITS | limits)))
+def drop_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped", **limits: int) -> DataFrame:
+    """docs with shorter texts, and two more columns of these names: how many lines there were and went."""
+    a, b, at, split = fresh(docs, "__a", "__b", "__at", "__split")
+    drops = written(_drops(docs, **(LIMITS | limits)).toDF(a, b, at))
     key = text_key(F.col("text"))
-    rows = docs.select("*", key.getField("a").alias("__a"), key.getField("b").alias("__b")).join(drops, ["__a", "__b"], "left")
-    rows = rows.withColumn("__split", F.split("text", "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), "__at")
-    shorter = F.array_join(F.transform(kept, lambda i: F.get(F.col("__split"), i)), "\n")
-    text = F.when(F.col("__at").isNull(), F.col("text")).otherwise(shorter).alias("text")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("__split")).cast("long").alias("__lines")
-    return rows.select(*(text if c == "text" else F.col(c) for c in docs.columns), n, F.coalesce(F.size("__at"), F.lit(0)).cast("long").alias("__dropped"))
+    clear, marked = divided(docs, key.getField("a"), drops, a)
+    marked = marked.join(drops.hint("merge"), (key.getField("a") == F.col(a)) & (key.getField("b") == F.col(b)), "left").withColumn(split, F.split("text", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), at)
+    shorter = F.array_join(F.transform(kept, lambda i: F.get(F.col(split), i)), "\n")
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(shorter).alias("text")
+    many = lambda x: F.when(F.col("text").isNull(), 0).otherwise(F.size(x)).cast("long").alias(n_lines)
+    marked = marked.select(*(text if c == "text" else quoted(c) for c in docs.columns), many(F.col(split)), F.coalesce(F.size(at), F.lit(0)).cast("long").alias(n_dropped))
+    return clear.select(*map(quoted, docs.columns), many(F.split("text", "\n")), F.lit(0).cast("long").alias(n_dropped)).unionByName(marked)
 
 
-def dedup(docs: DataFrame, **limits: float) -> DataFrame:
+def dedup(docs: DataFrame, **limits: int) -> DataFrame:
     """docs with recurring lines dropped from their texts; n_chars, where there is one, follows."""
-    out = drop_lines(docs, **(DEDUP | limits)).drop("__lines", "__dropped")
+    out = drop_lines(docs, *fresh(docs, "__lines", "__dropped"), **limits).select(*map(quoted, docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def report(docs: DataFrame, **limits: float) -> DataFrame:
+def report(docs: DataFrame, **limits: int) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_chars and text_sha256 of what is left."""
     out = drop_lines(docs.select("doc_id", "text"), **limits)
     left = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.length(left).cast("long").alias("n_chars"), F.sha2(left.cast("binary"), 256).alias("text_sha256"))
-
-
-#: The same tree over exact strings in DuckDB.
-SQL = r"""
-WITH t AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text),
-l AS (SELECT text, doc_id, string_split(text, chr(10)) AS ls FROM t),
-p AS (SELECT text, doc_id, i - 1 AS ln, regexp_extract_all(lower(ls[i]), '[^\x20\x09-\x0D]+') AS tok FROM l, unnest(range(1, len(ls) + 1)) AS u(i)),
-g AS (SELECT text, doc_id, ln, list_transform(tok, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok FROM p WHERE len(tok) >= 3),
-k AS (SELECT *, len(tok) || '|' || tok[1] || '|' || tok[2] || '|' || tok[3] AS leaf FROM g),
-s AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT text) >= 5),
-h AS (SELECT * FROM k SEMI JOIN s USING (leaf)),
-c AS (SELECT leaf, i AS place, tok[i] AS token, count(*) AS n FROM h, unnest(range(1, len(tok) + 1)) AS u(i) GROUP BY ALL),
-b AS (SELECT leaf, place, token FROM c QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) = 1),
-m AS (SELECT h.leaf, h.text, h.ln, any_value(h.doc_id) AS doc_id FROM h, unnest(range(1, len(h.tok) + 1)) AS u(i)
-      JOIN b ON b.leaf = h.leaf AND b.place = i GROUP BY h.leaf, h.text, h.ln, len(h.tok) HAVING count(*) FILTER (b.token = h.tok[i]) >= 0.7 * len(h.tok)),
-r AS (SELECT leaf, arg_min(text, doc_id) AS first FROM m GROUP BY leaf HAVING count(DISTINCT text) >= 5),
-x AS (SELECT m.text, list(DISTINCT m.ln) AS gone FROM m JOIN r USING (leaf) WHERE m.text <> r.first GROUP BY m.text),
-o AS (SELECT d.doc_id, string_split(d.text, chr(10)) AS ls, x.gone FROM documents d LEFT JOIN x USING (text)),
-q AS (SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(gone), 0) AS n_dropped,
-             coalesce(array_to_string(list_filter(ls, lambda y, i: gone IS NULL OR NOT list_contains(gone, i - 1)), chr(10)), '') AS left_text FROM o)
-SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, length(left_text)::BIGINT AS n_chars, sha256(left_text) AS text_sha256 FROM q
-"""
+    return out.select("doc_id", "n_lines", "n_dropped", F.length(left).cast("long").alias("n_chars"), F.sha2(left.cast("binary"), 256).alias("text_sha256"))
+
+
+def sql(turns: int = 12, min_docs: int = 5, long_docs: int = 2, long_tokens: int = 50, alike: int = 70, constant: int = 50) -> str:
+    """The same tree over exact strings in DuckDB, for at most so many templates a leaf."""
+    need = lambda n: f"(CASE WHEN {n} >= {long_tokens} THEN {long_docs} ELSE {min_docs} END)"
+    steady = lambda t: f"100 * len(list_filter({t}, lambda y: y <> '{ANY}')) >= {constant} * len({t})"
+    parts = [
+        "t AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text)",
+        "l AS (SELECT text, doc_id, string_split(text, chr(10)) AS ls FROM t)",
+        r"p AS (SELECT text, doc_id, i - 1 AS ln, regexp_extract_all(lower(ls[i]), '[^\x20\x09-\x0D]+') AS tok FROM l, unnest(range(1, len(ls) + 1)) AS u(i))",
+        f"g AS (SELECT text, doc_id, ln, list_transform(tok, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{ANY}' ELSE x END) AS tok FROM p WHERE len(tok) > 0)",
+        "k AS (SELECT *, len(tok) || '|' || tok[1] || '|' || coalesce(tok[2], '') || '|' || coalesce(tok[3], '') AS leaf FROM g)",
+        f"s AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT text) >= {need('any_value(len(tok))')})",
+        "h AS MATERIALIZED (SELECT * FROM k SEMI JOIN s USING (leaf))",
+        f"o0 AS (SELECT leaf, tok, count(*) AS weight, {need('len(tok)')} AS need FROM h GROUP BY leaf, tok)",
+    ]
+    for i in range(turns):
+        parts += [
+            f"c{i} AS (SELECT leaf, i AS place, tok[i] AS token, sum(weight) AS n FROM o{i}, unnest(range(1, len(tok) + 1)) AS u(i) GROUP BY ALL)",
+            f"b{i} AS (SELECT leaf, place, token FROM c{i} QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) = 1)",
+            f"m{i} AS (SELECT leaf, list(token ORDER BY place) AS template FROM b{i} GROUP BY leaf)",
+            f"f{i} AS MATERIALIZED (SELECT o.*, coalesce({steady('template')} AND 100 * len(list_filter(range(1, len(tok) + 1), lambda y: tok[y] = template[y])) >= {alike} * len(tok), false) AS follows FROM o{i} AS o JOIN m{i} USING (leaf))",
+            f"n{i} AS (SELECT leaf FROM f{i} GROUP BY leaf HAVING sum(CASE WHEN follows THEN weight ELSE 0 END) >= any_value(need))",
+            f"o{i + 1} AS MATERIALIZED (SELECT leaf, tok, weight, need FROM f{i} SEMI JOIN n{i} USING (leaf) WHERE NOT follows)",
+        ]
+    whole = " UNION ALL ".join([f"SELECT leaf, tok, {i} AS turn, NULL AS line FROM f{i} SEMI JOIN n{i} USING (leaf) WHERE follows" for i in range(turns)] + [f"SELECT leaf, tok, -1, tok FROM f{i} ANTI JOIN n{i} USING (leaf) WHERE NOT follows AND weight >= need AND {steady('tok')}" for i in range(turns)])
+    parts += [
+        f"a AS ({whole})",
+        "fo AS MATERIALIZED (SELECT h.text, h.ln, h.doc_id, leaf, tok, turn, coalesce(array_to_string(line, ' '), '') AS line FROM h JOIN a USING (leaf, tok))",
+        f"r AS (SELECT leaf, turn, line, arg_min(text, doc_id) AS first FROM fo GROUP BY leaf, turn, line HAVING count(DISTINCT text) >= {need('any_value(len(tok))')})",
+        "x AS (SELECT fo.text, list(DISTINCT fo.ln) AS gone FROM fo JOIN r USING (leaf, turn, line) WHERE fo.text <> r.first GROUP BY fo.text)",
+        "z AS (SELECT d.doc_id, string_split(d.text, chr(10)) AS ls, x.gone FROM documents d LEFT JOIN x USING (text))",
+        "q AS (SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(gone), 0) AS n_dropped, coalesce(array_to_string(list_filter(ls, lambda y, i: gone IS NULL OR NOT list_contains(gone, i - 1)), chr(10)), '') AS left_text FROM z)",
+    ]
+    return f"WITH {', '.join(parts)} SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, length(left_text)::BIGINT AS n_chars, sha256(left_text) AS text_sha256 FROM q"

@@ -6,25 +6,28 @@ normalised (lower case, single spaces) and hashed, and for each host the distinc
 texts that hold a line are counted. Lines, however long, that more than
 ``max_docs`` texts of a host hold are removed, and a document that keeps fewer
 than ``least_words`` words or less than ``least_share`` of its words is rejected.
-Exact copies count as one text, so copies of a clean text stay. The SQL twin
-leaves lines of more than 40 words uncounted; the two differ only where more than
-``max_docs`` texts of a host share such a line.
+Exact copies count as one text, so copies of a clean text stay.
 
-``documents`` has no host; its ``source`` stands for it. Texts are read once, and
-only line hashes, counts and text hashes are moved between machines.
+``documents`` has no host; its ``source`` stands for it. Line hashes, counts and
+text hashes are moved between machines. ``keep`` moves the texts of rows that a
+bitmap of rejected keys marks, which are little more than those rejected; all
+others stay where they are read.
 
 Defined results: null text has no words and fails the base; null source is a host
 of its own, shared with the empty name; repeated rows are judged alike; an empty
-table gives an empty result; extra columns are ignored by ``judge`` and kept by
-``keep``.
+table gives an empty result; a very long text is one row of its own, judged whole;
+a line that exactly ``max_docs`` texts hold stays; extra columns are ignored by
+``judge`` and kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import written
+from gleaner.llm.shared import divided, fresh, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -102,10 +105,13 @@ def judge(docs: DataFrame, **limits: float) -> DataFrame:
 def keep(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows of docs that judge keeps, with all their columns."""
     out = _verdicts(docs, **(LIMITS | limits)).where(~F.col("kept"))
-    out = written(out.select(F.col("host").alias("__host"), F.col("key.a").alias("__a"), F.col("key.b").alias("__b")).distinct())
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("*", F.coalesce("source", F.lit("")).alias("__host"), text_key(text).getField("a").alias("__a"), text_key(text).getField("b").alias("__b"))
-    return rows.join(out, ["__host", "__a", "__b"], "left_anti").select(*docs.columns)
+    names = host, a, b = fresh(docs, "__host", "__a", "__b")
+    out = written(out.select(F.col("host").alias(host), F.col("key.a").alias(a), F.col("key.b").alias(b)).distinct())
+    key = text_key(F.coalesce("text", F.lit("")))
+    clear, marked = divided(docs, key.getField("a"), out, a)
+    own = (F.coalesce("source", F.lit("")), key.getField("a"), key.getField("b"))
+    same = reduce(Column.__and__, (x == F.col(y) for x, y in zip(own, names, strict=True)))
+    return clear.unionByName(marked.join(out.hint("merge"), same, "left_anti"))
 
 
 #: The same rules over exact strings in DuckDB.
@@ -118,8 +124,8 @@ rep AS (SELECT r, count(DISTINCT i + k) AS n FROM win JOIN dup USING (r, g), unn
 l AS (SELECT r, host, t, line FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dl AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
 nl AS (SELECT r, host, t, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
-f AS (SELECT host, line FROM nl WHERE n <= 40 GROUP BY host, line HAVING count(DISTINCT t) > 20),
-rm AS (SELECT r, sum(n) AS n FROM nl SEMI JOIN f USING (host, line) WHERE n <= 40 GROUP BY r),
+f AS (SELECT host, line FROM nl GROUP BY host, line HAVING count(DISTINCT t) > 20),
+rm AS (SELECT r, sum(n) AS n FROM nl SEMI JOIN f USING (host, line) GROUP BY r),
 m AS (SELECT r, doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols FROM w),
 j AS (SELECT m.*, coalesce(dl.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, n_words - coalesce(rm.n, 0) AS words_left
       FROM m LEFT JOIN dl USING (r) LEFT JOIN rep USING (r) LEFT JOIN rm USING (r))

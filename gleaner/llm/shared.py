@@ -8,7 +8,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but these bytes: space and \t \n \v \f \r.
 SPACE_BYTES = (0x20, *range(0x09, 0x0E))
@@ -26,8 +27,10 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where it names none, a folder in the warehouse."""
+    """The shared folder that the cluster names. Where it names none, a folder in the warehouse, on one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
 
 
@@ -57,3 +60,40 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where df has columns of that name already."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        found.append(name)
+    return found
+
+
+#: Bits of the bitmap that ``divided`` broadcasts, as CELLS / 64 numbers: 1 MB whatever the data's size.
+CELLS = 1 << 22
+
+
+def divided(df: DataFrame, hashed: Column, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose hash isn't in the column key of keys for certain, and the other rows, most of which have theirs there.
+
+    No row of df moves: only a bitmap of fixed size is broadcast. So a join with
+    keys moves the second part only, however large df is.
+    """
+    cell = F.col(key).bitwiseAND(CELLS - 1)
+    word, bits = fresh(df, "__word", "__bits")
+    place = lambda c: c.bitwiseAND(63).cast("int")
+    words = keys.groupBy(F.shiftright(cell, 6).alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place(cell))).alias(bits))
+    own = hashed.bitwiseAND(CELLS - 1)
+    met = df.join(F.broadcast(written(words)), F.shiftright(own, 6) == F.col(word), "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col(bits), place(own)).bitwiseAND(1) == 1, F.lit(False))
+    return met.where(~hit).select(*map(quoted, df.columns)), met.where(hit).select(*map(quoted, df.columns))
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")

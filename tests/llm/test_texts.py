@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gleaner.llm import context_tree, digests, language_id, line_templates, quality_rules, words
+from gleaner.llm import context_tree, digests, jaccard_join, language_id, line_templates, quality_rules, words
 
 
 def test_digests_equal_brute_force(docs, texts, empty):
@@ -71,7 +71,7 @@ def test_templates(spark, docs, empty):
     rows = [(i, f"start {c * 4} alpha\nServer {i} at host h{i} took 12ms to start up today\nend {c * 5} of mine", "k") for i, c in enumerate("abcdefgh")]
     frame = spark.createDataFrame(rows + [(8, None, None), (9, "", ""), (7, rows[7][1], "k")], "doc_id long, text string, n_chars string")
     out = {r.doc_id: r for r in line_templates.drop_lines(frame).collect()}
-    assert out[0]["__dropped"] == 0 and all(out[i]["__dropped"] == 1 for i in range(1, 8))
+    assert out[0].n_dropped == 0 and all(out[i].n_dropped == 1 for i in range(1, 8))
     assert out[3].text == "start dddd alpha\nend ddddd of mine"
     assert out[8].text is None and out[9].text == "" and line_templates.drop_lines(frame).count() == 11
     assert line_templates.drop_lines(empty).count() == 0
@@ -87,6 +87,47 @@ def test_templates_of_one_leaf(spark):
         assert [r.doc_id for r in out if c in r.text] == [100 * k]
 
 
+def test_two_kinds_of_lines_in_a_leaf(spark):
+    kinds = ["server started at host now with full load today", "server started at node later under light traffic yesterday"]
+    rows = [(20 * k + i, f"{line}\nown {'xyzuvwrst'[i] * 3} of {'ab'[k]}") for k, line in enumerate(kinds) for i in range(9 - k)]
+    out = line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sum(r.n_dropped for r in out) == 15 and {r.doc_id for r in out if not r.n_dropped} == {0, 20}
+
+
+def test_numbers_alone_make_no_template(spark):
+    rows = [(i, f"{i}.{i} {i * 7} x{i}\nrow {i}") for i in range(30)]
+    out = {r.doc_id: r.n_dropped for r in line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert out == {i: int(i > 0) for i in range(30)}  # "row <*>" is half constant
+
+
+def test_long_lines_recur_in_two_texts(spark):
+    passage, short = " ".join(f"{c}{d}" for c in "abcdefghij" for d in "klmnop"), "a line of some seven words only"
+    rows = [(i, f"{passage}\n{short}\nown {c * 9}") for i, c in enumerate("abc")] + [(7, passage.replace("ak", "ab") + "\nrest of it")]
+    out = {r.doc_id: (r.n_dropped, r.text) for r in line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert [out[i][0] for i in (0, 1, 2)] == [0, 1, 1] and all(short in out[i][1] for i in range(3))
+    assert out[7][0] == 0  # another first word is another leaf
+
+
+def test_ties_between_tokens_and_texts(spark):
+    rows = [(None, "one two three four five\nz"), *((4, f"one two three four five\n{c * 5} end") for c in "abcde")]
+    out = line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sum(r.n_dropped for r in out) == 5 and [r.n_dropped for r in out if r.doc_id is None] == [1]
+
+
+NAMES = "doc_id long, text string, source string, __a int, __b string, __at int, __split string, __host string, __lines int, __dropped int, __word int, __bits int, __id int, `a.b` string"
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"the same old line of a host\n{' '.join(c * 3 + str(j) for j in range(30))}" if i < 26 else None, "s", 1, "b", 2, "c", "h", 3, 4, 5, 6, 7, "d") for i, c in enumerate("abcdefghijklmnopqrstuvwxyzAB")]
+    rows += [(90 + i, "the same old line of a host " * (i + 1), "s", 1, "b", 2, "c", "h", 3, 4, 5, 6, 7, "d") for i in range(2)]
+    docs = spark.createDataFrame(rows, NAMES).repartition(2)
+    for out in (quality_rules.keep(docs), line_templates.dedup(docs), jaccard_join.representatives(docs)):
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(tuple(r)[2:] == rows[0][2:] for r in found)
+    assert quality_rules.keep(docs).count() == 26 and line_templates.dedup(docs).count() == 30
+
+
 def test_dedup_of_short_lines(spark):
     rows = [(i, f"Les.\nAnd ornd.\n{c * 4} only") for i, c in enumerate("abcdefg")]
     out = {r.doc_id: r.text for r in line_templates.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
