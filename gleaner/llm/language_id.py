@@ -6,32 +6,33 @@ with length one. Each language has up to ``clusters`` centroids from spherical
 k-means. A text gets the language of the centroid with the largest cosine. It is
 rejected if that cosine is under a floor taken from the training texts' own.
 
-The classifier is fitted on a bounded sample: for each language, about
-``per_language`` of its labelled training rows, those whose hashed doc_id is
-smallest. Only their vectors reach the driver.
+The classifier is fitted on a bounded sample: for each of at most ``languages``
+languages (the commonest), at most ``per_language`` of its labelled training rows,
+those whose hash of doc_id and text is smallest. Only their vectors reach the
+driver.
 
 Defined results: a null text, or one without a letter, gets ``und``, score 0 and
 is rejected; with nothing to learn from, all texts do. A null doc_id is not held
 out, and not learned from. Ties go to the language first in alphabetical order.
-Repeated rows are judged row by row; an empty table gives an empty result.
+Repeated rows are judged row by row, and may be learned from more than once; a very
+long text is one vector of the whole; an empty table gives an empty result. Extra
+columns are ignored by ``identify`` and kept by ``accepted``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.shared import prepare, text_buffer
 
 DIMS = 4096
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes hashed at a time.
 STEP = 1 << 20
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -86,7 +87,7 @@ class LanguageModel:
 
     def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         texts = column.to_pylist()
-        lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool)
+        lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
         if not self.languages or not texts:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         cosines = _unit(np.log1p(trigram_counts(column)) * self.idf) @ self.centroids.T
@@ -95,13 +96,22 @@ class LanguageModel:
         return [self.languages[b] if known else UNKNOWN for b, known in zip(best, lettered, strict=True)], score, ~lettered | (score < self.floor)
 
 
-def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = 400, clusters: int = 4) -> LanguageModel:
-    prepare(docs.sparkSession)
+def _sample(docs: DataFrame, modulus: int, held: int, per_language: int, languages: int) -> DataFrame:
+    """lang, text of the rows learned from."""
     labelled = docs.select("doc_id", "text", "lang").where((remainder(modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
-    place = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.join(F.broadcast(sizes), "lang").where(place < share).select("lang", "text")  # a row for each language label
+    labelled = labelled.withColumn("place", F.xxhash64(F.lit(10), "doc_id", "text"))
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    # each task passes on its least places only, and no text moves before the bound is known
+    ranked = labelled.select("lang", "place").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
+    bounds = ranked.where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("place").alias("most")).join(common, "lang", "left_semi")
+    near = labelled.join(F.broadcast(bounds), "lang").where(F.col("place") <= F.col("most"))
+    exact = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place")))  # rows that repeat have the same place
+    return exact.where(F.col("rank") <= per_language).select("lang", "text")
+
+
+def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = 400, clusters: int = 4, languages: int = 100) -> LanguageModel:
+    prepare(docs.sparkSession)
+    sample = _sample(docs, modulus, held, per_language, languages)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,15 +123,20 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = 40
     rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))  # the same model however rows arrive
     if not rows:
         return LanguageModel([], np.zeros((0, DIMS)), np.ones(DIMS), 0.0)
-    x = np.zeros((len(rows), DIMS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = r["n"]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    x = _unit(np.log1p(x) * idf)
-    names = np.array([r["lang"] for r in rows])
-    found = [(lang, c) for lang in sorted(set(names)) for c in _clusters(x[names == lang], clusters)]
+    seen = np.bincount(np.concatenate([np.array(r["at"], np.int64) for r in rows]), minlength=DIMS)
+    idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + np.float32(1)
+
+    def of(lang: str) -> np.ndarray:
+        own = [r for r in rows if r["lang"] == lang]
+        x = np.zeros((len(own), DIMS), np.float32)
+        for i, r in enumerate(own):
+            x[i, r["at"]] = r["n"]
+        return _unit(np.log1p(x) * idf)
+
+    names = sorted({r["lang"] for r in rows})
+    found = [(lang, c) for lang in names for c in _clusters(of(lang), clusters)]
     centroids = np.array([c for _, c in found], np.float32)
-    own = (x @ centroids.T).max(axis=1)
+    own = np.concatenate([(of(lang) @ centroids.T).max(axis=1) for lang in names])
     return LanguageModel([lang for lang, _ in found], centroids, idf, float(np.quantile(own, 0.01)) / 2)
 
 

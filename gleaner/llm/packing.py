@@ -12,12 +12,15 @@ together over all blocks.
 
 Defined results: a null text counts as empty, which is one piece, the end token
 alone; repeated rows are packed row by row; null doc_ids are kept; an empty table
-gives an empty result. Extra columns are ignored.
+gives an empty result; a very long text is encoded whole and cut into many pieces;
+equal lengths are packed in order of doc_id and piece, and of packings with as many
+sequences the one whose free space lies in fewer of them is taken. Strings of
+special tokens in a text are what the library makes of them by default. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
 import random
 import re
 import zlib
@@ -29,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.byte_bpe import byte_characters
 from gleaner.llm.shared import prepare, written
 
 CAPACITY = 2048
@@ -37,25 +39,22 @@ CAPACITY = 2048
 BLOCK, ISLANDS, EPOCHS, CROSSOVERS = 4096, 2, 2, 12
 #: Entries that a worker's cache of chunks holds.
 CACHED = 250_000
+#: A space between two other characters: no token of the pattern reaches over it to the left.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s|\A\s|\s\Z")
 
 
 class _Chunks(dict):
-    """Chunk between two spaces -> little-endian ids of the chunk with its leading space."""
+    """Chunk between two spaces -> little-endian ids of the chunk with its leading space, by the tokenizers library."""
 
     def __init__(self, path: str):
         super().__init__()
-        import tiktoken
-        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
 
-        reverse = {c: b for b, c in byte_characters().items()}
-        with open(path, encoding="utf-8") as file:
-            vocab = json.load(file)["model"]["vocab"]
-        ranks = {bytes(reverse[c] for c in token): i for token, i in vocab.items() if all(c in reverse for c in token)}
-        self.whole = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.tokenizer = Tokenizer.from_file(path)
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.whole(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.ids(f" {chunk}")
@@ -64,9 +63,7 @@ class _Chunks(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if not text or _RUN.search(text):
-            return self.ids(text)
-        first, *rest = text.split(" ")
+        first, *rest = _CUT.split(text) if _RUN.search(text) else text.split(" ")
         return b"".join([self.ids(first), *map(self.__getitem__, rest)])
 
 
@@ -196,7 +193,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]],
 
 
 def _solve(items: DataFrame, capacity: int, salt: int) -> DataFrame:
-    """items with block and bin."""
+    """items with block and bin. items come from a written table: its rows have the same numbers when a lost task is run again."""
     n = items.count()
     blocks = max(1, -(-n // BLOCK))
     ids = [c for c in items.columns if c not in ("block", "bin")]
@@ -231,14 +228,14 @@ def _solve(items: DataFrame, capacity: int, salt: int) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset."""
     prepare(pieces.sparkSession)
-    names = pieces.columns
+    names, pieces = pieces.columns, written(pieces)
     part = F.lit(1 << 20)  # bins of a block at most
     short = pieces.where(F.col("length") < capacity)
     once = written(_solve(short, capacity, 1))
     fill = once.groupBy("block", "bin").agg(F.sum("length").alias("fill"))
     loose = once.join(fill.where(F.col("fill") < capacity * 0.97), ["block", "bin"], "left_semi")
     firm = once.join(fill.where(F.col("fill") >= capacity * 0.97), ["block", "bin"], "left_semi")
-    twice = _solve(loose.select(*names), capacity, 2)
+    twice = _solve(written(loose.select(*names)), capacity, 2)
     number = lambda d, turn: d.select(*names, ((F.col("block").cast("long") * part + F.col("bin")) * 3 + turn).alias("sequence_id"))
     packed = number(firm, 0).unionByName(number(twice, 1))
     order = Window.partitionBy("sequence_id").orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -249,4 +246,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(written(token_pieces(docs, path, capacity)), capacity)
+    return pack(token_pieces(docs, path, capacity), capacity)

@@ -125,7 +125,6 @@ def test_representatives(docs):
 
 def check_packing(rows, texts, capacity):
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     want = collections.Counter()
     for i, t in texts:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
@@ -152,6 +151,15 @@ def test_packing(docs, texts, empty):
     assert packing.pack_documents(empty, BPE).count() == 0
 
 
+def test_packing_ids_are_the_library_s(spark):
+    odd = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b  c", " lead and trail ", "two  spaces\n\nand\tlines \n end", "x\u00a0y \u3000z \x1c w \x85 v", "don't  we'll 12  3.5 !? ..", "a \n b", "word " * 5000]
+    texts = list(enumerate(odd))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    check_packing(packing.pack_documents(frame, BPE).collect(), texts, packing.CAPACITY)
+    ids = np.frombuffer(packing._chunks(BPE).encode(odd[0]), "<u4").tolist()
+    assert ids == [31373, 220, 50256, 995]
+
+
 def test_packing_blocks(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 40)
     rng = random.Random(2)

@@ -196,6 +196,22 @@ def test_word_hashes():
     assert words.word_hashes(*text_buffer(pa.array([], pa.string())))[0].size == 0
 
 
+def test_signs_are_no_letters(spark):
+    rows = [(i, "abc def ghi " * 9, "aa") for i in range(40)] + [(50, "² ½ 3 !", "aa"), (51, "² ½ é", "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.lang_pred for r in language_id.identify(frame, language_id.fit(frame)).collect()}
+    assert out[50] == "und" and out[51] == "aa"
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, f"text {i} of it", ("aa", "bb", "cc")[min(i % 5, 2)]) for i in range(600)] + [(1, "the same", "bb")] * 50
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    import collections
+
+    got = collections.Counter(r.lang for r in language_id._sample(frame, 4, 2, 30, 2).collect())
+    assert got == {"cc": 30, "bb": 30}
+
+
 def test_language(spark, docs, empty):
     import random
 
