@@ -7,12 +7,15 @@ in. Two digests compare by a difference score, bounded by ``WORST``; likeness is
 one less its share of that bound.
 
 ``fingerprints`` also digests an edited text, whose end comes from the next
-document by descending doc_id. Rows are dealt to ranges of doc_id; the first row
-of a range also goes to the range before it, so texts are shuffled once and no
-task sees more than a range.
+document by descending doc_id. Rows are dealt to ranges of doc_id, each of which
+begins at a doc_id of the table picked by hash; the first row of a range also goes
+to the range before it, so texts are shuffled once and no task sees more than a
+range. Ranges hold ``RANGE_BYTES`` of text on average, or more where there would be
+over ``RANGES`` of them: only so many doc_ids, 8 MB, ever reach the driver or a task.
 
 Defined results: null text counts as empty; null doc_ids come last; rows with
-equal doc_ids go by text; a table of one row is its own next document; an empty
+equal doc_ids go by text, and repeated rows follow one another; a table of one row
+is its own next document; a very long text is digested whole, in steps; an empty
 table gives an empty result. Extra columns are ignored.
 """
 
@@ -20,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,8 @@ TRIPLETS = (((0, 1, 2), 2654435761), ((0, 1, 3), 2246822519), ((0, 2, 3), 326648
 WORST = 400
 #: Bytes hashed at a time.
 STEP = 1 << 19
+#: Bytes of text that a range aims at, and the most ranges.
+RANGE_BYTES, RANGES = 4 << 20, 1 << 20
 
 
 def _bucket_counts(texts: list[bytes]) -> np.ndarray:
@@ -109,16 +113,24 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprints(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
+def range_heads(rows: DataFrame, range_bytes: int, most: int = RANGES) -> np.ndarray:
+    """The largest doc_id and about one in as many as fill a range, descending."""
+    known = rows.where(F.col("doc_id").isNotNull())
+    size = known.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.max("doc_id").alias("last")).first()
+    if not size.n:
+        return np.zeros(0, np.int64)
+    ranges = min(most // 2, (size.bytes or 0) // range_bytes)  # their number varies about this
+    place = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 40))
+    picked = known.where(place < F.lit(int((1 << 40) * ranges / size.n))).select("doc_id").distinct().limit(most)
+    return np.array(sorted({size.last, *picked.toArrow().column("doc_id").to_pylist()}, reverse=True), np.int64)
+
+
+def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each whole text."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select("doc_id", "text")
-    ids = rows.select("doc_id")
-    ranges = max(1, -(-ids.count() // rows_per_range))
-    split = ids.repartitionByRange(ranges, F.desc_nulls_last("doc_id"))
-    heads = split.groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("head"))  # one number a range
-    firsts = np.array(sorted({r.head for r in heads.collect() if r.head is not None}, reverse=True), np.int64)
+    firsts = range_heads(rows, range_bytes)
     last = max(len(firsts) - 1, 0)
 
     @F.pandas_udf("array<int>")
@@ -154,15 +166,3 @@ def fingerprints(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def brute_force(rows: Iterable[tuple[int | None, str | None]]) -> list[tuple]:
-    """What fingerprints gives, in plain Python, for tests."""
-    ordered = sorted(((i, t or "") for i, t in rows), key=_order)
-    found = []
-    for k, (i, text) in enumerate(ordered):
-        following = ordered[(k + 1) % len(ordered)][1]
-        changed = edited(text, following)
-        a, b, c = (digests([x.encode()]) for x in (text, changed, following))
-        found.append((i, len(text), hashlib.sha256(changed.encode()).hexdigest(), a[0], b[0], float(likeness(a, b)[0]), float(likeness(a, c)[0])))
-    return found

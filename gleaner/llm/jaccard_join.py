@@ -5,31 +5,35 @@ documents link when their intersection is at least four fifths of their union.
 Documents with equal sets are one class and are searched once.
 
 Tokens are ordered rare class first, then by hash; a token is in the frequent
-class if a hashed cell of its count over all data reaches ``FREQUENT``. The prefix
-of a set of n is its first n - ceil(4n/5) + 1 tokens; two linked sets share a token
-of both prefixes. Rare tokens of the prefix are indexed one by one. A set whose
-prefix runs into the frequent class is indexed by token combinations as well: its
-tokens are dealt by hash to 2d + 1 groups, d being the most tokens in which linked
-sets of such sizes can differ, and each group's tokens together are one key. At
-most d groups differ, so linked sets share more keys than d groups can leave empty;
-a set with more empty groups than d gets a key for that. Sizes go by classes whose
-bounds grow by a quarter, and a set is indexed for its class and the one below.
+class if a hashed cell of its count over all data reaches ``FREQUENT``. Of a set of
+n tokens at most d = n // 5 are missing from a set that it links with. Rare tokens
+are indexed one by one, and d + 1 of them are prefix enough. A set with fewer
+extends its prefix into the frequent tokens, which hash into as many classes as a
+set of its size has tokens to miss, and indexes the two-token combinations of each
+class. A class of which two sets share no combination holds one shared token at
+most, so the prefix ends where its rare tokens and all but one token of each class
+are d + 1: sets that link then share a rare token or a combination of both
+prefixes. The number of classes goes by size levels that double; a set whose
+partners may be of the level below is indexed for both.
 
 Candidates: every set under a key is compared with the key's leader only, and
 verified links make components. Sets outside the leader's component are compared
-with up to ORDERS of its members, and links make components anew. Keys whose sets still
-lie in several components then compare sets across components, those outside the leader's with all others,
-behind a bit-parity bound on the difference; nothing else can add to the
-components. Verification counts the exact intersection.
+with up to ORDERS of its members, and links make components anew. Sets that are
+still outside are then compared with the sets of other components under their
+keys, behind a bit-parity bound on the difference; a pair that shares several keys
+is met under the first of them. Nothing else can add to the components.
+Verification counts the exact intersection.
 
 Moved between machines: about a fifth of the shingles as key and class; full sets
-only of pairs that the parity bound lets through. Nothing of all documents is collected; what is
-broadcast are two bitmaps of fixed size.
+only of pairs that the parity bound lets through; and, for ``representatives``, the
+texts of rows that a bitmap of dropped ids marks. Nothing of all documents is
+collected; what is broadcast are bitmaps of fixed size.
 
 Defined results: null or blank texts have 0 shingles and link with nothing; fewer
 words than five count as one shingle; a null doc_id is in its class's component
-but never names one unless all are null; repeated rows link; an empty table gives
-an empty result. Extra columns are ignored.
+but never names one unless all are null; repeated rows link; a very long text is
+one set of all its shingles; pairs at 0.8 exactly link; an empty table gives an empty
+result. Extra columns are ignored by ``join`` and kept by ``representatives``.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import prepare, text_buffer, written
+from gleaner.llm.shared import divided, fresh, prepare, quoted, text_buffer, written
 from gleaner.llm.words import mix, word_hashes
 
 SHINGLE = 5
@@ -50,6 +54,8 @@ SHINGLE = 5
 FREQUENT, LOCAL, CHUNK = 64, 8, 2_000_000
 #: Members of a leader's component that a class outside it is compared with, for each key.
 ORDERS = 16
+#: First keys of a set that it is known by: a pair is met under no later key than the first that both have among these.
+FIRSTS = 8
 #: Bits of the bitmaps that are broadcast.
 CELLS = 1 << 22
 STEP = 1 << 20
@@ -138,34 +144,40 @@ def classes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n int, parity array<long>, cell long, count long")
 
 
-@lru_cache(1)
-def _bounds() -> np.ndarray:
-    """First size of each class."""
-    found = [1]
-    while found[-1] < 1 << 40:
-        found.append(found[-1] * 5 // 4 + 1)
-    return np.array(found)
+def size_levels(n: int) -> list[int]:
+    """Least sizes of the levels that a set of n tokens is indexed for."""
+    own = 4 << max(0, (n // 4).bit_length() - 1)
+    return [own, own // 2] if own > 4 and 4 * n < 5 * own else [own]
 
 
-def combinations(tokens: np.ndarray) -> np.ndarray:
-    """Keys of a set's token combinations, for its size class and the one below."""
-    bounds = _bounds()
-    own = int(np.searchsorted(bounds, len(tokens), side="right")) - 1
+def combinations(frequent: np.ndarray, missing: int, level: int) -> np.ndarray:
+    """Keys of the pairs within classes of a prefix of the frequent tokens; it has missing tokens besides one of each class."""
+    classes = (frequent >> np.uint64(20)) % np.uint64(level // 5 + 1)
+    first = np.zeros(len(frequent), bool)
+    first[np.unique(classes, return_index=True)[1]] = True
+    end = int(np.searchsorted(np.cumsum(~first), missing)) + 1
+    order = np.argsort(classes[:end], kind="stable")
+    tokens, classes = frequent[order], classes[order]
     found = []
-    for level in {own, max(own - 1, 0)}:
-        largest = int(bounds[level + 1]) - 1
-        differ = (largest + largest * 5 // 4) // 9
-        groups = 2 * differ + 1
-        group = (tokens >> np.uint64(20)) % np.uint64(groups)
-        order = np.argsort(group, kind="stable")
-        starts = np.flatnonzero(np.diff(group[order], prepend=np.uint64(groups)))
-        sums = np.add.reduceat(mix(tokens[order] + np.uint64(7)), starts)
-        found.append(mix(sums + group[order][starts] * np.uint64(_FACTORS[1]) + np.uint64(level)))
-        if groups - len(starts) > differ:
-            found.append(mix(np.array([level], np.uint64) + np.uint64(1 << 50)))
+    for apart in range(1, len(tokens)):
+        same = classes[apart:] == classes[:-apart]
+        if not same.any():
+            break
+        found.append(mix(tokens[:-apart][same] * np.uint64(_FACTORS[0]) + tokens[apart:][same] * np.uint64(_FACTORS[1]) + np.uint64(level)))
     return np.concatenate(found)
 
 
+def signatures(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Index entries of a set, given which of its tokens are frequent. Sets of three tokens or fewer link with equal ones only."""
+    if len(tokens) < 4:
+        return tokens[:0]
+    need = len(tokens) // 5 + 1
+    rare = tokens[~common][:need]
+    if len(rare) == need:
+        return rare
+    return np.concatenate([rare, *(combinations(tokens[common], need - len(rare), level) for level in size_levels(len(tokens)))])
+
+
 def index(docs: DataFrame, frequent: bytes) -> DataFrame:
     """token, key, n: index entries of each class, once a task at least."""
 
@@ -174,16 +186,14 @@ def index(docs: DataFrame, frequent: bytes) -> DataFrame:
         for batch in batches:
             entries, keys, sizes = [], [], []
             for tokens in shingle_sets(batch.column("text")):
-                n = len(tokens)
-                if not n or (key := set_key(tokens)) in met:
+                if not len(tokens) or (key := set_key(tokens)) in met:
                     continue
                 met.add(key)
-                prefix = n - -(-4 * n // 5) + 1
-                rare = tokens[~common[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]]
-                own = [rare[:prefix]] + ([combinations(tokens)] if len(rare) < prefix else [])
-                entries += own
-                keys.append((key, sum(map(len, own))))
-                sizes.append(n)
+                own = signatures(tokens, common[(tokens & np.uint64(CELLS - 1)).astype(np.int64)])
+                if len(own):
+                    entries.append(own)
+                    keys.append((key, len(own)))
+                    sizes.append(len(tokens))
             if entries:
                 repeats = [k for _, k in keys]
                 yield pa.record_batch([pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.repeat([k for k, _ in keys], repeats)), pa.array(np.repeat(np.array(sizes, np.int32), repeats))], names=["token", "key", "n"])
@@ -319,15 +329,18 @@ def _second_stars(entries: DataFrame, comps: DataFrame, marks: DataFrame) -> Dat
 
 def _across(entries: DataFrame, comps: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs (a, b) under a key that lie in different components, have fitting sizes and may differ little enough; neither is the key's leader."""
-    placed = _led(entries, comps)
+    placed = written(_led(entries, comps))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("least") != F.col("most")).select("token")
     rows = placed.where(F.col("key") != F.col("leader")).distinct().join(written(mixed), "token", "left_semi")
-    rows = written(rows.join(marks, "key").select("token", "key", "n", "comp", "main", "parity"))
+    rows = written(rows.select("token", "key", "n", "comp", "main"))
+    firsts = rows.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("token")), 1, FIRSTS).alias("firsts")).join(marks, "key")
+    rows = written(rows.join(firsts, "key").withColumn("before", F.filter("firsts", lambda t: t < F.col("token"))).drop("firsts"))
     left, right = rows.where(~F.col("main")).alias("p"), rows.alias("q")
     sizes = (5 * F.col("p.n") >= 4 * F.col("q.n")) & (5 * F.col("q.n") >= 4 * F.col("p.n"))
     once = F.col("q.main") | (F.col("p.key") < F.col("q.key"))
+    earlier = F.arrays_overlap("p.before", "q.before")
     near = 9 * apart(F.col("p.parity"), F.col("q.parity")) <= F.col("p.n") + F.col("q.n")
-    fits = (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") != F.col("q.comp")) & once & sizes & near
+    fits = (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") != F.col("q.comp")) & once & sizes & ~earlier & near
     return left.join(right, fits).select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct()
 
 
@@ -365,9 +378,13 @@ def representatives(docs: DataFrame) -> DataFrame:
     Documents without words stay, as do those with a null doc_id; rows that repeat
     doc_id and text stay once.
     """
-    rows = join(docs).where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())
-    kept = written(rows.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
-    same = docs["doc_id"].eqNullSafe(kept["__id"])
-    once = docs.join(kept.where((F.col("__n") == 1) | F.col("__id").isNull()), same, "left_semi")
-    repeated = docs.join(kept.where((F.col("__n") > 1) & F.col("__id").isNotNull()), same, "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    prepare(docs.sparkSession)
+    own = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).cast("int")
+    many, ident = fresh(docs, "__many", "__id")
+    rows = join(docs).where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(ident)).agg(F.sum(own).alias(many))
+    other = written(rows.where(F.col(many) != 1).withColumn("hash", F.xxhash64(ident)))  # ids to drop, and ids that repeat
+    clear, marked = divided(docs, F.xxhash64("doc_id"), other, "hash")
+    marked = marked.join(other.drop("hash").hint("merge"), F.col("doc_id") == F.col(ident), "left")
+    once = marked.where(F.col(many).isNull()).select(*map(quoted, docs.columns))
+    repeated = marked.where(F.col(many) > 1).select(*map(quoted, docs.columns))
+    return clear.unionByName(once).unionByName(repeated.dropDuplicates(["doc_id", "text"]))

@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import zlib
@@ -37,39 +38,67 @@ from gleaner.llm.shared import prepare, written
 CAPACITY = 2048
 #: Pieces that a block aims at, islands a block, epochs, crossovers an epoch and island.
 BLOCK, ISLANDS, EPOCHS, CROSSOVERS = 4096, 2, 2, 12
-#: Entries that a worker's cache of chunks holds.
-CACHED = 250_000
-#: A space between two other characters: no token of the pattern reaches over it to the left.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_RUN = re.compile(r"\s\s|\A\s|\s\Z")
+#: Words that a worker's cache holds before it is emptied.
+CACHED = 800_000
+_RUN, _SPACE = re.compile(r"\s\s|\A\s|\s\Z"), re.compile(r"[^\S\n]")
+#: A space or line end between two other characters: a token of the pattern may begin there, and none reaches over it.
+_CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 
 
-class _Chunks(dict):
-    """Chunk between two spaces -> little-endian ids of the chunk with its leading space, by the tokenizers library."""
+class _Words(dict):
+    """Word -> little-endian ids of the word after a space, or after the line end that it begins with, by the tokenizers library."""
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space or line end
+        for space in (" ", "\n"):
+            (lead,) = self.tokenizer.encode(space, add_special_tokens=False).tokens
+            self.leads[[i for token, i in vocab.items() if token.startswith(lead)]] = True
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.ids(f" {chunk}")
-        if len(self) < CACHED and len(chunk) < 64:
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        first, *rest = _CUT.split(text) if _RUN.search(text) else text.split(" ")
-        return b"".join([self.ids(first), *map(self.__getitem__, rest)])
+    def learn(self, words: list[str]) -> None:
+        """Plain words in few calls, as a token that begins with a space or line end begins a word; others one by one."""
+        plain = []
+        for w in words:
+            if w and not _SPACE.search(w) and "\n" not in w[1:]:
+                plain.append(w)
+            else:
+                self[w] = self.ids(w if w[:1] == "\n" else f" {w}")
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            whole = "".join([w if w[0] == "\n" else f" {w}" for w in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
+            starts = [*(np.flatnonzero(self.leads[ids]) * 4).tolist(), 4 * len(ids)]
+            if len(starts) != len(part) + 1:  # not expected of words without white space
+                self.update((w, self.ids(w if w[0] == "\n" else f" {w}")) for w in part)
+                continue
+            raw = ids.tobytes()
+            self.update(zip(part, [raw[b:e] for b, e in zip(starts, starts[1:], strict=False)], strict=True))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self) > CACHED:
+            self.clear()
+        for first in range(0, len(texts), 100):
+            split = [_CUT.split(t) if _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts[first : first + 100]]
+            found = [list(map(self.get, words)) for words in split]
+            self.learn(list({w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words[1:], ids[1:], strict=True) if x is None}))
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    ids = list(map(self.get, words))
+                ids[0] = self.ids(words[0])
+                yield b"".join(ids)
 
 
 @lru_cache(2)
-def _chunks(path: str) -> _Chunks:
-    return _Chunks(path)
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -77,11 +106,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _chunks(path)
+        words = _words(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = chunks.encode(text or "") + bytes(4)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode_all(texts), strict=True):
+                ids += bytes(4)
                 n = len(ids) // 4
                 start, stop = 0, n - (n - 1) // capacity * capacity
                 piece = 0

@@ -71,16 +71,29 @@ def test_join_of_near_copies(spark, monkeypatch, frequent, seed):
     assert sorted(map(tuple, jaccard_join.join(docs).collect()), key=repr) == brute_components(texts)
 
 
-def test_combinations_are_complete():
+@pytest.mark.parametrize("often", [0.0, 0.5, 0.9, 1.0])
+def test_linked_sets_share_a_signature(often):
     rng = np.random.default_rng(5)
-    for n in (1, 2, 5, 9, 23, 80, 300):
+    linked = 0
+    for n in (4, 5, 6, 7, 8, 9, 10, 15, 16, 19, 20, 23, 80, 129, 300):
         for _ in range(40):
             a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-            most = len(a) // 9
-            b = np.unique(np.concatenate([a[rng.permutation(len(a))[most:]], rng.integers(0, 2**63, most).astype(np.uint64)]))
+            gone, new = rng.integers(0, len(a) // 5 + 1), rng.integers(0, len(a) // 4 + 1)
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[gone:]], rng.integers(0, 2**63, new).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
-            if 5 * both >= 4 * (len(a) + len(b) - both):
-                assert len(np.intersect1d(jaccard_join.combinations(a), jaccard_join.combinations(b)))
+            if 5 * both >= 4 * (len(a) + len(b) - both) and not np.array_equal(a, b):
+                linked += 1
+                common = [(x >> np.uint64(3)) % np.uint64(1000) < int(1000 * often) for x in (a, b)]
+                assert len(np.intersect1d(jaccard_join.signatures(a, common[0]), jaccard_join.signatures(b, common[1])))
+    assert linked > 150
+
+
+def test_signatures_are_few():
+    rng = np.random.default_rng(7)
+    for n in (10, 100, 1000, 20_000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        assert len(jaccard_join.signatures(a, np.ones(n, bool))) < 1.6 * n
+        assert len(jaccard_join.signatures(a, np.zeros(n, bool))) == n // 5 + 1
 
 
 def test_parity_bounds_the_difference(spark):
@@ -156,7 +169,7 @@ def test_packing_ids_are_the_library_s(spark):
     texts = list(enumerate(odd))
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     check_packing(packing.pack_documents(frame, BPE).collect(), texts, packing.CAPACITY)
-    ids = np.frombuffer(packing._chunks(BPE).encode(odd[0]), "<u4").tolist()
+    ids = np.frombuffer(next(packing._words(BPE).encode_all(odd)), "<u4").tolist()
     assert ids == [31373, 220, 50256, 995]
 
 

@@ -1,6 +1,7 @@
 """Operators 2, 3, 4, 7 and 10."""
 
 import collections
+import hashlib
 import math
 import zlib
 
@@ -11,12 +12,59 @@ import pytest
 from gleaner.llm import context_tree, digests, jaccard_join, language_id, line_templates, quality_rules, words
 
 
-def test_digests_equal_brute_force(docs, texts, empty):
-    got = sorted(map(tuple, digests.fingerprints(docs, rows_per_range=7).collect()), key=repr)
-    assert got == sorted(digests.brute_force(texts), key=repr)
+def plain_digest(data):
+    """The digest of the docstring, byte by byte."""
+    counts = [0] * 128
+    for k in range(len(data) - 3):
+        w = data[k : k + 4]
+        for (a, b, c), factor in (((0, 1, 2), 2654435761), ((0, 1, 3), 2246822519), ((0, 2, 3), 3266489917)):
+            counts[(w[a] + (w[b] << 8) + (w[c] << 16)) * factor % 2**32 >> 25] += 1
+    low, mid, high = (sorted(counts)[k] for k in (31, 63, 95))
+    top = max(high, 1)
+    out = [min(255, round(math.log1p(len(data)) / math.log(1.1))), min(15, low * 15 // top) * 16 + min(15, mid * 15 // top), zlib.crc32(data) & 255]
+    codes = [(c > low) + (c > mid) + (c > high) for c in counts]
+    return bytes(out + [sum(codes[k + j] << 2 * j for j in range(4)) for k in range(0, 128, 4)]).hex()
+
+
+def plain_likeness(x, y):
+    a, b = bytes.fromhex(x), bytes.fromhex(y)
+    score = sum((0, 1, 2, 6)[abs((p >> s & 3) - (q >> s & 3))] for p, q in zip(a[3:], b[3:], strict=True) for s in (0, 2, 4, 6))
+    length = abs(a[0] - b[0])
+    score += (length if length <= 1 else 6 * length) + 2 * (abs(a[1] // 16 - b[1] // 16) + abs(a[1] % 16 - b[1] % 16)) + (a[2] != b[2])
+    return 1 - min(score, 400) / 400
+
+
+def plain_fingerprints(rows):
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    found = []
+    for k, (i, text) in enumerate(ordered):
+        following = ordered[(k + 1) % len(ordered)][1]
+        half = len(text) // 2
+        changed = text[: len(text) - half] + following[:half]
+        a, b, c = (plain_digest(x.encode()) for x in (text, changed, following))
+        found.append((i, len(text), hashlib.sha256(changed.encode()).hexdigest(), a, b, pytest.approx(plain_likeness(a, b)), pytest.approx(plain_likeness(a, c))))
+    return found
+
+
+def by_text(found):
+    return sorted(found, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))
+
+
+@pytest.mark.parametrize("size", [300, 3000, 1 << 22])
+def test_digests_equal_brute_force(docs, texts, empty, size):
+    got = by_text(map(tuple, digests.fingerprints(docs, range_bytes=size).collect()))
+    assert got == by_text(plain_fingerprints(texts))
     assert digests.fingerprints(empty).count() == 0
 
 
+def test_digests_of_null_ids_and_repeats(spark):
+    rows = [(None, f"no id {i % 3} " * (i + 1)) for i in range(9)] + [(5, "five " * 40)] * 4 + [(i, f"text {i} " * 30) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert by_text(map(tuple, digests.fingerprints(frame, range_bytes=400).collect())) == by_text(plain_fingerprints(rows))
+    none = spark.createDataFrame(rows[:9], frame.schema)
+    assert by_text(map(tuple, digests.fingerprints(none, range_bytes=50).collect())) == by_text(plain_fingerprints(rows[:9]))
+
+
 def test_digest_single_row_and_bounds(docs):
     one = digests.fingerprints(docs.where("doc_id = 3")).first()
     assert one.near_next == 1.0 and 0 <= one.near_edited <= 1
