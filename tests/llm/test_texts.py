@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gleaner.llm import context_tree, digests, jaccard_join, language_id, line_templates, quality_rules, words
+from gleaner.llm import context_tree, digests, jaccard_join, language_id, line_templates, quality_rules, shared, words
 
 
 def plain_digest(data):
@@ -182,31 +182,100 @@ def test_dedup_of_short_lines(spark):
     assert out == {0: rows[0][1]} | {i: f"{c * 4} only" for i, c in enumerate("abcdefg") if i}
 
 
+def solved(codes, n):
+    """values of all codes, in one place."""
+    tree = context_tree.Tree(codes, n)
+    pair, node, *rest = tree.bottom()
+    first, places = np.unique(pair >> 8 << 8 | node, return_inverse=True)
+    ones = [np.bincount(places, v, len(first)) for v in (rest[0], rest[1], context_tree.weigh(*rest)[0])]
+    so_far, left = context_tree.upper(first >> 8, first & 255, *ones)
+    order = np.argsort(pair << 8 | node)
+    given = context_tree.second(pair, node, *rest, so_far, left)
+    return tree.values((pair << 8 | node)[order], *(v[order] for v in given))
+
+
 def test_context_tree_is_a_distribution():
     depth = context_tree.DEPTH
     texts = pa.array(["abracadabra", "abrabrabra", "cadabra"])
-    keys, counts = [], []
-    for _, _, data, offsets in context_tree._steps(texts):
-        codes, _ = context_tree.grams(data, offsets)
-        keys.append(codes)
-        counts.append(np.ones(len(codes)))
-    codes, n = context_tree._added(keys, counts)
-    tree = context_tree.levels(codes, n, 1)
-    two = tree[2]
-    near = (two.keys >> np.uint64(8) & np.uint64(255)) << np.uint64(8) | two.keys & np.uint64(255)
-    unique, inverse = np.unique(near, return_inverse=True)
-    so_far, left = context_tree.upper(list(zip(unique.tolist(), *(np.bincount(inverse, v) for v in (two.zeros, two.ones, two.weighted)), strict=True)))
-    context = int.from_bytes(b"dabra"[-depth:], "big") << 8
-    probability = 10 ** context_tree.values(np.array([context | b for b in range(256)], np.uint64), tree, so_far, left)
+    data, offsets = shared.text_buffer(texts)
+    codes = np.sort(context_tree.grams(data, offsets)[0])
+    at = context_tree._runs(codes)
+    context = int.from_bytes(b"dabra"[::-1].ljust(depth, b"\xfe")[:depth], "big") << 8
+    wanted = np.array([context | b for b in range(256)], np.uint64)
+    keys, n = context_tree.added([codes[at], wanted], [np.diff(np.append(at, len(codes))), np.zeros(256, np.int64)])
+    probability = 10 ** solved(keys, n)[np.searchsorted(keys, wanted)]
     assert probability.sum() == pytest.approx(1)
     assert probability.argmax() in (ord("c"), ord("b"), 255)
-    # the node weights are those of the recursive definition
-    for at, key in enumerate(tree[depth - 1].keys[:20]):
-        level, below = tree[depth - 1], tree[depth]
-        mask = np.uint64((1 << 8 * (depth - 1)) - 1)
-        children = (((below.keys >> np.uint64(8)) & mask) == key >> np.uint64(8)) & ((below.keys & np.uint64(255)) == (key & np.uint64(255)))
-        estimate = math.lgamma(level.zeros[at] + 0.5) + math.lgamma(level.ones[at] + 0.5) - math.lgamma(level.zeros[at] + level.ones[at] + 1) - math.log(math.pi)
-        assert level.weighted[at] == pytest.approx(np.logaddexp(estimate, below.weighted[children].sum()) - math.log(2), rel=1e-6)
+
+
+class PlainTree:
+    """Context-tree weighting as the docstring has it, with dictionaries."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts, self.children, self.known = depth, collections.Counter(), collections.defaultdict(set), {}
+        for text in texts:
+            for context, byte in self.grams(text):
+                for node, bit in self.decisions(byte):
+                    for d in range(depth + 1):
+                        self.counts[context[:d], node, bit] += 1
+                        if d < depth:
+                            self.children[context[:d], node].add(context[: d + 1])
+
+    def grams(self, text):
+        stream = b"\xfe" * self.depth + text.encode() + b"\xff"
+        for k in range(self.depth, len(stream)):
+            yield stream[k - self.depth : k][::-1], stream[k]  # the nearest byte first
+
+    def decisions(self, byte):
+        for k in range(8):
+            yield 1 << k | byte >> (8 - k), byte >> (7 - k) & 1
+
+    def both(self, context, node):
+        return self.counts[context, node, 0], self.counts[context, node, 1]
+
+    def estimate(self, context, node):
+        zeros, ones = self.both(context, node)
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+
+    def weighted(self, context, node):
+        if (context, node) not in self.known:
+            own = self.estimate(context, node)
+            if len(context) < self.depth:
+                own = np.logaddexp(own, sum(self.weighted(c, node) for c in self.children[context, node])) - math.log(2)
+            self.known[context, node] = own
+        return self.known[context, node]
+
+    def score(self, text):
+        total = 0.0
+        for context, byte in self.grams(text):
+            for node, bit in self.decisions(byte):
+                one, rest = 0.0, 1.0
+                for d in range(self.depth + 1):
+                    zeros, ones = self.both(context[:d], node)
+                    stop = 1.0 if d == self.depth else math.exp(self.estimate(context[:d], node) - math.log(2) - self.weighted(context[:d], node))
+                    one += rest * stop * (ones + 0.5) / (zeros + ones + 1)
+                    rest *= 1 - stop
+                total += math.log10(one if bit else 1 - one)
+        return total
+
+
+@pytest.mark.parametrize("group,fan", [(1_000_000, 64), (150, 2)])
+def test_scores_equal_a_plain_tree(spark, monkeypatch, group, fan):
+    monkeypatch.setattr(context_tree, "GROUP", group)  # the second time: pairs split by a third byte, and lists added up in turns
+    monkeypatch.setattr(context_tree, "FAN", fan)
+    texts = ["the cat sat on the mat", "the dog sat", None, "", "the cat and the dog and the cat", "üñ ünder the mat", "zzz", "other things that the dog thought", "a" * 300] * 2
+    rows = [(i if i else None, t) for i, t in enumerate(texts)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tree = PlainTree([t or "" for i, t in rows if not held(i)], context_tree.DEPTH)
+    got = context_tree.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((repr(r.doc_id), round(r.score, 3)) for r in got) == sorted((repr(i), round(tree.score(t or ""), 3)) for i, t in rows)
+    assert sum(r.held_out for r in got) == sum(held(i) for i, _ in rows) > 0
+
+
+def test_no_training_text(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = context_tree.score(spark.createDataFrame([(i, "ab c") for i in held], "doc_id long, text string")).collect()
+    assert all(r.score == pytest.approx(-5 * 8 * math.log10(2)) and r.train_tokens == r.n_known == 0 and r.base_score == 0 for r in rows)
 
 
 def test_far_contexts(spark):
@@ -218,8 +287,9 @@ def test_far_contexts(spark):
 
 
 def test_log_gamma():
-    x = np.array([0.5, 1, 2.5, 7.9, 8, 100.5, 1e6])
-    assert np.allclose(context_tree.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
+    n = np.array([0, 1, 2, 7, 4095, 4096, 10**6, 10**9])
+    for more in (0.5, 1.0):
+        assert np.allclose(context_tree.log_gamma(n, more), [math.lgamma(v + more) for v in n.tolist()], rtol=1e-12, atol=1e-12)
 
 
 def test_score(docs, texts, empty):
