@@ -39,15 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import prepare, text_buffer, written
+from gleaner.llm.shared import prepare, text_buffer, trim, written
 from gleaner.llm.words import word_hashes
 
 #: Context bytes. An n-gram's code has them with the nearest highest, and its byte lowest; six leave room for a text's number within a step.
 DEPTH = 6
 #: Bytes that UTF-8 never has: before a text's first byte, and after its last.
 BEFORE, END = 0xFE, 0xFF
-#: Bytes of text a chunk, a step of counting, and a step of scoring, which has STEP_TEXTS texts at most.
-CHUNK, COUNT_STEP, STEP, STEP_TEXTS = 32 << 20, 4 << 20, 1 << 20, 256
+#: Bytes of text a chunk, and bytes and texts a step.
+CHUNK, STEP, STEP_TEXTS = 32 << 20, 1 << 20, 256
 #: Listed keys a group, and lists that a task adds up.
 GROUP, FAN = 1_000_000, 64
 #: Words have this bit, n-grams don't.
@@ -85,12 +85,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, np.concatenate([row, np.arange(n)])
 
 
-def _steps(texts: pa.Array, step: int, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First and last row, bytes and offsets, of about step bytes and most texts at a time."""
+def _steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last row, bytes and offsets, of about STEP bytes and STEP_TEXTS texts at a time."""
     data, offsets = text_buffer(texts)
     first, n = 0, len(offsets) - 1
     while first < n:
-        stop = min(first + most, max(first + 1, int(np.searchsorted(offsets, offsets[first] + step, side="right")) - 1))
+        stop = min(first + STEP_TEXTS, max(first + 1, int(np.searchsorted(offsets, offsets[first] + STEP, side="right")) - 1))
         yield first, stop, data[offsets[first] : offsets[stop]], offsets[first : stop + 1] - offsets[first]
         first = stop
 
@@ -140,7 +140,8 @@ class _Chunk:
     def _put(self, keys: np.ndarray, train: bool) -> None:
         keys.sort()
         at = _runs(keys)
-        found = (keys[at], np.diff(np.append(at, len(keys))) if train else np.zeros(len(at), np.int64))
+        n = np.diff(np.append(at, len(keys))) if train else np.zeros(len(at))
+        found = (keys[at], n.astype(np.int32))  # a chunk has fewer bytes than that holds
         while self.lists and len(self.lists[-1][0]) < 2 * len(found[0]):
             last = self.lists.pop()
             found = added([last[0], found[0]], [last[1], found[1]])
@@ -150,8 +151,9 @@ class _Chunk:
         self.batches.append(batch)
         self.size += batch.column("text").nbytes
         train = ~batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        for first, stop, data, offsets in _steps(batch.column("text"), COUNT_STEP, batch.num_rows):
-            for keys, row in (grams(data, offsets), tokens(data, offsets)):
+        for first, stop, data, offsets in _steps(batch.column("text")):
+            for listed in (grams, tokens):
+                keys, row = listed(data, offsets)
                 own = train[first:stop][row]
                 self._put(keys[own], True)
                 self._put(keys[~own], False)
@@ -162,14 +164,17 @@ class _Chunk:
             for batch in self.batches:
                 out.write_batch(batch)
         self.batches = []
+        trim()
         yield _batch(CHUNK_ROWS, [[number], [None], [None], [None], [None], [sink.getvalue().to_pybytes()]])
-        keys, n = added([k for k, _ in self.lists], [c for _, c in self.lists])
-        self.lists = []
+        while len(self.lists) > 1:
+            (a, n), (b, m) = self.lists.pop(), self.lists.pop()
+            self.lists.append(added([a, b], [n, m]))
+        keys, n = self.lists.pop()
         part = np.where(keys >= WORD, (keys >> np.uint64(55) & np.uint64(WORD_PARTS - 1)) + np.uint64(PAIRS), keys >> np.uint64(8 * (DEPTH - 1)))
         at = _runs(part)
         found: list[tuple] = []
         for begin, end in zip(at, np.append(at[1:], len(keys)), strict=True):
-            found.append((number, int(part[begin]), int(end - begin), packed_keys(keys[begin:end]), _planes(n[begin:end]), None))
+            found.append((number, int(part[begin]), int(end - begin), packed_keys(keys[begin:end]), _planes(n[begin:end].astype(np.int64)), None))
             if len(found) == 500:
                 yield _batch(CHUNK_ROWS, zip(*found, strict=True))
                 found = []
@@ -201,6 +206,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """chunk, and either texts (compressed rows) or a part of its list: n sorted keys with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         number, chunk = TaskContext.get().partitionId() << 32, _Chunk()
         for batch in batches:
             if batch.num_rows:
@@ -413,6 +419,7 @@ def _answers(listed: DataFrame, place: dict[int, tuple[int, int]]) -> tuple[Data
     """owner, group, keys, values for each list; and the number of training words, and of different ones."""
 
     def bottom(part: pa.Table) -> pa.Table:
+        trim()
         keys, n = _unpacked(part)
         if keys[-1] >= WORD:
             return _table(NODES, [[-1], [0], [float(n.sum())], [float((n > 0).sum())], [0.0]])
@@ -444,6 +451,7 @@ def _answers(listed: DataFrame, place: dict[int, tuple[int, int]]) -> tuple[Data
     def every(part: pa.Table, top: pa.Table) -> pa.Table:
         if not part.num_rows:
             return _table(ANSWERS, [[], [], [], []])
+        trim()
         keys, n = _unpacked(part)
         if _value_kind(keys) is np.int64:
             return _looked_up(part, keys, n)
@@ -489,6 +497,7 @@ def score(docs: DataFrame) -> DataFrame:
         answers = _passed_down(written(answers), listed, n)
 
     def finish(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        trim()
         sides: dict[type, list] = {np.int64: [], np.float32: []}
         for blob, found in zip(answered.column("keys").to_pylist(), answered.column("values").to_pylist(), strict=True):
             keys = unpacked_keys(blob)
@@ -500,7 +509,7 @@ def score(docs: DataFrame) -> DataFrame:
             for batch in pa.ipc.open_stream(blob.as_buffer()):
                 n = batch.num_rows
                 sums = np.zeros((5, n))  # tokens, known, base, score, bytes
-                for first, stop, data, offsets in _steps(batch.column("text"), STEP, STEP_TEXTS):
+                for first, stop, data, offsets in _steps(batch.column("text")):
                     count = stop - first
                     own, row = grams(data, offsets)
                     own = own << _U8 | row.astype(np.uint64)
