@@ -94,7 +94,8 @@ def _drops(docs: DataFrame, min_docs: int, long_docs: int, long_tokens: int, ali
     shared = written(leaves.groupBy("leaf", "size").count().where(F.col("count") >= need(F.col("size"))).select("leaf"))
 
     placed = tokens.select("doc_id", "key", F.posexplode("tokens").alias("at", "tokens")).where(F.size("tokens") > 0).withColumn("leaf", _leaf(F.col("tokens")))
-    inside = placed.join(shared, "leaf", "left_semi").select("leaf", "key", "at", "doc_id", F.transform("tokens", _general).alias("tokens"))
+    inside = divided(placed, F.col("leaf"), shared, "leaf")[1]  # and some lines of other leaves, in which nothing recurs
+    inside = inside.select("leaf", "key", "at", "doc_id", F.transform("tokens", _general).alias("tokens"))
     lines = inside.groupBy("leaf", "key", "at").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
     lines = written(lines.select("leaf", F.xxhash64("tokens").alias("line"), "key", "at", "doc_id", "tokens"))
     wordings = lines.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"), F.count("*").alias("weight"))
