@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import os
 import random
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.byte_bpe import byte_characters
 from gleaner.llm.shared import prepare, written
 
 CAPACITY = 2048
@@ -40,60 +40,69 @@ CAPACITY = 2048
 BLOCK, ISLANDS, EPOCHS, CROSSOVERS = 4096, 2, 2, 12
 #: Words that a worker's cache holds before it is emptied.
 CACHED = 800_000
-_RUN, _SPACE = re.compile(r"\s\s|\A\s|\s\Z"), re.compile(r"[^\S\n]")
-#: A space or line end between two other characters: a token of the pattern may begin there, and none reaches over it.
-_CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 
 
 class _Words(dict):
-    """Word -> little-endian ids of the word after a space, or after the line end that it begins with, by the tokenizers library."""
+    """Word -> little-endian ids of the word after a space, or after the line end that it begins with.
+
+    A text that holds a special token's string goes to the tokenizers library as it
+    is. Words of others are encoded by tiktoken over the same vocabulary: its ids are
+    the library's, at a quarter of the time for words that weren't met before.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs in parallel
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.leads = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space or line end
-        for space in (" ", "\n"):
-            (lead,) = self.tokenizer.encode(space, add_special_tokens=False).tokens
-            self.leads[[i for token, i in vocab.items() if token.startswith(lead)]] = True
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs in parallel
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        reverse = {c: b for b, c in byte_characters().items()}
+        ranks = {bytes(reverse[c] for c in token): i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.leads = np.zeros(max(ranks.values()) + 1, bool)  # tokens that begin with a space or line end
+        self.leads[[i for token, i in ranks.items() if token[:1] in (b" ", b"\n")]] = True
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        whole = any(s in text for s in self.special)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids if whole else self.plain(text), "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Plain words in few calls, as a token that begins with a space or line end begins a word; others one by one."""
-        plain = []
-        for w in words:
-            if w and not _SPACE.search(w) and "\n" not in w[1:]:
-                plain.append(w)
-            else:
-                self[w] = self.ids(w if w[:1] == "\n" else f" {w}")
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            whole = "".join([w if w[0] == "\n" else f" {w}" for w in part])
-            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
+        """In few calls: words have no white space but a line end that they begin with, and a token that begins with either begins a word."""
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            whole = [w if w[0] == "\n" else f" {w}" for w in part]
+            ids = np.array(self.plain("".join(whole)), "<u4")
             starts = [*(np.flatnonzero(self.leads[ids]) * 4).tolist(), 4 * len(ids)]
-            if len(starts) != len(part) + 1:  # not expected of words without white space
-                self.update((w, self.ids(w if w[0] == "\n" else f" {w}")) for w in part)
-                continue
-            raw = ids.tobytes()
-            self.update(zip(part, [raw[b:e] for b, e in zip(starts, starts[1:], strict=False)], strict=True))
+            if len(starts) == len(part) + 1:
+                raw = ids.tobytes()
+                self.update(zip(part, [raw[b:e] for b, e in zip(starts, starts[1:], strict=False)], strict=True))
+            else:  # not expected
+                self.update(zip(part, map(self.ids, whole), strict=True))
+
+    def split(self, text: str) -> list[str] | None:
+        """Words of a text in which a single space or line end parts any two; null for other texts."""
+        words = text.replace("\n", " \n").split(" ")
+        even = "" not in words and "\n" not in words and len(words) == len(text.split())
+        return words if even and not any(s in text for s in self.special) else None
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         if len(self) > CACHED:
             self.clear()
-        for first in range(0, len(texts), 100):
-            split = [_CUT.split(t) if _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts[first : first + 100]]
+        for first in range(0, len(texts), 200):
+            part = texts[first : first + 200]
+            split = [self.split(t) or [] for t in part]
             found = [list(map(self.get, words)) for words in split]
-            self.learn(list({w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words[1:], ids[1:], strict=True) if x is None}))
-            for words, ids in zip(split, found, strict=True):
-                if None in ids:
-                    ids = list(map(self.get, words))
-                ids[0] = self.ids(words[0])
-                yield b"".join(ids)
+            missing = [[i for i, ids in enumerate(own) if ids is None] if None in own else [] for own in found]
+            self.learn(list({words[i] for words, at in zip(split, missing, strict=True) for i in at if i}))
+            for text, words, own, at in zip(part, split, found, missing, strict=True):
+                for i in at:
+                    own[i] = self.get(words[i])
+                if words:
+                    own[0] = self.ids(words[0])
+                yield b"".join(own) if words else self.ids(text)
 
 
 @lru_cache(2)
