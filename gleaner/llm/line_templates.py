@@ -43,17 +43,20 @@ LIMITS = {"min_docs": 5, "long_docs": 2, "long_tokens": 50, "alike": 70, "consta
 ANY = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SPACES), "")
+def _lines(texts: DataFrame) -> DataFrame:
+    """texts with a row for each line with a word: at, norm (lower case, single spaces), size (tokens) and leaf (hash of the path)."""
+    odd = F.col("line").rlike(r"[\x09-\x0D]|\x20\x20|\A\x20|\x20\z")
+    norm = F.when(odd, F.trim(F.regexp_replace("line", SPACES, " "))).otherwise(F.col("line")).alias("norm")
+    others = [c for c in texts.columns if c != "text"]
+    lines = texts.select(*others, F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).select(*others, "at", norm).where(F.col("norm") != "")
+    size = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    path = _general(F.substring_index("norm", " ", LEAD))
+    return lines.select(*others, "at", "norm", size.alias("size")).withColumn("leaf", F.xxhash64("size", path))
 
 
-def _general(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), F.lit(ANY)).otherwise(token)
-
-
-def _leaf(tokens: Column) -> Column:
-    """Hash of the path: number of tokens and leading tokens."""
-    return F.xxhash64(F.size(tokens), *(F.coalesce(_general(F.get(tokens, i)), F.lit("")) for i in range(LEAD)))
+def _general(line: Column) -> Column:
+    """A line with <*> for each token that holds a digit."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", ANY)).otherwise(line)
 
 
 def _steady(tokens: Column, constant: int) -> Column:
@@ -63,21 +66,22 @@ def _steady(tokens: Column, constant: int) -> Column:
 
 def _groups(wordings: DataFrame, alike: int, constant: int) -> DataFrame:
     """leaf, line, exact, group: the template, by its turn in the leaf, or the whole wording that each of the lines follows. Others follow none."""
-    same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
-    follows = 100 * same >= alike * F.size("tokens")
+    tokens = F.split("wording", " ")
+    same = F.size(F.filter(F.zip_with(tokens, "template", lambda a, b: a == b), lambda x: x))
+    follows = 100 * same >= alike * F.size(tokens)
     found, rest, left, turn = [], [], wordings, 0
     while True:
-        seen = left.select("leaf", "weight", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("weight").alias("n"))
+        seen = left.select("leaf", "weight", F.posexplode(tokens).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("weight").alias("n"))
         common = seen.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
         templates = common.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).getField("token").alias("template"))
         met = left.join(templates.where(_steady(F.col("template"), constant)), "leaf", "left")
-        met = written(met.select("leaf", "line", "tokens", "weight", "need", F.coalesce(follows, F.lit(False)).alias("follows")))
+        met = written(met.select("leaf", "line", "wording", "weight", "need", F.coalesce(follows, F.lit(False)).alias("follows")))
         # more lines than texts may follow a template, not fewer: one that too few follow can't recur, and the leaf has no more
         often = met.groupBy("leaf").agg(F.sum(F.when(F.col("follows"), F.col("weight")).otherwise(0)).alias("n"), F.first("need").alias("need")).where(F.col("n") >= F.col("need")).select("leaf")
         often = written(often)
         found.append(met.where("follows").join(often, "leaf", "left_semi").select("leaf", "line", F.lit(False).alias("exact"), F.lit(turn).cast("long").alias("group")))
         left = met.where(~F.col("follows")).drop("follows")
-        whole = left.join(often, "leaf", "left_anti").where(_steady(F.col("tokens"), constant) & (F.col("weight") >= F.col("need")))
+        whole = left.join(often, "leaf", "left_anti").where(_steady(tokens, constant) & (F.col("weight") >= F.col("need")))
         rest.append(whole.select("leaf", "line", F.lit(True).alias("exact"), F.col("line").alias("group")))
         left, turn = written(left.join(often, "leaf", "left_semi")), turn + 1
         if left.isEmpty():
@@ -88,21 +92,19 @@ def _drops(docs: DataFrame, min_docs: int, long_docs: int, long_tokens: int, ali
     """__a, __b (a text's key), __at: numbers of the lines to drop, from 0."""
     need = lambda n: F.when(n >= long_tokens, long_docs).otherwise(min_docs)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    tokens = texts.select("doc_id", "key", F.transform(F.split("text", "\n"), _tokens).alias("tokens"))
-    paths = F.transform(F.filter("tokens", lambda t: F.size(t) > 0), lambda t: F.struct(_leaf(t).alias("leaf"), F.size(t).alias("size")))
-    leaves = tokens.select("key", F.explode(F.array_distinct(paths)).alias("p")).select("key", "p.leaf", "p.size").distinct()
+    leaves = _lines(texts.select("key", "text")).select("key", "leaf", "size").distinct()
     shared = written(leaves.groupBy("leaf", "size").count().where(F.col("count") >= need(F.col("size"))).select("leaf"))
 
-    placed = tokens.select("doc_id", "key", F.posexplode("tokens").alias("at", "tokens")).where(F.size("tokens") > 0).withColumn("leaf", _leaf(F.col("tokens")))
-    inside = divided(placed, F.col("leaf"), shared, "leaf")[1]  # and some lines of other leaves, in which nothing recurs
-    inside = inside.select("leaf", "key", "at", "doc_id", F.transform("tokens", _general).alias("tokens"))
-    lines = inside.groupBy("leaf", "key", "at").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
-    lines = written(lines.select("leaf", F.xxhash64("tokens").alias("line"), "key", "at", "doc_id", "tokens"))
-    wordings = lines.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"), F.count("*").alias("weight"))
-    groups = written(_groups(written(wordings.withColumn("need", need(F.size("tokens")))), alike, constant))
+    inside = divided(_lines(texts), F.col("leaf"), shared, "leaf")[1]  # and some lines of other leaves, in which nothing recurs
+    inside = inside.select("leaf", "size", "key", "at", "doc_id", _general(F.col("norm")).alias("wording"))
+    inside = written(inside.select("leaf", F.xxhash64("wording").alias("line"), "size", "key", "at", "doc_id", "wording"))
+    lines = inside.groupBy("leaf", "line", "size", "key", "at").agg(F.min("doc_id").alias("doc_id"))
+    weights = lines.groupBy("leaf", "line").agg(F.count("*").alias("weight"))
+    wordings = inside.select("leaf", "line", "wording", need(F.col("size")).alias("need")).distinct()
+    groups = written(_groups(written(wordings.join(weights, ["leaf", "line"])), alike, constant))
 
     group = ["leaf", "exact", "group"]
-    following = written(lines.select("leaf", "line", "key", "at", "doc_id", F.size("tokens").alias("size")).join(groups, ["leaf", "line"]).drop("line"))
+    following = written(lines.join(groups, ["leaf", "line"]).drop("line"))
     # nulls last: the flag comes first
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).getField("key").alias("first")
     texts_of = following.groupBy(*group, "key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"))
