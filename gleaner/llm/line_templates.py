@@ -44,14 +44,20 @@ ANY = "<*>"
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """texts with a row for each line with a word: at, norm (lower case, single spaces), size (tokens) and leaf (hash of the path)."""
-    odd = F.col("line").rlike(r"[\x09-\x0D]|\x20\x20|\A\x20|\x20\z")
-    norm = F.when(odd, F.trim(F.regexp_replace("line", SPACES, " "))).otherwise(F.col("line")).alias("norm")
+    """texts with a row for each line that holds a word: at, line (lower case)."""
     others = [c for c in texts.columns if c != "text"]
-    lines = texts.select(*others, F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).select(*others, "at", norm).where(F.col("norm") != "")
-    size = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    path = _general(F.substring_index("norm", " ", LEAD))
-    return lines.select(*others, "at", "norm", size.alias("size")).withColumn("leaf", F.xxhash64("size", path))
+    lines = texts.select(*others, F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """lines with single spaces, and with size (tokens) and leaf (hash of the path)."""
+    line = F.col("line")
+    odd = reduce(Column.__or__, map(line.contains, ("  ", "\t", "\v", "\f", "\r")), line.startswith(" ") | line.endswith(" "))
+    lines = lines.withColumn("line", F.when(odd, F.trim(F.regexp_replace("line", SPACES, " "))).otherwise(line))
+    size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    path = _general(F.substring_index("line", " ", LEAD))
+    return lines.withColumn("size", size).withColumn("leaf", F.xxhash64("size", path))
 
 
 def _general(line: Column) -> Column:
@@ -74,17 +80,18 @@ def _groups(wordings: DataFrame, alike: int, constant: int) -> DataFrame:
         seen = left.select("leaf", "weight", F.posexplode(tokens).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("weight").alias("n"))
         common = seen.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
         templates = common.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).getField("token").alias("template"))
-        met = left.join(templates.where(_steady(F.col("template"), constant)), "leaf", "left")
+        met = left.join(templates.where(_steady(F.col("template"), constant)).hint("merge"), "leaf", "left")  # the same plan at every size
         met = written(met.select("leaf", "line", "wording", "weight", "need", F.coalesce(follows, F.lit(False)).alias("follows")))
         # more lines than texts may follow a template, not fewer: one that too few follow can't recur, and the leaf has no more
-        often = met.groupBy("leaf").agg(F.sum(F.when(F.col("follows"), F.col("weight")).otherwise(0)).alias("n"), F.first("need").alias("need")).where(F.col("n") >= F.col("need")).select("leaf")
-        often = written(often)
-        found.append(met.where("follows").join(often, "leaf", "left_semi").select("leaf", "line", F.lit(False).alias("exact"), F.lit(turn).cast("long").alias("group")))
-        left = met.where(~F.col("follows")).drop("follows")
+        follow = F.col("follows")
+        often = met.groupBy("leaf").agg(F.sum(F.when(follow, F.col("weight")).otherwise(0)).alias("n"), F.count(F.when(~follow, 1)).alias("others"), F.first("need").alias("need"))
+        often = written(often.where(F.col("n") >= F.col("need")).select("leaf", "others"))
+        found.append(met.where(follow).join(often, "leaf", "left_semi").select("leaf", "line", F.lit(False).alias("exact"), F.lit(turn).cast("long").alias("group")))
+        left = met.where(~follow).drop("follows")
         whole = left.join(often, "leaf", "left_anti").where(_steady(tokens, constant) & (F.col("weight") >= F.col("need")))
         rest.append(whole.select("leaf", "line", F.lit(True).alias("exact"), F.col("line").alias("group")))
-        left, turn = written(left.join(often, "leaf", "left_semi")), turn + 1
-        if left.isEmpty():
+        left, turn = left.join(often, "leaf", "left_semi"), turn + 1
+        if often.where(F.col("others") > 0).isEmpty():
             return reduce(DataFrame.unionByName, found + rest)
 
 
@@ -92,11 +99,14 @@ def _drops(docs: DataFrame, min_docs: int, long_docs: int, long_tokens: int, ali
     """__a, __b (a text's key), __at: numbers of the lines to drop, from 0."""
     need = lambda n: F.when(n >= long_tokens, long_docs).otherwise(min_docs)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    leaves = _lines(texts.select("key", "text")).select("key", "leaf", "size").distinct()
+    spot = F.xxhash64("key.a", "at")
+    every = written(_placed(_lines(texts)).select("key", "at", "leaf", "size"))
+    leaves = every.select("key", "leaf", "size").distinct()
     shared = written(leaves.groupBy("leaf", "size").count().where(F.col("count") >= need(F.col("size"))).select("leaf"))
 
-    inside = divided(_lines(texts), F.col("leaf"), shared, "leaf")[1]  # and some lines of other leaves, in which nothing recurs
-    inside = inside.select("leaf", "size", "key", "at", "doc_id", _general(F.col("norm")).alias("wording"))
+    # what the bitmaps let through besides lines of shared leaves does no harm: nothing recurs in other leaves
+    spots = divided(every, F.col("leaf"), shared, "leaf")[1].select(spot.alias("spot"))
+    inside = _placed(divided(_lines(texts), spot, spots, "spot")[1]).withColumn("wording", _general(F.col("line")))
     inside = written(inside.select("leaf", F.xxhash64("wording").alias("line"), "size", "key", "at", "doc_id", "wording"))
     lines = inside.groupBy("leaf", "line", "size", "key", "at").agg(F.min("doc_id").alias("doc_id"))
     weights = lines.groupBy("leaf", "line").agg(F.count("*").alias("weight"))
