@@ -41,23 +41,17 @@ def _near(words: Column, near: ql.Near) -> Column:
     return F.exists(places(near.first), lambda a: F.exists(places(near.second), lambda b: F.abs(a - b) - 1 <= near.distance))
 
 
-def _holds(tree: object, found: dict[ql.Words, Column], near: dict[ql.Near, Column]) -> Column:
+def holds(tree: object, found: dict[ql.Words, Column], near: dict[ql.Near, Column]) -> Column:
     if isinstance(tree, ql.Words):
         return found[tree] > 0
     if isinstance(tree, ql.Near):
         return near[tree]
     if isinstance(tree, ql.Not):
-        return _holds(tree.keep, found, near) & ~_holds(tree.drop, found, near)
-    parts = [_holds(p, found, near) for p in tree.parts]
+        return holds(tree.keep, found, near) & ~holds(tree.drop, found, near)
+    parts = [holds(p, found, near) for p in tree.parts]
     return reduce((lambda a, b: a & b) if isinstance(tree, ql.And) else (lambda a, b: a | b), parts)
 
 
-def _nears(tree: object) -> list[ql.Near]:
-    if isinstance(tree, ql.Near):
-        return [tree]
-    return [] if isinstance(tree, ql.Words) else [n for p in ((tree.keep, tree.drop) if isinstance(tree, ql.Not) else tree.parts) for n in _nears(p)]
-
-
 def idf(total: Column, having: Column) -> Column:
     raw = F.log((total - having + 0.5) / (having + 0.5))
     return F.when(raw <= 0, F.lit(fixed.IDF_FLOOR)).otherwise(raw)
@@ -70,20 +64,24 @@ def saturation(tf: Column, length: Column, average: Column) -> Column:
 def bm25(snippets: DataFrame, tree: object, tokenizer=tokens) -> DataFrame:
     """snippets that satisfy the tree, with score: one scan for the corpus figures (one row), one for the scores."""
     phrases = ql.leaves(tree)
-    # a Not's right side only excludes
-    scored = [p for p in phrases if p not in _dropped(tree)]
+    scored = scored_leaves(tree)
     read = snippets.withColumns({"__c": tokenizer(F.col("content")), "__s": tokenizer(F.col("summary"))})
     tf = {p: occurrences(F.col("__c"), p) + occurrences(F.col("__s"), p) for p in phrases}
     figures = read.select((F.size("__c") + F.size("__s")).alias("__dl"), *((tf[p]).alias(f"__tf{i}") for i, p in enumerate(phrases)))
     corpus = figures.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *(F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(phrases))))
-    nears = {n: _near(F.col("__c"), n) | _near(F.col("__s"), n) for n in _nears(tree)}
+    nears = {n: _near(F.col("__c"), n) | _near(F.col("__s"), n) for n in ql.nears(tree)}
     counted = read.withColumns({"__dl": F.size("__c") + F.size("__s")} | {f"__tf{i}": tf[p] for i, p in enumerate(phrases)})
-    hits = counted.where(_holds(tree, {p: F.col(f"__tf{i}") for i, p in enumerate(phrases)}, nears))
+    hits = counted.where(holds(tree, {p: F.col(f"__tf{i}") for i, p in enumerate(phrases)}, nears))
     both = hits.crossJoin(F.broadcast(corpus))  # one row
     parts = [idf(F.col("__n"), F.col(f"__df{i}")) * saturation(F.col(f"__tf{i}"), F.col("__dl"), F.col("__avg")) for i, p in enumerate(phrases) if p in scored]
     return both.select(*snippets.columns, reduce(lambda a, b: a + b, parts).alias("score"))
 
 
+def scored_leaves(tree: object) -> list[ql.Words]:
+    """The phrases that count for the score: a Not's right side only excludes."""
+    return [p for p in ql.leaves(tree) if p not in _dropped(tree)]
+
+
 def _dropped(tree: object) -> set[ql.Words]:
     if isinstance(tree, ql.Not):
         return set(ql.leaves(tree.drop)) - set(ql.leaves(tree.keep)) | _dropped(tree.keep)
@@ -95,12 +93,22 @@ def recency(score: Column, created_at: Column, as_of: Column) -> Column:
     return F.greatest(score, F.lit(0.0)) * fixed.RECENCY_SCORE + F.exp(-days / fixed.RECENCY_DAYS) * fixed.RECENCY_AGE
 
 
-def keyword_search(snippets: DataFrame, query: str, as_of: Column, limit: int = fixed.SEARCH_LIMIT, tokenizer=tokens, **options: bool) -> DataFrame:
-    """The best snippets by BM25, ties by id, with position (from 1), score and rank (blended with recency). Phrase queries keep snippets whose content holds the phrase."""
+def keyword_search(snippets: DataFrame, query: str, as_of: Column, limit: int = fixed.SEARCH_LIMIT, tokenizer=tokens, index=None, **options: bool) -> DataFrame:
+    """The best snippets by BM25, ties by id, with position (from 1), score and rank (blended with recency). Phrase queries keep snippets whose content holds the phrase.
+
+    With an index (postings.Index), only the postings of the query's terms are read, and
+    of snippets the rows found: their ids, ``limit`` at most, come to the driver and are
+    pushed down to the scan. Without one, all texts are read.
+    """
     tree = ql.parse(query, **options)
     if tree is None:
         return snippets.limit(0).withColumns({"score": F.lit(0.0), "rank": F.lit(0.0), "position": F.lit(0)})
-    best = bm25(snippets, tree, tokenizer).orderBy(F.desc("score"), "id").limit(limit)
+    if index is None:
+        best = bm25(snippets, tree, tokenizer).orderBy(F.desc("score"), "id").limit(limit)
+    else:
+        found = [(r.id, r.score) for r in index.bm25(tree).orderBy(F.desc("score"), "id").limit(limit).collect()]
+        scores = F.create_map(*(F.lit(x) for pair in found for x in pair)) if found else F.create_map().cast("map<bigint,double>")
+        best = snippets.where(F.col("id").isin([i for i, _ in found])).withColumn("score", scores[F.col("id")].cast("double"))
     if isinstance(tree, ql.Words) and len(tree.tokens) > 1:
         best = best.where(F.lower("content").contains(query.strip().strip('"').lower()))
     ranked = best.withColumn("rank", recency(F.col("score"), F.col("created_at"), as_of))

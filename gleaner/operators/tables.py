@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count as numbers
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,17 +70,25 @@ def source_apps(snippets: DataFrame) -> DataFrame:
 # categories
 
 
-def closure(categories: DataFrame, depth: int = 32) -> DataFrame:
-    """ancestor, descendant of every pair, each with itself. One join a level, until a level is empty."""
-    edges = categories.where(F.col("parent_id").isNotNull()).select("parent_id", F.col("id").alias("child"))
-    level = categories.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"))
-    whole = level
-    for _ in range(depth):
-        level = level.join(edges, level["descendant"] == edges["parent_id"]).select("ancestor", F.col("child").alias("descendant"))
+def closure(categories: DataFrame, every: int = 4) -> DataFrame:
+    """ancestor, descendant of every pair, each with itself, however deep. One join a level, until a level has no new pair (so cycles end); lineage is cut at every few levels."""
+    edges = categories.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("descendant"), F.col("id").alias("child"))
+    level = whole = categories.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"))
+    for turn in numbers(1):
+        level = level.join(edges, "descendant").select("ancestor", F.col("child").alias("descendant")).distinct().join(whole, ["ancestor", "descendant"], "left_anti")
+        if turn % every == 0:
+            level, whole = cut(level), cut(whole)
         if level.isEmpty():
-            break
+            return whole
         whole = whole.unionByName(level)
-    return whole
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder that the cluster names."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return df.checkpoint()
 
 
 def with_content(categories: DataFrame, assignments: DataFrame, snippets: DataFrame, kind: str | None = None) -> DataFrame:

@@ -71,9 +71,10 @@ def centroids(vectors: DataFrame, assignments: DataFrame, members: int = fixed.C
     """category_id, n, centroid: the unit mean of a category's newest members."""
     newest = F.row_number().over(Window.partitionBy("category_id").orderBy(F.desc("assigned_at"), "snippet_id"))
     kept = assignments.withColumn("__n", newest).where(F.col("__n") <= members).select("category_id", "snippet_id")
-    parts = kept.join(vectors, "snippet_id").select("category_id", "snippet_id", F.posexplode("embedding").alias("pos", "x"))
-    means = parts.groupBy("category_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    whole = means.groupBy("category_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "x"))).getField("x").alias("mean"))
+    # a category has at most so many members by now: their vectors fit in one row
+    whole = kept.join(vectors, "snippet_id").groupBy("category_id").agg(F.count("*").alias("n"), F.collect_list(F.transform("embedding", lambda x: x.cast("double"))).alias("all"))
+    total = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", 0), lambda sums, x: F.zip_with(sums, x, lambda a, b: a + b))
+    whole = whole.withColumn("mean", F.transform(total, lambda x: x / F.col("n")))
     return whole.select("category_id", "n", unit(F.col("mean")).alias("centroid"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
 from gleaner.functions import text as T
-from gleaner.operators import query_language, search, tables, vectors
+from gleaner.operators import postings, query_language, search, tables, vectors
 from gleaner.plans import oracles as O
 from gleaner.sources import exchange
 from gleaner.sources import logical as L
@@ -48,9 +49,21 @@ STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 # keyword retrieval
 
 
+_INDEXES: dict[tuple[str, str], postings.Index] = {}
+
+
+def indexed(spark, sf_dir) -> postings.Index:
+    """The index of the snippets in sf_dir, built by the first search of an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_indexes"
+        _INDEXES[key] = postings.Index.build(L.snippets(spark, sf_dir), f"{shared}/{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def _searched(text: str, **options: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = search.keyword_search(L.snippets(spark, sf_dir), text, as_of(), **options)
+        found = search.keyword_search(L.snippets(spark, sf_dir), text, as_of(), index=indexed(spark, sf_dir), **options)
         return found.select("id", F.round("score", 6).alias("score"), F.round("rank", 6).alias("rank"), F.col("position").cast("long").alias("position"))
 
     return run
@@ -78,7 +91,7 @@ _search(
 @query(W("SELECT id, round(score, 6) AS score FROM scored", O.search([(("thing",), False)], "t0 > 0")[0]))
 def bm25_scores(spark, sf_dir):
     tree = query_language.Words(("thing",))
-    return search.bm25(L.snippets(spark, sf_dir), tree).select("id", F.round("score", 6).alias("score"))
+    return indexed(spark, sf_dir).bm25(tree).select("id", F.round("score", 6).alias("score"))
 
 
 @query(W(f"SELECT id, round(greatest(1.0, 0) * 0.8 + exp(-floor((epoch(TIMESTAMP '{L.AS_OF}') - epoch(created_at)) / 86400) / 30) * 0.2, 6)::DOUBLE AS rank FROM snippets"))
@@ -174,7 +187,7 @@ def classify_uncategorized(spark, sf_dir):
 def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    keyword = search.keyword_search(L.snippets(spark, sf_dir), "thing", as_of()).select("id", "position")
+    keyword = search.keyword_search(L.snippets(spark, sf_dir), "thing", as_of(), index=indexed(spark, sf_dir)).select("id", "position")
     near = vectors.top_k(L.embeddings(spark, sf_dir), _probe(spark, sf_dir))
     semantic = near.select(F.col("snippet_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("similarity"), "snippet_id")).alias("position"))
     return keyword, semantic

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import query_language as ql
-from gleaner.operators import search, tables, vectors
+from gleaner.operators import postings, search, tables, vectors
 from gleaner.sources import exchange, files
 from gleaner.streaming import ingest
 
@@ -224,3 +224,24 @@ def test_decisions(spark):
         1: ("use_existing", "Web Pages", 0.95), 2: ("create_new", "Long Words Here Content", 0.75), 3: ("create_new", "Garden Tools", 0.72), 4: ("use_existing", "Git Commands", 0.95),
         5: ("create_new", "Business Case Studies", 0.85), 6: ("create_new", "Docker Commands", 0.92), 7: ("use_existing", "Web Pages", 0.9),
     }
+
+
+def test_deep_and_circular_categories(spark):
+    chain = [(i, i - 1 if i else None) for i in range(50)] + [(100, 101), (101, 100)]
+    found = tables.closure(spark.createDataFrame(chain, "id long, parent_id long"))
+    got = {tuple(r) for r in found.collect()}
+    assert got == {(a, b) for b in range(50) for a in range(b + 1)} | {(a, b) for a in (100, 101) for b in (100, 101)}
+
+
+def test_index_answers_as_a_scan_does(spark, tmp_path):
+    texts = ["the cat sat on the mat", "a dog and the cat", "cats and dogs", "", "mat of the cat sat", "operating system of the dog", None]
+    rows = [(i, t, "the end" if i % 2 else None) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "id long, content string, summary string")
+    index = postings.Index.build(frame.where("id < 4"), str(tmp_path / "index"))
+    index.add(frame.where("id >= 4"))
+    index.add(extra := spark.createDataFrame([(90, "the cat", None)], frame.schema))
+    index.remove(extra)
+    for query, options in (("cat", {}), ("the cat", {}), ('"the cat"', {}), ("cat OR dog", {}), ("the NOT cat", {}), ("(cat OR dog) AND the", {}), ("os of", {"synonyms": True}), ("cat NEAR/2 mat", {"near": True})):
+        tree = ql.parse(query, **options)
+        want = {r.id: pytest.approx(r.score) for r in search.bm25(frame, tree).collect()}
+        assert want and {r.id: r.score for r in index.bm25(tree).collect()} == want, query
