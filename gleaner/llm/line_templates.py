@@ -39,6 +39,8 @@ from gleaner.llm.shared import divided, fresh, quoted, written
 
 LEAD = 3
 LIMITS = {"min_docs": 5, "long_docs": 2, "long_tokens": 50, "alike": 70, "constant": 50}
+#: Wordings of a leaf beyond which its tokens are dealt by place and token instead of by leaf.
+LARGE = 20_000
 #: A generalised token.
 ANY = "<*>"
 
@@ -75,13 +77,19 @@ def _groups(wordings: DataFrame, alike: int, constant: int) -> DataFrame:
     tokens = F.split("wording", " ")
     same = F.size(F.filter(F.zip_with(tokens, "template", lambda a, b: a == b), lambda x: x))
     follows = 100 * same >= alike * F.size(tokens)
-    found, rest, left, turn = [], [], wordings, 0
-    while True:
+
+    def told(left: DataFrame) -> DataFrame:
+        """left with whether each wording follows its leaf's template."""
         seen = left.select("leaf", "weight", F.posexplode(tokens).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("weight").alias("n"))
         common = seen.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
         templates = common.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).getField("token").alias("template"))
         met = left.join(templates.where(_steady(F.col("template"), constant)).hint("merge"), "leaf", "left")  # the same plan at every size
-        met = written(met.select("leaf", "line", "wording", "weight", "need", F.coalesce(follows, F.lit(False)).alias("follows")))
+        return met.select("leaf", "line", "wording", "weight", "need", "large", F.coalesce(follows, F.lit(False)).alias("follows"))
+
+    found, rest, left, turn = [], [], wordings, 0
+    while True:
+        # dealt by leaf, wordings move instead of their single tokens; a large leaf's tokens are counted apart, wherever they are
+        met = written(told(left.where(~F.col("large")).repartition("leaf")).unionByName(told(left.where("large"))))
         # more lines than texts may follow a template, not fewer: one that too few follow can't recur, and the leaf has no more
         follow = F.col("follows")
         often = met.groupBy("leaf").agg(F.sum(F.when(follow, F.col("weight")).otherwise(0)).alias("n"), F.count(F.when(~follow, 1)).alias("others"), F.first("need").alias("need"))
@@ -109,9 +117,11 @@ def _drops(docs: DataFrame, min_docs: int, long_docs: int, long_tokens: int, ali
     inside = _placed(divided(_lines(texts), spot, spots, "spot")[1]).withColumn("wording", _general(F.col("line")))
     inside = written(inside.select("leaf", F.xxhash64("wording").alias("line"), "size", "key", "at", "doc_id", "wording"))
     lines = inside.groupBy("leaf", "line", "size", "key", "at").agg(F.min("doc_id").alias("doc_id"))
-    weights = lines.groupBy("leaf", "line").agg(F.count("*").alias("weight"))
+    weights = written(lines.groupBy("leaf", "line").agg(F.count("*").alias("weight")))
     wordings = inside.select("leaf", "line", "wording", need(F.col("size")).alias("need")).distinct()
-    groups = written(_groups(written(wordings.join(weights, ["leaf", "line"])), alike, constant))
+    large = weights.groupBy("leaf").agg((F.count("*") > LARGE).alias("large"))
+    weighed = wordings.join(weights.join(large, "leaf"), ["leaf", "line"])
+    groups = written(_groups(written(weighed), alike, constant))
 
     group = ["leaf", "exact", "group"]
     following = written(lines.join(groups, ["leaf", "line"]).drop("line"))

@@ -127,7 +127,9 @@ def test_templates(spark, docs, empty):
     assert line_templates.dedup(docs).count() == docs.count()
 
 
-def test_templates_of_one_leaf(spark):
+@pytest.mark.parametrize("large", [20_000, 1])
+def test_templates_of_one_leaf(spark, monkeypatch, large):
+    monkeypatch.setattr(line_templates, "LARGE", large)
     common = ["share this page on facebook now", "share this page with your friends", "share this page by electronic mail"]
     rows = [(100 * k + i, f"{c}\nown{'xyz'[k]} {'abcdefghijkl'[i]}") for k, c in enumerate(common) for i in range(6 + 3 * k)]
     out = line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
