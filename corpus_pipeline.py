@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again before the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again before the next.
+
+Null texts and texts of under 20 words go in the first stage, so a table of nothing
+else, or an empty one, gives an empty result. Repeated rows pass the first three
+stages and stay once in the fourth; null doc_ids stay. Columns besides those of
+``documents`` are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -36,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("best-fit packing", pack)]
 
-#: SQL expresses neither the classifier nor the genetic packing; a test holds run() against brute force.
+#: SQL expresses neither the classifier nor the genetic packing. A test holds the packing of run() against brute force over what the stages keep; the stages are held against brute force one by one.
 ORACLE_SQL = None
 
 
