@@ -147,8 +147,8 @@ def build_index(snippets: DataFrame, tokenizer=unicode_tokens) -> DataFrame:
     return posted.join(stems, "token").select("id", "col", "pos", "term")
 
 
-def search_many(postings: DataFrame, queries: DataFrame, limit: int = fixed.SEARCH_LIMIT) -> DataFrame:
-    """query_id, id, score, position: the best of each query (query_id, term rows; all terms must occur). Terms meet postings by an equi-join; nothing is compared pairwise."""
+def search_many(postings: DataFrame, queries: DataFrame, limit: int = fixed.SEARCH_LIMIT, any_term: bool = False) -> DataFrame:
+    """query_id, id, score, position: the best of each query (query_id, term rows). All terms must occur; with any_term, a query that no row satisfies so takes rows with any of them. Terms meet postings by an equi-join; nothing is compared pairwise."""
     lengths = postings.groupBy("id").agg(F.count("*").alias("dl"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("average"))
     wanted = queries.select("query_id", "term").distinct()
@@ -159,9 +159,15 @@ def search_many(postings: DataFrame, queries: DataFrame, limit: int = fixed.SEAR
     weighed = weighed.select("term", "id", (idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("average"))).alias("part"))
     size = wanted.groupBy("query_id").agg(F.count("*").alias("terms"))
     hits = wanted.join(weighed, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("have"))
-    hits = hits.join(size, "query_id").where(F.col("have") == F.col("terms"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return hits.withColumn("position", place).where(F.col("position") <= limit).select("query_id", "id", "score", "position")
+    whole = F.col("have") == F.col("terms")
+    hits = hits.join(size, "query_id").withColumn("whole", whole)
+    if not any_term:
+        hits = hits.where("whole")
+    own = Window.partitionBy("query_id")
+    place = F.row_number().over(own.orderBy(F.desc("whole"), F.desc(F.round("score", 9)), "id"))
+    best = hits.withColumn("position", place).where(F.col("position") <= limit)
+    best = best.withColumn("found", F.max("whole").over(own)).where(F.col("whole") | ~F.col("found"))  # limit rows a query
+    return best.select("query_id", "id", "score", "position")
 
 
 def query_words(query: str) -> list[str]:

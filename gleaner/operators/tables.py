@@ -233,6 +233,12 @@ def find_duplicates(snippets: DataFrame, new: DataFrame, kind: str | None = None
     return new.join(rows.select("content_hash"), "content_hash", "left_semi")
 
 
+def repeats(snippets: DataFrame) -> DataFrame:
+    """Rows whose hash a row with a smaller id has: find_duplicates of every row against those before it. The first id of each hash is found by an aggregate, so a popular hash is one row of the join's other side."""
+    first = snippets.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("id").alias("__first"))
+    return snippets.join(first, "content_hash").where(F.col("id") > F.col("__first")).drop("__first")
+
+
 # vectors
 
 
@@ -336,24 +342,36 @@ def suggestions(snippets: DataFrame, assignments: DataFrame, cutoff: Column) ->
     return dup.toDF(*columns).unionByName(archive.toDF(*columns)).unionByName(tag.toDF(*columns)).orderBy(F.desc("priority"), order, "suggestion_id")
 
 
-def greedy_context(ranked: DataFrame, budget: int, order: list) -> DataFrame:
-    """Rows of a ranked list up to the first that overflows the token budget, with their running sum."""
-    running = F.sum(T.estimate_tokens(F.col("content"))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("used", running).where(F.col("used") <= budget)
+def _filled(ranked: DataFrame, budget: int, order: list[Column]) -> DataFrame:
+    """Rows up to the first that overflows the budget, it included, with __need and used, the running sum of needs.
+
+    A row with a need takes a token at least, so budget + 1 of them decide: no more meet
+    in one task. Rows without one (texts of under four bytes, nulls) take the sum of the
+    rows before them from that bounded list.
+    """
+    rows = ranked.withColumns({"__need": F.coalesce(T.estimate_tokens(F.col("content")), F.lit(0)).cast("long"), "__key": F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))})
+    heavy = rows.where(F.col("__need") > 0).orderBy("__key").limit(max(budget, 0) + 1)
+    heavy = heavy.withColumn("used", F.sum("__need").over(Window.orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)))  # budget + 1 rows at most
+    steps = heavy.agg(F.collect_list(F.struct("__key", "used")).alias("__steps"))
+    before = F.array_max(F.transform(F.filter("__steps", lambda s: s["__key"] < F.col("__key")), lambda s: s["used"]))
+    light = rows.where(F.col("__need") == 0).crossJoin(F.broadcast(steps)).withColumn("used", F.coalesce(before, F.lit(0).cast("long"))).drop("__steps")  # one row
+    return heavy.unionByName(light).where(F.col("used") - F.col("__need") <= budget)
+
+
+def greedy_context(ranked: DataFrame, budget: int, order: list[Column]) -> DataFrame:
+    """Rows of a ranked list (ascending by order) up to the first that overflows the token budget, with their running sum."""
+    return _filled(ranked, budget, order).where(F.col("used") <= budget).drop("__need", "__key")
 
 
-def rag_context(ranked: DataFrame, query: str, order: list, window: int = 512, answer: int = 150, least: int = 50) -> DataFrame:
+def rag_context(ranked: DataFrame, query: str, order: list[Column], window: int = 512, answer: int = 150, least: int = 50) -> DataFrame:
     """id, part: the packed texts and, where over least tokens are left, a shortened next one."""
     budget = window - len(query.encode()) // 4 - answer
-    w = Window.orderBy(*order)  # a ranked list, bounded by its caller
-    need = T.estimate_tokens(F.col("content"))
-    run = ranked.withColumn("used", F.sum(need).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.coalesce(F.lag("used").over(w), F.lit(0)))
-    left = F.lit(budget) - F.col("before")
+    left = F.lit(budget) - (F.col("used") - F.col("__need"))
     pieces = F.split("content", r"\. ")
     short = F.when(F.length("content") <= left * 4, F.col("content")).when(F.size(pieces) <= 2, F.substring(F.col("content"), F.lit(1), (left * 4).cast("int"))).otherwise(F.concat(F.get(pieces, 0), F.lit(" ... "), F.element_at(pieces, -1)))
     whole = F.concat(F.lit("["), F.coalesce("source_app", F.lit("Unknown")), F.lit("] "), "content", F.lit("\n---\n"))
-    part = F.when(F.col("used") <= budget, whole).when((F.col("before") <= budget) & (left > least), F.concat(short, F.lit("\n---\n")))
-    return run.select("id", part.alias("part"), "used").where(F.col("part").isNotNull())
+    part = F.when(F.col("used") <= budget, whole).when(left > least, F.concat(short, F.lit("\n---\n")))
+    return _filled(ranked, budget, order).select("id", part.alias("part"), "used").where(F.col("part").isNotNull())
 
 
 def rag_prompt(query: str, context: str) -> str:
@@ -367,11 +385,21 @@ def command_pairs(events: DataFrame) -> DataFrame:
     return events.withColumn("b", before).where((F.col("event") == "CMD_END") & (F.col("b.event") == "CMD_START")).select("session", F.col("b.seq").alias("start_seq"), F.col("seq").alias("end_seq"), F.col("b.data").alias("command"))
 
 
-def debounce(events: DataFrame, keys: list[str], ts: str, milliseconds: int = 800) -> DataFrame:
-    """Events that come more than so long after the one before with the same keys."""
-    ms = F.unix_micros(F.col(ts).cast("timestamp")) / 1000
-    gap = ms - F.lag(ms).over(Window.partitionBy(*keys).orderBy(ts))
-    return events.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > milliseconds)).drop("__gap")
+def debounce(events: DataFrame, keys: list[str], ts: str, milliseconds: int = 800, tie: str | None = None) -> DataFrame:
+    """Events that come more than so long after the one before with the same keys; of equal times the first by tie counts.
+
+    Events are sorted within stretches of an hour or the pause, whichever is longer, so a
+    busy key is many groups; a stretch's first event looks at the last of the stretch
+    before, found by an aggregate.
+    """
+    width = max(milliseconds, 3_600_000)
+    timed = events.withColumn("__ms", F.unix_micros(F.col(ts).cast("timestamp")) / 1000).withColumn("__part", F.floor(F.col("__ms") / width))
+    ends = timed.groupBy(*keys, "__part").agg(F.max("__ms").alias("__end")).withColumn("__last", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__part"))).drop("__end")
+    order = Window.partitionBy(*keys, "__part").orderBy("__ms", *([tie] if tie else []))
+    own = timed.withColumn("__before", F.lag("__ms").over(order))
+    same = [own[k].eqNullSafe(ends[k]) for k in [*keys, "__part"]]
+    gap = F.col("__ms") - F.coalesce("__before", "__last")
+    return own.join(ends, same).where(gap.isNull() | (gap > milliseconds)).select(*(own[c] for c in events.columns))
 
 
 # the command palette, and rows of history

@@ -109,13 +109,14 @@ def search_fuzzy(spark, sf_dir):
 
 
 _MANY = """
-q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')[1:3])) AS term FROM benchmark),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark),
 post AS (SELECT id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+') || regexp_extract_all(lower(summary), '[a-z0-9]+')) AS term FROM snippets),
 dl AS (SELECT id, count(*) AS dl FROM post GROUP BY 1), corpus AS (SELECT count(*) AS n, avg(dl) AS average FROM dl),
 tf AS (SELECT term, id, count(*) AS t FROM post SEMI JOIN q USING (term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 part AS (SELECT term, id, (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * (t * 2.2::DOUBLE / (t + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / average))) AS p FROM tf JOIN df USING (term) JOIN dl USING (id), corpus),
 hit AS (SELECT query_id, id, sum(p) AS score, count(*) AS have FROM q JOIN part USING (term) GROUP BY ALL),
-full_hit AS (SELECT hit.* FROM hit JOIN (SELECT query_id, count(*) AS terms FROM q GROUP BY 1) USING (query_id) WHERE have = terms)
+fit AS (SELECT hit.*, have = terms AS whole, max(have) OVER (PARTITION BY query_id) = terms AS found FROM hit JOIN (SELECT query_id, count(*) AS terms FROM q GROUP BY 1) USING (query_id)),
+full_hit AS (SELECT * FROM fit WHERE whole OR NOT found)
 """
 
 
@@ -123,8 +124,8 @@ full_hit AS (SELECT hit.* FROM hit JOIN (SELECT query_id, count(*) AS terms FROM
 def search_batched(spark, sf_dir):
     rows = L.snippets(spark, sf_dir)
     post = rows.select("id", F.explode(F.concat(search.tokens(F.col("content")), search.tokens(F.col("summary")))).alias("term"))
-    asked = L.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(search.tokens(F.col("text")), 1, 3))).alias("term"))
-    return search.search_many(post, asked).select("query_id", "id", F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
+    asked = L.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
+    return search.search_many(post, asked, any_term=True).select("query_id", "id", F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
 
 
 @query()
@@ -459,19 +460,28 @@ def suggestions_union(spark, sf_dir):
     return tables.suggestions(L.snippets(spark, sf_dir), L.assignments(spark, sf_dir), when("2024-01-10 00:00:00"))
 
 
-@query(W("SELECT id, used::BIGINT AS used FROM (SELECT id, sum(strlen(content) // 4) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT * FROM snippets ORDER BY id LIMIT 50)) WHERE used <= 5000"))
+def _ranked(spark, sf_dir) -> DataFrame:
+    """All rows that a search finds, with their scores."""
+    return L.snippets(spark, sf_dir).join(indexed(spark, sf_dir).bm25(query_language.Words(("thing",))), "id")
+
+
+_RANK = [-F.round("score", 9), F.col("id")]
+_RUN = f"{O.search([(('thing',), False)], 't0 > 0')[0]}, run AS (SELECT *, used - need AS earlier FROM (SELECT *, strlen(content) // 4 AS need, sum(strlen(content) // 4) OVER (ORDER BY round(score, 9) DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM scored))"
+
+
+@query(W("SELECT id, used::BIGINT AS used FROM run WHERE used <= 5000", _RUN))
 def rag_packing(spark, sf_dir):
-    return tables.greedy_context(L.snippets(spark, sf_dir).orderBy("id").limit(50), 5000, ["id"]).select("id", "used")
+    return tables.greedy_context(_ranked(spark, sf_dir), 5000, _RANK).select("id", "used")
 
 
 @query(
     W(
-        "SELECT id, CASE WHEN used <= 900 - 1 - 150 THEN '[' || source_app || '] ' || content || chr(10) || '---' || chr(10) ELSE short || chr(10) || '---' || chr(10) END AS part FROM (SELECT *, CASE WHEN length(content) <= rest * 4 THEN content WHEN len(string_split(content, '. ')) <= 2 THEN substring(content, 1, (rest * 4)::INT) ELSE string_split(content, '. ')[1] || ' ... ' || string_split(content, '. ')[-1] END AS short FROM run) WHERE used <= 749 OR (earlier <= 749 AND rest > 50)",
-        "top10 AS (SELECT * FROM snippets ORDER BY id LIMIT 10), s0 AS (SELECT *, sum(strlen(content) // 4) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM top10), run AS (SELECT *, coalesce(lag(used) OVER (ORDER BY id), 0) AS earlier, 749 - coalesce(lag(used) OVER (ORDER BY id), 0) AS rest FROM s0)",
+        "SELECT id, CASE WHEN used <= 749 THEN '[' || source_app || '] ' || content || chr(10) || '---' || chr(10) ELSE short || chr(10) || '---' || chr(10) END AS part FROM (SELECT *, CASE WHEN length(content) <= (749 - earlier) * 4 THEN content WHEN len(string_split(content, '. ')) <= 2 THEN substring(content, 1, ((749 - earlier) * 4)::INT) ELSE string_split(content, '. ')[1] || ' ... ' || string_split(content, '. ')[-1] END AS short FROM run WHERE earlier <= 749) WHERE used <= 749 OR 749 - earlier > 50",
+        _RUN,
     )
 )
 def rag_context(spark, sf_dir):
-    return tables.rag_context(L.snippets(spark, sf_dir).orderBy("id").limit(10), "what", ["id"], window=900).select("id", "part")
+    return tables.rag_context(_ranked(spark, sf_dir), "thing", _RANK, window=900).select("id", "part")
 
 
 @query(W("SELECT session, start_seq, end_seq, command FROM (SELECT session, event, seq AS end_seq, lag(event) OVER w AS e, lag(seq) OVER w AS start_seq, lag(data) OVER w AS command FROM terminal WINDOW w AS (PARTITION BY session ORDER BY ts, seq)) WHERE event = 'CMD_END' AND e = 'CMD_START'"))
@@ -479,9 +489,9 @@ def command_pairing(spark, sf_dir):
     return tables.command_pairs(L.terminal_events(spark, sf_dir))
 
 
-@query("SELECT event_id FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events) WHERE gap IS NULL OR gap > 60000000")
+@query("SELECT event_id FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gap FROM events) WHERE gap IS NULL OR gap > 60000000")
 def debounce_save(spark, sf_dir):
-    return tables.debounce(L.read(spark, sf_dir, "events"), ["event_type"], "ts", 60_000).select("event_id")
+    return tables.debounce(L.read(spark, sf_dir, "events"), ["event_type"], "ts", 60_000, "event_id").select("event_id")
 
 
 # text functions
@@ -671,12 +681,11 @@ def cache_key(spark, sf_dir):
     return L.read(spark, sf_dir, "conversations").select("conv_id", "turn", T.cache_key(F.col("text")).alias("cache_key"))
 
 
-@query(W("SELECT id, content_hash IN (SELECT content_hash FROM snippets WHERE id < 100) AS known FROM snippets WHERE id >= 100"))
+@query(W("SELECT id, coalesce(id > min(id) OVER (PARTITION BY content_hash), false) AS known FROM snippets"))
 def check_duplicate(spark, sf_dir):
-    rows = L.snippets(spark, sf_dir)
-    new = rows.where("id >= 100").select("id", "content_hash")
-    known = tables.find_duplicates(rows.where("id < 100"), new).select("id", F.lit(True).alias("known"))
-    return new.join(known, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
+    rows = L.snippets(spark, sf_dir).select("id", "content_hash")
+    known = tables.repeats(rows).select("id", F.lit(True).alias("known"))
+    return rows.select("id").join(known, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 # export and import

@@ -245,3 +245,45 @@ def test_index_answers_as_a_scan_does(spark, tmp_path):
         tree = ql.parse(query, **options)
         want = {r.id: pytest.approx(r.score) for r in search.bm25(frame, tree).collect()}
         assert want and {r.id: r.score for r in index.bm25(tree).collect()} == want, query
+
+
+def test_context_is_filled_in_order(spark):
+    texts = [(1, 5.0, "a" * 8), (2, 5.0, "ab"), (3, 9.0, "xyz"), (4, 4.0, None), (5, 3.0, "b" * 12), (6, 2.0, "c" * 4), (7, 1.0, "d"), (8, 3.0, "")]
+    ranked = spark.createDataFrame([(i, s, t, "app") for i, s, t in texts], "id long, score double, content string, source_app string")
+    order = [-F.col("score"), F.col("id")]
+    for budget in (-1, 0, 1, 2, 4, 5, 6, 100):
+        want, used = [], 0
+        for i, _, t in sorted(texts, key=lambda r: (-r[1], r[0])):
+            used += len(t or "") // 4
+            if used > budget:
+                break
+            want.append((i, used))
+        got = tables.greedy_context(ranked, budget, order)
+        assert sorted((r.id, r.used) for r in got.collect()) == sorted(want), budget
+        assert got.columns == [*ranked.columns, "used"]
+    parts = {r.id: r.part for r in tables.rag_context(ranked, "q", order, window=153, answer=150, least=0).collect()}
+    assert parts == {3: "[app] xyz\n---\n", 1: "[app] aaaaaaaa\n---\n", 2: "[app] ab\n---\n", 5: "bbbb\n---\n"}
+    assert tables.greedy_context(ranked.limit(0), 5, order).count() == 0
+
+
+def test_debounce_across_stretches(spark):
+    hour = 3_600_000
+    times = {"a": [0, 500, hour - 1, hour, hour + 2, 5 * hour, 5 * hour, 5 * hour + 900], "b": [hour - 400, hour + 399], None: [7, 900]}
+    rows = [(k, t, i) for k, ts in times.items() for i, t in enumerate(ts)]
+    events = spark.createDataFrame(rows, "k string, ms long, i int").select("k", F.timestamp_millis("ms").alias("ts"), "i")
+    want = {(k, i) for k, ts in times.items() for i, t in enumerate(ts) if i == 0 or t - ts[i - 1] > 800}
+    got = tables.debounce(events, ["k"], "ts", tie="i")
+    assert {(r.k, r.i) for r in got.collect()} == want and got.columns == events.columns
+
+
+def test_repeats(spark):
+    rows = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (5, "x"), (4, None), (6, None)], "id long, content_hash string")
+    assert sorted(r.id for r in tables.repeats(rows).collect()) == [3, 5]
+
+
+def test_search_by_any_term(spark):
+    postings = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "d")], "id long, term string")
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "z")], "query_id long, term string")
+    found = lambda **o: sorted((r.query_id, r.id) for r in search.search_many(postings, asked, **o).collect())
+    assert found() == [(1, 1)]
+    assert found(any_term=True) == [(1, 1), (2, 1), (2, 2), (2, 3)]
