@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions import fixed
 from gleaner.operators import query_language as ql
-from gleaner.operators.search import holds, idf, saturation, scored_leaves, tokens
+from gleaner.operators.search import best_of_each, holds, idf, saturation, scored_leaves, tokens
 
 POSTINGS = "term string, id long, field string, places array<int>, size int"
 
@@ -101,3 +102,10 @@ class Index:
         both = hits.crossJoin(F.broadcast(having.crossJoin(F.broadcast(self.figures()))))  # one row each
         parts = [idf(F.col("__n"), F.col(f"__df{i}")) * saturation(F.col(f"__tf{i}"), F.col("__dl"), F.col("__avg")) for i, p in enumerate(phrases) if p in scored]
         return both.select("id", reduce(lambda a, b: a + b, parts).alias("score"))
+
+    def search_many(self, queries: DataFrame, limit: int = fixed.SEARCH_LIMIT, any_term: bool = False) -> DataFrame:
+        """As search.search_many, from the stored postings: only wanted terms are moved, with their rows' lengths."""
+        wanted = queries.select("query_id", "term").distinct()
+        found = self.postings(F.lit(True)).join(wanted.select("term").distinct(), "term", "left_semi")
+        tf = found.groupBy("term", "id").agg(F.sum(F.size("places")).alias("tf"), F.first("size").alias("dl"))
+        return best_of_each(tf, self.figures().toDF("n", "average"), wanted, limit, any_term)

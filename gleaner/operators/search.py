@@ -152,10 +152,14 @@ def search_many(postings: DataFrame, queries: DataFrame, limit: int = fixed.SEAR
     lengths = postings.groupBy("id").agg(F.count("*").alias("dl"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("average"))
     wanted = queries.select("query_id", "term").distinct()
-    terms = wanted.select("term").distinct()
-    tf = postings.join(terms, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
+    tf = postings.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
+    return best_of_each(tf.join(lengths, "id"), corpus, wanted, limit, any_term)
+
+
+def best_of_each(tf: DataFrame, corpus: DataFrame, wanted: DataFrame, limit: int, any_term: bool) -> DataFrame:
+    """search_many from term, id, tf, dl rows of the wanted terms and one row of n, average."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "term").join(lengths, "id").crossJoin(F.broadcast(corpus))  # one row
+    weighed = tf.join(df, "term").crossJoin(F.broadcast(corpus))  # one row
     weighed = weighed.select("term", "id", (idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("average"))).alias("part"))
     size = wanted.groupBy("query_id").agg(F.count("*").alias("terms"))
     hits = wanted.join(weighed, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("have"))

@@ -122,10 +122,8 @@ full_hit AS (SELECT * FROM fit WHERE whole OR NOT found)
 
 @query(W("SELECT query_id, id, round(score, 6) AS score, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS position FROM full_hit) WHERE position <= 10", _MANY))
 def search_batched(spark, sf_dir):
-    rows = L.snippets(spark, sf_dir)
-    post = rows.select("id", F.explode(F.concat(search.tokens(F.col("content")), search.tokens(F.col("summary")))).alias("term"))
     asked = L.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
-    return search.search_many(post, asked, any_term=True).select("query_id", "id", F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
+    return indexed(spark, sf_dir).search_many(asked, any_term=True).select("query_id", "id", F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
 
 
 @query()
