@@ -5,8 +5,8 @@ longest rule that fits decides. Other urls get their host's verdict: personalise
 PageRank spreads trust from hosts with allowed urls along links, and distrust from
 hosts with blocked urls against links, and a host is blocked where distrust
 exceeds ``ratio`` times its trust by more than a share of ``TIE``. The unrounded
-scores are compared, as they shrink with the table; the columns shown are rounded.
-The SQL twin compares rounded scores, so it says allow where both round to 0.
+scores are compared, as they shrink with the table, in the SQL twin too; the
+columns shown are rounded.
 
 Scores are propagated until no host's changes by more than a share of ``SETTLED``
 in ``EVERY`` rounds, so every host that a path joins to a seed is reached, however
@@ -143,5 +143,5 @@ def sql(rules: Iterable[tuple[str, str]] = RULES, rounds: int = ROUNDS, damping:
         for i in range(rounds):
             parts.append(f"{kind}{i + 1} AS (SELECT host, sum(score) AS score FROM (SELECT dest AS host, score * share * {damping} AS score FROM {kind}{i} JOIN {kind}e USING (host) UNION ALL SELECT host, seed * {1 - damping} FROM {kind}s) GROUP BY host)")
     last = f"FROM r LEFT JOIN t{rounds} AS t USING (host) LEFT JOIN d{rounds} AS d USING (host)"
-    parts.append(f"j AS (SELECT r.*, round(coalesce(t.score, 0), 9) AS trust, round(coalesce(d.score, 0), 9) AS distrust {last})")
-    return f"WITH {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust > {ratio} * trust THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust FROM j"
+    parts.append(f"j AS (SELECT r.*, coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust {last})")
+    return f"WITH {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust > {ratio} * trust * (1 + {TIE}) THEN 'block' ELSE 'allow' END) AS verdict, round(trust, 9) AS trust, round(distrust, 9) AS distrust FROM j"
