@@ -127,7 +127,10 @@ def without_category(snippets: DataFrame, assignments: DataFrame) -> DataFrame:
 
 def screenshot_status(snippets: DataFrame, assignments: DataFrame, categories: DataFrame, part: str, limit: int = 20) -> DataFrame:
     named = assignments.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("category")), "category_id", "left").select(F.col("snippet_id").alias("id"), "category")
-    found = snippets.where((F.col("type") == "screenshot") & like(F.col("content"), part))
+    named_so = like(F.col("content"), part)
+    if "file_path" in snippets.columns:
+        named_so |= F.coalesce(like(F.col("file_path"), part), F.lit(False))
+    found = snippets.where((F.col("type") == "screenshot") & named_so)
     return found.join(named, "id", "left").select("id", "category", F.col("category").isNotNull().alias("is_categorized")).orderBy("id").limit(limit)
 
 
@@ -250,10 +253,20 @@ def replace_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
     return vectors.join(new.select("snippet_id"), "snippet_id", "left_anti").unionByName(new)
 
 
+def vectors_of(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """The vectors of many snippets at once; ids is a table of snippet_id."""
+    return vectors.join(ids, "snippet_id", "left_semi")
+
+
 def delete(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, key, "left_anti")
 
 
+def delete_everything(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """The tables without rows, their columns as they were."""
+    return tuple(d.limit(0) for d in tables)
+
+
 # analytics
 
 
@@ -305,6 +318,16 @@ def recovered_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("status") == "running", "pending").otherwise(F.col("status")))
 
 
+def moved_jobs(jobs: DataFrame, events: DataFrame, now: Column) -> DataFrame:
+    """jobs after events (id, event, error): start takes up a waiting job, complete and fail end a running one. Other events change nothing; a job has one event at most."""
+    moved = jobs.join(events.select("id", F.col("event").alias("__event"), F.col("error").alias("__error")), "id", "left")
+    step = lambda a, b: (F.col("status") == a) & F.coalesce(F.col("__event") == b, F.lit(False))
+    status = F.when(step("pending", "start"), "running").when(step("running", "complete"), "completed").when(step("running", "fail"), F.concat(F.lit("failed:"), F.coalesce("__error", F.lit(""))))
+    moved = moved.withColumn("__status", status)
+    changed = {"status": F.coalesce("__status", "status"), "updated_at": F.when(F.col("__status").isNotNull(), now).otherwise(F.col("updated_at"))}
+    return moved.withColumns(changed).select(*jobs.columns)
+
+
 def finished_jobs_dropped(jobs: DataFrame, cutoff: Column) -> DataFrame:
     done = (F.col("status") == "completed") | F.col("status").startswith("failed:")
     return jobs.where(~(done & (F.col("updated_at") < cutoff)))
@@ -428,6 +451,11 @@ def search_event(spark: SparkSession, query: str, kind: str, keyword: int, seman
     return spark.createDataFrame(row, "query string, search_type string, keyword_results long, semantic_results long, total_results long, latency_ms long").withColumn("timestamp", at)
 
 
+def export_history(events: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest exports, newest first."""
+    return events.orderBy(F.desc("exported_at"), "file_path").limit(limit)
+
+
 def export_event(spark: SparkSession, kind: str, path: str, items: int, size: int, at: Column) -> DataFrame:
     """One row of export history, to append."""
     return spark.createDataFrame([(kind, path, items, size)], "format string, file_path string, item_count long, file_size_bytes long").withColumn("exported_at", at)

@@ -223,6 +223,12 @@ def orphan_vectors(spark, sf_dir):
     return tables.drop_orphans(L.embeddings(spark, sf_dir), L.snippets(spark, sf_dir)).select("snippet_id")
 
 
+@query(W("SELECT snippet_id, len(embedding)::BIGINT AS n FROM vectors WHERE snippet_id IN (SELECT snippet_id FROM job_queue WHERE status = 'completed')"))
+def vector_multi_get(spark, sf_dir):
+    done = L.jobs(spark, sf_dir).where("status = 'completed'").select("snippet_id")
+    return tables.vectors_of(L.embeddings(spark, sf_dir), done).select("snippet_id", F.size("embedding").cast("long").alias("n"))
+
+
 # analytics
 
 
@@ -427,6 +433,13 @@ def job_recovery(spark, sf_dir):
     return tables.recovered_jobs(L.jobs(spark, sf_dir)).select("id", "status")
 
 
+@query(W("SELECT id, CASE WHEN status = 'pending' AND id % 3 = 0 THEN 'running' WHEN status = 'running' AND id % 3 = 1 THEN 'completed' WHEN status = 'running' AND id % 3 = 2 THEN 'failed:timeout' ELSE status END AS status FROM job_queue"))
+def job_transitions(spark, sf_dir):
+    rows = L.jobs(spark, sf_dir)
+    events = rows.select("id", F.element_at(F.array(*map(F.lit, ("start", "complete", "fail"))), (F.col("id") % 3 + 1).cast("int")).alias("event"), F.lit("timeout").alias("error"))
+    return tables.moved_jobs(rows, events, as_of()).select("id", "status")
+
+
 @query(W("SELECT id AS snippet_id FROM snippets WHERE id NOT IN (SELECT snippet_id FROM vectors) AND id NOT IN (SELECT snippet_id FROM job_queue WHERE status IN ('pending', 'running'))"))
 def job_enqueue(spark, sf_dir):
     return tables.enqueue(L.jobs(spark, sf_dir), L.snippets(spark, sf_dir).select(F.col("id").alias("snippet_id")), L.embeddings(spark, sf_dir))

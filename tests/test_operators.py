@@ -287,3 +287,32 @@ def test_search_by_any_term(spark):
     found = lambda **o: sorted((r.query_id, r.id) for r in search.search_many(postings, asked, **o).collect())
     assert found() == [(1, 1)]
     assert found(any_term=True) == [(1, 1), (2, 1), (2, 2), (2, 3)]
+
+
+def test_batched_search_of_the_index(spark, corpus, tmp_path):
+    index = postings.Index.build(corpus, str(tmp_path / "many"))
+    post = corpus.select("id", F.explode(search.tokens(F.col("content"))).alias("term"))
+    asked = spark.createDataFrame([(1, "python"), (1, "data"), (2, "database"), (2, "python"), (3, "nothing")], "query_id long, term string")
+    order = lambda d: [(r.query_id, r.id, pytest.approx(r.score), r.position) for r in d.orderBy("query_id", "position").collect()]
+    want = order(search.search_many(post, asked, any_term=True))
+    assert [w[:2] for w in want] == [(1, 2), (2, 3), (2, 2)] or [w[:2] for w in want] == [(1, 2), (2, 2), (2, 3)]
+    assert order(index.search_many(asked, any_term=True)) == want
+
+
+def test_job_events(spark):
+    at = F.expr("timestamp_ntz '2024-01-02 00:00:00'")
+    jobs = spark.createDataFrame([(1, "pending"), (2, "running"), (3, "running"), (4, "completed"), (5, "pending")], "id long, status string").withColumn("updated_at", F.expr("timestamp_ntz '2024-01-01 00:00:00'"))
+    events = spark.createDataFrame([(1, "start", None), (2, "complete", None), (3, "fail", "disk"), (4, "start", None), (9, "start", None)], "id long, event string, error string")
+    got = {r.id: (r.status, r.updated_at.day) for r in tables.moved_jobs(jobs, events, at).collect()}
+    assert got == {1: ("running", 2), 2: ("completed", 2), 3: ("failed:disk", 2), 4: ("completed", 1), 5: ("pending", 1)}
+
+
+def test_empty_tables_history_and_paths(spark):
+    at = lambda day: F.expr(f"timestamp_ntz '2024-01-0{day} 00:00:00'")
+    events = tables.export_event(spark, "json", "/a", 1, 2, at(1)).unionByName(tables.export_event(spark, "json", "/b", 1, 2, at(3)))
+    assert [r.file_path for r in tables.export_history(events, 1).collect()] == ["/b"]
+    (gone,) = tables.delete_everything(events)
+    assert gone.count() == 0 and gone.schema == events.schema
+    shots = spark.createDataFrame([(1, "screenshot", "x", "/p/THING.png"), (2, "screenshot", "a thing", None), (3, "text", "thing", "/thing"), (4, "screenshot", "y", None)], "id long, type string, content string, file_path string")
+    none = spark.createDataFrame([], "snippet_id long, category_id long, name string, id long")
+    assert [r.id for r in tables.screenshot_status(shots, none, none, "thing").collect()] == [1, 2]
