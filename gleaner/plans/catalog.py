@@ -476,13 +476,16 @@ def _ranked(spark, sf_dir) -> DataFrame:
     return L.snippets(spark, sf_dir).join(indexed(spark, sf_dir).bm25(query_language.Words(("thing",))), "id")
 
 
-_RANK = [-F.round("score", 9), F.col("id")]
+def _rank() -> list[Column]:
+    return [-F.round("score", 9), F.col("id")]
+
+
 _RUN = f"{O.search([(('thing',), False)], 't0 > 0')[0]}, run AS (SELECT *, used - need AS earlier FROM (SELECT *, strlen(content) // 4 AS need, sum(strlen(content) // 4) OVER (ORDER BY round(score, 9) DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM scored))"
 
 
 @query(W("SELECT id, used::BIGINT AS used FROM run WHERE used <= 5000", _RUN))
 def rag_packing(spark, sf_dir):
-    return tables.greedy_context(_ranked(spark, sf_dir), 5000, _RANK).select("id", "used")
+    return tables.greedy_context(_ranked(spark, sf_dir), 5000, _rank()).select("id", "used")
 
 
 @query(
@@ -492,7 +495,7 @@ def rag_packing(spark, sf_dir):
     )
 )
 def rag_context(spark, sf_dir):
-    return tables.rag_context(_ranked(spark, sf_dir), "thing", _RANK, window=900).select("id", "part")
+    return tables.rag_context(_ranked(spark, sf_dir), "thing", _rank(), window=900).select("id", "part")
 
 
 @query(W("SELECT session, start_seq, end_seq, command FROM (SELECT session, event, seq AS end_seq, lag(event) OVER w AS e, lag(seq) OVER w AS start_seq, lag(data) OVER w AS command FROM terminal WINDOW w AS (PARTITION BY session ORDER BY ts, seq)) WHERE event = 'CMD_END' AND e = 'CMD_START'"))
