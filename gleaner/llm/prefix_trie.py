@@ -41,7 +41,7 @@ from gleaner.llm.shared import prepare, written
 #: Hex digits of a turn's digest.
 WIDTH = 32
 #: Turns of distinct sequences under one subtrie, and in a bucket of subtries on average.
-LIMIT, BUCKET = 4096, 16384
+LIMIT, BUCKET = 1024, 4096
 NONE = hashlib.sha256(b"").hexdigest()
 COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
 _NODES = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
