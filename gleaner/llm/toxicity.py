@@ -1,9 +1,9 @@
 """Operator 11: toxicity by the nearest labelled examples.
 
 Terms are words (runs of letters, lower-cased), their beginnings of 4 to 7 letters, and
-beginnings that two or three words of a text share. Those that stand in one class
-significantly more often than in the other are kept (a likelihood-ratio test over the
-examples, against the number of terms tested), and a text is the vector of their TF-IDF
+beginnings that two or three words of a text share. Those that stand in toxic examples
+``lift`` times as often as in all, and significantly so, are kept (a likelihood-ratio test,
+against the number of terms tested), and a text is the vector of their TF-IDF
 weights, (1 + ln tf) * idf at length one. The ``k`` examples of the
 largest exact cosine vote, each with the weight 1 / (1 - cosine + ``near``), together with
 one vote of the average example; a monotone table (pool-adjacent-violators over votes of
@@ -196,8 +196,8 @@ def examples_of(docs: DataFrame, labels: DataFrame, modulus: int, held: int, exa
     return written(same.select("doc_id", "text", "toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, examples: int = EXAMPLES, least: int = 4, surplus: float = 5.0, k: int = 16) -> ToxicityModel:
-    """A kept term stands in ``least`` examples at least, and its statistic is over 2 ln(terms tested) + ``surplus``: among terms without a bearing, that of the best is about 2 ln(terms tested)."""
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, examples: int = EXAMPLES, least: int = 4, surplus: float = 5.0, lift: float = 3.0, k: int = 16) -> ToxicityModel:
+    """A kept term stands in ``least`` examples at least, ``lift`` times as often in toxic ones as the average term, and its statistic is over 2 ln(terms tested) + ``surplus``: among terms without a bearing, that of the best is about 2 ln(terms tested)."""
     spark = docs.sparkSession
     prepare(spark)
     sample = examples_of(docs, labels, modulus, held, examples)
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, exa
     share = toxic / total
     statistic = 2 * (part(y, n * share) + part(n - y, n * (1 - share)) + part(toxic - y, (total - n) * share) + part(total - n - toxic + y, (total - n) * (1 - share)))
     tested = stood.count()
-    chosen = stood.where(statistic > 2 * math.log(tested) + surplus).orderBy("term").collect() if tested and 0 < toxic < total else []
+    chosen = stood.where((y / n >= lift * share) & (statistic > 2 * math.log(tested) + surplus)).orderBy("term").collect() if tested and 0 < toxic < total else []
     model.places = {r["term"]: i for i, r in enumerate(chosen)}
     model.heads = {r["term"].rstrip("-23")[: BEGINNINGS[0]] for r in chosen}
     model.idf = np.array([np.log((1 + total) / (1 + r["n"])) + 1 for r in chosen])

@@ -118,7 +118,7 @@ def test_toxicity_terms_kept(spark):
         cells = [(y[t], n[t] * bad / total), (n[t] - y[t], n[t] * (total - bad) / total), (bad - y[t], (total - n[t]) * bad / total), (total - n[t] - bad + y[t], (total - n[t]) * (total - bad) / total)]
         return 2 * sum(o * math.log(o / e) for o, e in cells if o)
 
-    want = sorted(t for t in tested if g(t) > 2 * math.log(len(tested)) + 5)
+    want = sorted(t for t in tested if y[t] / n[t] >= 3 * bad / total and g(t) > 2 * math.log(len(tested)) + 5)
     assert want and sorted(model.places) == want
 
 
