@@ -18,6 +18,11 @@ def fold(x: Column) -> Column:
     return F.translate(x, _ACCENTED, _PLAIN)
 
 
+def fold_text(text: str) -> str:
+    """fold for a query's words on the driver."""
+    return text.translate(str.maketrans(_ACCENTED, _PLAIN))
+
+
 @F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

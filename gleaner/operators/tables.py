@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.sources.shared_folder import shared_folder
 
 
 # scans
@@ -87,7 +88,7 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the shared folder that the cluster names."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -189,6 +190,18 @@ def edit(snippets: DataFrame, versions: DataFrame, snippet_id: int, content: str
     return changed, versions.select("snippet_id", "version_number", "content").unionByName(saved)
 
 
+def edit_many(snippets: DataFrame, versions: DataFrame, edits: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """edit of many rows at once; edits has id and content, one row an id. Ids that aren't there change nothing."""
+    asked = edits.select("id", F.col("content").alias("__new"))
+    had = versions.join(edits.select(F.col("id").alias("snippet_id")), "snippet_id", "left_semi").groupBy(F.col("snippet_id").alias("id")).agg(F.count("*").alias("n"))
+    old = snippets.join(asked.select("id"), "id", "left_semi").join(had, "id", "left")
+    saved = old.select(F.col("id").alias("snippet_id"), (F.coalesce("n", F.lit(0)) + 1).alias("version_number"), "content")
+    own = F.col("__new").isNotNull()
+    fresh = {"content": F.col("__new"), "summary": T.rule_summary(F.col("__new")), "content_hash": T.content_hash(F.col("__new"))} | ({"updated_at": now} if "updated_at" in snippets.columns else {})
+    changed = snippets.join(asked, "id", "left").select(*(F.when(own, fresh[c]).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in snippets.columns))
+    return changed, versions.select("snippet_id", "version_number", "content").unionByName(saved)
+
+
 def summarize_all(snippets: DataFrame) -> DataFrame:
     return snippets.withColumn("summary", T.rule_summary(F.col("content")))
 

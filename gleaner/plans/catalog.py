@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from gleaner.operators import postings, query_language, search, tables, vectors
 from gleaner.plans import oracles as O
 from gleaner.sources import exchange
 from gleaner.sources import logical as L
+from gleaner.sources.shared_folder import snapshot, temporary
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -49,15 +49,14 @@ STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 # keyword retrieval
 
 
-_INDEXES: dict[tuple[str, str], postings.Index] = {}
+_INDEXES: dict[tuple, postings.Index] = {}
 
 
-def indexed(spark, sf_dir) -> postings.Index:
-    """The index of the snippets in sf_dir, built by the first search of an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def indexed(spark, sf_dir, tokenizer=search.tokens, stems=False) -> postings.Index:
+    """The index of the snippets in sf_dir, built by the first search of an application and anew once the table's files have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, tokenizer.__name__, stems, snapshot(spark, f"{sf_dir}/documents.parquet"))
     if key not in _INDEXES:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_indexes"
-        _INDEXES[key] = postings.Index.build(L.snippets(spark, sf_dir), f"{shared}/{uuid.uuid4().hex}")
+        _INDEXES[key] = postings.Index.build(L.snippets(spark, sf_dir), temporary(spark), tokenizer, stems)
     return _INDEXES[key]
 
 
@@ -126,6 +125,46 @@ def search_batched(spark, sf_dir):
     return indexed(spark, sf_dir).search_many(asked, any_term=True).select("query_id", "id", F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
 
 
+_STEMS = O.stem_search(["thing", "beer", "et"], "t0 > 0 OR t1 > 0 OR t2 > 0")
+
+
+@query(W("SELECT id, round(score, 6) AS score FROM scored", _STEMS[0]))
+def search_stemmed(spark, sf_dir):
+    """Every row with a word of one of three stems, accents aside, by the stored index and its dictionary."""
+    tree = query_language.parse("Things OR beers OR été", False)
+    tree = query_language.Or(tuple(query_language.Words(p.tokens) for p in tree.parts))
+    return indexed(spark, sf_dir, search.unicode_tokens, True).bm25(tree, stemmed=True).select("id", F.round("score", 6).alias("score"))
+
+
+_CHANGED = r"""
+base AS (SELECT * FROM snippets WHERE type <> 'command'),
+fresh AS (SELECT * FROM snippets WHERE id IN (SELECT min(id) FROM snippets WHERE type = 'command' AND content_hash NOT IN (SELECT content_hash FROM base) GROUP BY content_hash)),
+stored AS (SELECT * FROM base UNION ALL SELECT * FROM fresh),
+newest AS (SELECT snippet_id, arg_max(content, version_number) AS new FROM snippet_versions GROUP BY 1),
+final AS (
+  SELECT s.id, s.created_at, coalesce(new, s.content) AS content,
+         CASE WHEN new IS NULL THEN s.summary ELSE substring(replace(replace(replace(new, chr(10), ' '), chr(13), ' '), '  ', ' '), 1, 50) END AS summary
+  FROM stored s LEFT JOIN newest ON snippet_id = s.id
+  WHERE s.id IN (SELECT min(id) FROM stored GROUP BY content_hash))
+"""
+_AFTER = O.search([(("thing",), False), (("beer",), True)], "t0 > 0 OR t1 > 0")[0].replace("FROM snippets", "FROM final")
+
+
+@query(W("SELECT id, round(score, 6) AS score FROM scored", _CHANGED + "," + _AFTER))
+def search_after_changes(spark, sf_dir):
+    """An index of all snippets but commands; then commands come in, every snippet with versions becomes its newest one, repeats go, and segments are merged in between."""
+    rows = L.snippets(spark, sf_dir)
+    index = postings.Index.build(rows.where("type <> 'command'"), temporary(spark))
+    stored = postings.insert(index, rows.where("type <> 'command'"), rows.where("type = 'command'"))
+    newest = L.versions(spark, sf_dir).groupBy("snippet_id").agg(F.max_by("content", "version_number").alias("new"))
+    edited = stored.join(newest, stored["id"] == newest["snippet_id"]).select("id", F.col("new").alias("content"), T.initial_summary(F.col("new")).alias("summary"))
+    index.change(edited)
+    index.compact()
+    postings.delete(index, stored, tables.repeats(stored))
+    found = index.bm25(query_language.Or((query_language.Words(("thing",)), query_language.Words(("beer",), True))))
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
 @query()
 def index_stemmed(spark, sf_dir):
     index = search.build_index(L.snippets(spark, sf_dir))

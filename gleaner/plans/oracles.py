@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleaner.functions import fixed
+from gleaner.functions.stem import _ACCENTED, _PLAIN, porter
 from gleaner.sources.logical import AS_OF, CTES
 
 TRIMMED = r"regexp_replace(regexp_replace({}, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
@@ -47,6 +48,24 @@ def searching(*args, **options) -> str:
     return with_tables(body, extra)
 
 
+def inflected(stems: list[str]) -> list[list[str]]:
+    """For each stem the words that end in up to two common suffixes and have it, precomputed here as DuckDB has another stemmer."""
+    ends = ["", "s", "es", "ed", "ing", "er", "ers", "ly", "ion", "ions", "al", "e", "en", "ness", "ful", "able", "ment", "ity", "ive", "ous", "ism", "ate", "ize", "ation", "y", "ies"]
+    return [sorted({stem + a + b for a in ends for b in ends if porter(stem + a + b) == stem}) for stem in stems]
+
+
+def stem_search(stems: list[str], where: str) -> tuple[str, str]:
+    """As search, over folded tokens that have one of the stems."""
+    read = "regexp_extract_all(translate(lower({}), '" + _ACCENTED + "', '" + _PLAIN + "'), '[\\p{{L}}\\p{{N}}]+')"
+    extra, body = search([((s,), False) for s in stems], where, pick="id, round(score, 6) AS score")
+    for stem, words in zip(stems, inflected(stems), strict=True):
+        for c in "cs":
+            extra = extra.replace(f"len(list_filter({c}, lambda x, i: x = '{stem}'))", f"len(list_filter({c}, lambda x, i: x IN {_in(words)}))")
+    for c in ("content", "summary"):
+        extra = extra.replace(f"regexp_extract_all(lower({c}), '[a-z0-9]+')", read.format(c))
+    return extra, body
+
+
 def _line_count(condition: str) -> str:
     return f"len(list_filter(ls, lambda x: {condition}))"
 

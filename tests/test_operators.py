@@ -1,11 +1,15 @@
 """Query language, search fixtures, vectors, tables, streaming, exchange."""
 
 import datetime as dt
+import math
 import os
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions.stem import porter
 from gleaner.operators import query_language as ql
 from gleaner.operators import postings, search, tables, vectors
 from gleaner.sources import exchange, files
@@ -247,6 +251,113 @@ def test_index_answers_as_a_scan_does(spark, tmp_path):
         assert want and {r.id: r.score for r in index.bm25(tree).collect()} == want, query
 
 
+def scores(found):
+    return {r.id: pytest.approx(r.score) for r in found.collect()}
+
+
+def test_index_upkeep_equals_a_rebuild(spark, tmp_path, monkeypatch):
+    schema = "id long, content string, summary string"
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice("alpha beta gamma delta eta".split()) for _ in range(rng.randrange(0, 9)))
+    rows = {i: (i, text(), text() if i % 2 else None) for i in range(30)}
+    index = postings.Index.build(spark.createDataFrame(list(rows.values()), schema), str(tmp_path / "kept"))
+
+    def check():
+        now = spark.createDataFrame(list(rows.values()), schema)
+        for query in ("alpha", "alpha NOT beta", '"gamma delta" OR eta'):
+            tree = ql.parse(query)
+            assert {r.id: r.score for r in index.bm25(tree).collect()} == scores(search.bm25(now, tree)), query
+        state = index.state()
+        assert (state.rows, state.tokens) == (len(rows), sum(len((c or "").split()) + len((s or "").split()) for _, c, s in rows.values()))
+
+    index.change(spark.createDataFrame([(1, "omega alpha", None), (40, "omega beta", "beta")], schema))  # an edit under its own id, and a new row
+    rows |= {1: (1, "omega alpha", None), 40: (40, "omega beta", "beta")}
+    check()
+    assert [r.id for r in index.bm25(ql.parse("omega")).orderBy("id").collect()] == [1, 40]
+    for _ in range(2):  # the second time they are gone already
+        index.remove(spark.createDataFrame([(2,), (3,), (777,)], "id long"))
+    del rows[2], rows[3]
+    check()
+    index.change(spark.createDataFrame([(2, "omega again", None)], schema))  # a deleted id comes back
+    rows[2] = (2, "omega again", None)
+    check()
+    monkeypatch.setattr(postings, "BROADCAST", 0)
+    check()
+    before = len(index.state().segments)
+    assert index.compact() and len(index.state().segments) < before
+    check()
+    index.change(spark.createDataFrame([(5, "omega", "omega")], schema), spark.createDataFrame([(6,)], "id long"))
+    rows[5] = (5, "omega", "omega")
+    del rows[6]
+    check()
+    assert index.compact(whole=True) and len(index.state().segments) == 1 and index.state().segments[0].gone == 0
+    check()
+    assert index.compact(whole=True) == 0
+
+
+def test_index_commits_once(spark, tmp_path):
+    schema = "id long, content string, summary string"
+    index = postings.Index.build(spark.createDataFrame([(1, "one two", None)], schema), str(tmp_path / "once"))
+    state = index.state()
+    index.add(spark.createDataFrame([(2, "two", None)], schema))
+    with pytest.raises(postings.Conflict):
+        index._commit(state.__class__(state.version + 1, 9, 9, 9, ()))
+    (tmp_path / "once" / "manifests" / "0000000003").write_text('{"version": 3, "nex')  # a writer died in it
+    assert index.state().version == 2 and [r.id for r in index.bm25(ql.parse("two")).orderBy("id").collect()] == [1, 2]
+
+
+def test_operators_keep_the_index(spark, tmp_path):
+    rows = [(1, "red apple", "red", "h1"), (2, "green apple", "green", "h2"), (3, "blue sky", "blue", "h3")]
+    schema = "id long, content string, summary string, content_hash string"
+    snippets = spark.createDataFrame(rows, schema)
+    index = postings.Index.build(snippets, str(tmp_path / "operators"))
+    snippets = postings.insert(index, snippets, spark.createDataFrame([(4, "red rose", "rose", "h4"), (5, "a copy of the sky", "x", "h3"), (6, "red rose", "rose", "h4")], schema))
+    versions = spark.createDataFrame([(1, 1, "older")], "snippet_id long, version_number long, content string")
+    snippets, versions = postings.edit(index, snippets, versions, spark.createDataFrame([(1, "purple plum"), (99, "nothing")], "id long, content string"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    snippets = postings.delete(index, snippets, spark.createDataFrame([(2,)], "id long"))
+    assert sorted(r.id for r in snippets.collect()) == [1, 3, 4]
+    assert sorted((r.snippet_id, r.version_number, r.content) for r in versions.collect()) == [(1, 1, "older"), (1, 2, "red apple")]
+    for word in ("red", "plum", "apple", "sky", "rose"):
+        assert {r.id: r.score for r in index.bm25(ql.parse(word)).collect()} == scores(search.bm25(snippets, ql.parse(word))), word
+
+
+def test_stemmed_search(spark, tmp_path):
+    texts = ["Connected machines", "the connection of ideas", "connecting", "a café for machine minds", "CAFES", "ponies and a pony", "relational relations", "none", "été"]
+    frame = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id long, content string, summary string")
+    index = postings.Index.build(frame.where("id < 5"), str(tmp_path / "stems"), search.unicode_tokens, stems=True)
+    index.add(frame.where("id >= 5"))
+    found = lambda q: sorted(r.id for r in index.bm25(ql.parse(q), stemmed=True).collect())
+    assert found("connects") == [0, 1, 2]
+    assert found("cafés") == [3, 4] and found("cafe machines") == [3] and found("pony") == [5] and found("relation") == [6] and found("ete") == [8]
+    assert found('"connection ideas"') == [] and found('"connecting of idea"') == [1]
+    terms = [r.term for r in index.dictionary().collect()]
+    assert len(terms) == len(set(terms))  # each stemmed once
+    # the same figures by plain counting
+    stems = [[porter(w) for w in unicodedata.normalize("NFD", t.lower()).encode("ascii", "ignore").decode().split()] for t in texts]
+    n, average = len(stems), sum(map(len, stems)) / len(stems)
+    df = sum("connect" in s for s in stems)
+    want = {i: max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) * s.count("connect") * 2.2 / (s.count("connect") + 1.2 * (0.25 + 0.75 * len(s) / average)) for i, s in enumerate(stems) if "connect" in s}
+    assert {r.id: pytest.approx(r.score) for r in index.bm25(ql.Words(("connected",)), stemmed=True).collect()} == want
+
+
+def test_batched_search_looks_at_few_rows(spark, tmp_path):
+    """Zipf-like words: the same rows as scoring all, with a small share of them scored."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    frame = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, weights, k=rng.randrange(5, 60))), None) for i in range(1500)], "id long, content string, summary string")
+    asked = [(q, w) for q in range(12) for w in set(rng.choices(vocabulary, weights, k=12))] + [(50, "w0"), (51, "w0"), (51, "w300"), (52, "missing"), (52, "w399"), (53, "missing")]
+    queries = spark.createDataFrame(asked, "query_id long, term string")
+    post = frame.select("id", F.explode(search.tokens(F.col("content"))).alias("term"))
+    index = postings.Index.build(frame, str(tmp_path / "few"))
+    order = lambda d: [(r.query_id, r.position, r.id, pytest.approx(r.score)) for r in d.orderBy("query_id", "position").collect()]
+    for any_term in (False, True):
+        found, looked = index.search_many_counted(queries, 5, any_term)
+        assert order(found) == order(search.search_many(post, queries, 5, any_term))
+    reached = queries.join(post.distinct(), "term").select("query_id", "id").distinct()
+    assert looked.distinct().count() < reached.count() / 3
+
+
 def test_context_is_filled_in_order(spark):
     texts = [(1, 5.0, "a" * 8), (2, 5.0, "ab"), (3, 9.0, "xyz"), (4, 4.0, None), (5, 3.0, "b" * 12), (6, 2.0, "c" * 4), (7, 1.0, "d"), (8, 3.0, "")]
     ranked = spark.createDataFrame([(i, s, t, "app") for i, s, t in texts], "id long, score double, content string, source_app string")
