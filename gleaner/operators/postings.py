@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import fixed
 from gleaner.functions.stem import fold_text, porter, stem
 from gleaner.operators import query_language as ql
-from gleaner.operators.search import holds, idf, saturation, scored_leaves, tokens
+from gleaner.operators.search import best_of_each, holds, idf, saturation, scored_leaves, tokens
 from gleaner.sources.shared_folder import hadoop, written
 
 POSTINGS = "term string, id long, tf int, size int, content array<int>, summary array<int>"
@@ -40,6 +40,8 @@ POSTINGS = "term string, id long, tf int, size int, content array<int>, summary
 BROADCAST = 1_000_000
 #: A segment is merged with newer ones once they have this share of its rows.
 RATIO = 0.25
+#: Terms of queries times rows up to which a batch is scored without pruning, which takes more jobs.
+DIRECT = 100_000_000
 #: Rounded scores may be off by less than this.
 _SLACK = 1e-6
 
@@ -254,63 +256,67 @@ class Index:
         parts = [idf(n, F.col(f"__df{i}")) * saturation(F.col(f"__tf{i}"), F.col("__dl"), average) for i, p in enumerate(phrases) if p in scored]
         return both.select("id", reduce(lambda a, b: a + b, parts).alias("score"))
 
-    def search_many(self, queries: DataFrame, limit: int = fixed.SEARCH_LIMIT, any_term: bool = False) -> DataFrame:
-        """query_id, id, score, position: as search.search_many, from the stored postings."""
-        return self.search_many_counted(queries, limit, any_term)[0]
+    def search_many(self, queries: DataFrame, limit: int = fixed.SEARCH_LIMIT, any_term: bool = False, direct: int = DIRECT) -> DataFrame:
+        """query_id, id, score, position: as search.search_many, from the stored postings. Where queries and rows are few, every row is scored in one job; else by search_many_counted. The result is the same."""
+        state = self.state()
+        wanted = queries.select("query_id", "term").distinct()
+        if wanted.count() * state.rows > direct:
+            return self.search_many_counted(queries, limit, any_term)[0]
+        tf = self.postings(state=state).join(wanted.select("term").distinct(), "term", "left_semi").select("term", "id", "tf", F.col("size").alias("dl"))
+        corpus = self.spark.range(1).select(F.lit(state.rows).alias("n"), F.lit(state.tokens / max(state.rows, 1)).alias("average"))
+        return best_of_each(tf, corpus, wanted, limit, any_term)
 
     def search_many_counted(self, queries: DataFrame, limit: int = fixed.SEARCH_LIMIT, any_term: bool = False) -> tuple[DataFrame, DataFrame]:
         """What search_many gives, and query_id, id of the rows that were scored in full.
 
-        Rows with all terms of a query are among those of its rarest one. Where there is
-        none (and any_term), the rows of the query's rarest terms give a score that the
-        best ``limit`` rows reach at least. Terms whose largest possible scores together
-        stay under it can't bring a row in alone: only rows with another term are looked at,
-        and of those only such as could reach it with all the rest. Nothing is cut that
-        could be among the best.
+        First the rows of each query's rarest terms are scored: rows with all terms are
+        among them, and the best ``limit`` of them give a score that the result reaches
+        at least. Where no row has all terms (and any_term), terms whose largest scores
+        anywhere together stay under it can't bring a row in alone: only rows with another
+        term are looked at. What those terms give a row raises the floor once more, and
+        only rows that could reach it with all the rest are scored in full. Nothing is cut
+        that could be among the best.
         """
         state = self.state()
         n, average = F.lit(state.rows), F.lit(state.tokens / max(state.rows, 1))
-        wanted = written(queries.select("query_id", "term").distinct())
-        found = written(self.postings(state=state).join(wanted.select("term").distinct(), "term", "left_semi").select("term", "id", "tf", "size"))
-        terms = found.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("size").alias("least"))
+        wanted = queries.select("query_id", "term").distinct()
+        found = self.postings(state=state).select("term", "id", saturation(F.col("tf"), F.col("size"), average).alias("share"))
+        terms = found.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.max("share").alias("most"))
         weight = idf(n, F.col("df"))
-        asked = written(wanted.join(terms.select("term", "df", weight.alias("weight"), (weight * saturation(F.col("most"), F.col("least"), average)).alias("bound")), "term"))
-        part = F.col("weight") * saturation(F.col("tf"), F.col("size"), average)
+        own = Window.partitionBy("query_id")
+        known = wanted.withColumn("terms", F.count("*").over(own)).join(terms, "term")
+        before = F.coalesce(F.sum("df").over(own.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        asked = written(known.select("query_id", "term", "terms", weight.alias("weight"), (weight * F.col("most")).alias("bound"), (before < (4 * limit if any_term else 1)).alias("seed")))
 
         def rows_with(some: DataFrame) -> DataFrame:
             """query_id, id, part, by the terms that some has of each query."""
-            return some.select("query_id", "term", "weight").join(found, "term").select("query_id", "id", part.alias("part"))
+            return some.select("query_id", "term", "weight").join(found, "term").select("query_id", "id", (F.col("weight") * F.col("share")).alias("part"))
 
         def full(rows: DataFrame, of: DataFrame) -> DataFrame:
-            """query_id, id, score, have of given query_id, id, by the terms of ``of``."""
-            each = rows.join(of.select("query_id", "term", "weight"), "query_id").join(found, ["term", "id"])
-            return each.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count("*").alias("have"))
+            """query_id, id, score, have of given query_id, id, by the terms of ``of``. Where the rows are few, Spark sends them to the postings, and only what is summed up moves."""
+            each = rows_with(of).join(rows, ["query_id", "id"], "left_semi")
+            return each.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("have"))
 
-        own = Window.partitionBy("query_id")
-        best_first = F.row_number().over(own.orderBy(F.desc(F.round("score", 9)), "id"))
-        rarest = asked.withColumn("rank", F.row_number().over(own.orderBy("df", "term")))
-        size = wanted.groupBy("query_id").agg(F.count("*").alias("terms"))
-        whole_queries = asked.groupBy("query_id").agg(F.count("*").alias("known")).join(size, "query_id").where(F.col("known") == F.col("terms")).select("query_id", "terms")
-        two = rarest.where("rank = 1").join(whole_queries, "query_id", "left_semi")
-        first = rows_with(two).select("query_id", "id").join(whole_queries, "query_id")
-        second = rows_with(rarest.where("rank = 2")).select("query_id", "id", F.lit(True).alias("met"))
-        candidates = written(first.join(second, ["query_id", "id"], "left").where(F.col("met") | (F.col("terms") == 1)).select("query_id", "id"))
-        scored = written(full(candidates, asked).join(size, "query_id").where(F.col("have") == F.col("terms")).select("query_id", "id", "score"))
-        looked = candidates
+        def kth(rows: DataFrame, score: str) -> DataFrame:
+            """The score of the limit-th best row of each query that has so many, a little less."""
+            return rows.withColumn("position", F.row_number().over(own.orderBy(F.desc(score)))).where(F.col("position") == limit).select("query_id", (F.col(score) - _SLACK).alias(f"kth_{score}"))
+
+        seeds = written(rows_with(asked.where("seed")).select("query_id", "id").distinct())
+        seeded = written(full(seeds, asked).join(asked.groupBy("query_id").agg(F.first("terms").alias("terms")), "query_id").select("query_id", "id", "score", (F.col("have") == F.col("terms")).alias("whole")))
+        scored, looked = seeded.where("whole").select("query_id", "id", "score"), seeded.select("query_id", "id")
         if any_term:
-            rest = asked.join(scored.select("query_id").distinct(), "query_id", "left_anti")
-            before = F.sum("df").over(own.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
-            seeds = rows_with(rest.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 4 * limit)).select("query_id", "id").distinct()
-            seeded = full(written(seeds), rest)
-            enough = seeded.withColumn("position", best_first).where(F.col("position") == limit).select("query_id", (F.col("score") - _SLACK).alias("floor"))
+            rest = asked.join(seeded.where("whole").select("query_id").distinct(), "query_id", "left_anti").join(kth(seeded, "score"), "query_id", "left")
             over = own.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-            split = written(rest.join(enough, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).withColumn("small", F.sum("bound").over(over) < F.col("floor")))
-            others = split.groupBy("query_id").agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(F.col("small"), F.col("bound"))), F.lit(0.0)).alias("more"))
-            near = rows_with(split.where(~F.col("small"))).groupBy("query_id", "id").agg(F.sum("part").alias("most")).join(others, "query_id").where(F.col("most") + F.col("more") >= F.col("floor"))
-            near = written(near.select("query_id", "id", "most"))
+            split = written(rest.withColumn("small", F.sum("bound").over(over) < F.coalesce("kth_score", F.lit(0.0))))
+            others = split.groupBy("query_id").agg(F.max("kth_score").alias("floor"), F.coalesce(F.sum(F.when(F.col("small"), F.col("bound"))), F.lit(0.0)).alias("more"))
+            near = written(rows_with(split.where(~F.col("small"))).groupBy("query_id", "id").agg(F.sum("part").alias("most")))
+            near = near.join(others, "query_id").join(kth(near, "most"), "query_id", "left")
+            near = near.where(F.col("most") + F.col("more") >= F.coalesce(F.greatest("floor", "kth_most"), F.lit(0.0))).select("query_id", "id", "most")
+            near = written(near)
             added = full(near, split.where("small")).select("query_id", "id", F.col("score").alias("less"))
             scored = scored.unionByName(near.join(added, ["query_id", "id"], "left").select("query_id", "id", (F.col("most") + F.coalesce("less", F.lit(0.0))).alias("score")))
             looked = looked.unionByName(near.select("query_id", "id"))
+        best_first = F.row_number().over(own.orderBy(F.desc(F.round("score", 9)), "id"))
         return scored.withColumn("position", best_first).where(F.col("position") <= limit).select("query_id", "id", "score", "position"), looked
 
 

@@ -119,10 +119,23 @@ full_hit AS (SELECT * FROM fit WHERE whole OR NOT found)
 """
 
 
-@query(W("SELECT query_id, id, round(score, 6) AS score, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS position FROM full_hit) WHERE position <= 10", _MANY))
-def search_batched(spark, sf_dir):
+_MANY_BEST = W("SELECT query_id, id, round(score, 6) AS score, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS position FROM full_hit) WHERE position <= 10", _MANY)
+
+
+def _batch(spark, sf_dir, **options) -> DataFrame:
     asked = L.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
-    return indexed(spark, sf_dir).search_many(asked, any_term=True).select("query_id", "id", F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
+    return indexed(spark, sf_dir).search_many(asked, any_term=True, **options).select("query_id", "id", F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
+
+
+@query(_MANY_BEST)
+def search_batched(spark, sf_dir):
+    return _batch(spark, sf_dir)
+
+
+@query(_MANY_BEST)
+def search_batched_pruned(spark, sf_dir):
+    """As search_batched on any number of rows: only rows that can be among the best are scored in full."""
+    return _batch(spark, sf_dir, direct=0)
 
 
 _STEMS = O.stem_search(["thing", "beer", "et"], "t0 > 0 OR t1 > 0 OR t2 > 0")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import content_hash, initial_summary
+from gleaner.sources.shared_folder import find_package
 
 #: Every query's "now".
 AS_OF = "2024-03-01 00:00:00"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

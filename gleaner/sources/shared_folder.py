@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def find_package(spark: SparkSession) -> None:
+    """Python workers on this machine find this package, wherever the driver was started."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """What ``spark.checkpoint.dir`` names. Where it names none, a folder in the warehouse, on one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
