@@ -288,10 +288,26 @@ def combine_screenshot(caption: Column, text: Column) -> Column:
     return F.when(both == "", F.lit("[Screenshot]")).otherwise(both)
 
 
+def bracketed(content: Column, label: str) -> Column:
+    """What stands in the first [label: ...], to the bracket that closes it; null if there is none, it stays open, or it is blank. Folds over the pieces between brackets."""
+    start = F.locate(f"[{label}:", content)
+    head = len(label) + 2
+
+    def step(s: Column, piece: Column) -> Column:
+        depth = s.depth + F.when(piece.startswith("["), 1).when(piece.startswith("]"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (s.used + F.length(piece)).alias("used"), F.when(s.end.isNull() & (depth == 0), s.used).otherwise(s.end).alias("end"))
+
+    def inner(tail: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("used"), F.lit(None).cast("int").alias("end"))
+        end = F.aggregate(F.split(tail, r"(?=[\[\]])"), begin, step, lambda s: s.end)
+        return let(trim_all(F.substring(tail, F.lit(head + 1), end - head)), lambda v: F.when(v != "", v))
+
+    return F.when(start > 0, let(F.substring(content, start, F.length(content)), inner))
+
+
 def split_screenshot(content: Column) -> Column:
-    """Caption and text of a combined screenshot."""
-    part = lambda label: F.regexp_extract(content, rf"(?s)\[{label}: (.*?)\](?= \[|$)", 1)
-    return F.struct(part("Caption").alias("caption"), part("Text").alias("text"))
+    """Caption and text of a combined screenshot; brackets inside them must be balanced."""
+    return F.struct(bracketed(content, "Caption").alias("caption"), bracketed(content, "Text").alias("text"))
 
 
 def screenshot_summary(caption: Column, text: Column) -> Column:
@@ -418,15 +434,73 @@ def first_sentences(x: Column, n: int, longest: int) -> Column:
 
 
 def json_object(x: Column) -> Column:
-    """The outermost braces of a model's answer."""
-    return F.regexp_extract(x, r"(?s)(\{.*\})", 1)
+    """The outermost braces of a model's answer; an answer that goes on from a brace in its prompt gets it back."""
+    goes_on = x.rlike(r'^\s*"') & x.contains("}")
+    return F.when(goes_on, F.concat(F.lit("{"), F.regexp_extract(x, r"(?s)^(.*\})", 1))).otherwise(F.regexp_extract(x, r"(?s)(\{.*\})", 1))
+
+
+def repaired_json(x: Column) -> Column:
+    """The object in a model's answer as valid JSON, or null.
+
+    Valid objects stay as they are. Else commas before closing brackets go and line
+    ends become blanks.
+    """
+    valid = lambda v: F.when(F.try_parse_json(v).isNotNull(), v)
+
+    def cleaned(v: Column) -> Column:
+        for old, new in ((",}", "}"), (",]", "]"), ("\n", " "), ("  ", " ")):
+            v = F.replace(v, F.lit(old), F.lit(new))
+        return v
+
+    return let(json_object(x), lambda v: F.when(v != "", F.coalesce(valid(v), valid(cleaned(v)))))
+
+
+#: Confidence of an answer that only names a category.
+SIMPLE = 0.75
 
 
 def parse_decision(x: Column) -> Column:
-    """action, name, confidence of a model's category answer; confidence may be a number or a word in quotes."""
-    body = json_object(x)
-    get = lambda k: F.get_json_object(body, f"$.{k}")
-    return F.struct(get("action").alias("action"), without_emoji(F.coalesce(get("name"), get("category_name"))).alias("name"), F.coalesce(get("confidence").try_cast("double"), F.lit(0.5)).alias("confidence"))
+    """action, name, confidence of a model's category answer; confidence may be a number or a word in quotes and is kept between 0 and 1.
+
+    An answer without an action that names a category is a creation. All three are null where
+    there is no object to be read or no name in it.
+    """
+
+    def parts(body: Column) -> Column:
+        get = lambda k: F.get_json_object(body, f"$.{k}")
+        name = without_emoji(F.coalesce(get("name"), get("category_name"), get("category")))
+        simple = get("action").isNull()
+        sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(get("confidence").try_cast("double"), F.when(simple, SIMPLE).otherwise(0.5))))
+        found = F.coalesce(name, F.lit("")) != ""
+        return F.struct(F.when(found, F.coalesce(get("action"), F.lit("create_new"))).alias("action"), F.when(found, name).alias("name"), F.when(found, sure).alias("confidence"))
+
+    return let(repaired_json(x), parts)
+
+
+# Words in lines that are taken for code.
+CODE_WORDS = ("function", "const ", "let ", "var ", "def ", "class ", "import ", "from ", "=>")
+
+
+def clean_whitespace(x: Column) -> Column:
+    """Text with its white space collapsed, but for code.
+
+    A line that begins with four blanks or a tab opens a block of code, one without a
+    blank at its start closes it; lines in between keep their indentation, and so do single
+    lines that look like code. Three line ends or more become two.
+    """
+    start = F.struct(F.lit(False).alias("code"), F.array().cast("array<string>").alias("kept"))
+
+    def step(s: Column, line: Column) -> Column:
+        blank = trim_all(line) == ""
+        lead = F.length(line) - F.length(F.regexp_replace(line, r"^\s+", ""))
+        code = F.when(blank, s.code).when((lead >= 4) | line.startswith("\t"), True).when(lead == 0, False).otherwise(s.code)
+        looks = line.rlike(fixed.COMMAND_LINE_PATTERN) | line.rlike(fixed.CODE_PATTERN) | has_any(line, CODE_WORDS)
+        kept = F.when(code | looks, F.regexp_replace(line, r"^\t+", "    ")).otherwise(collapse(line))
+        one = F.when(blank & ~s.code & (F.size(s.kept) == 0), F.array().cast("array<string>")).otherwise(F.array(F.when(blank, "").otherwise(kept)))
+        return F.struct(code.alias("code"), F.concat(s.kept, one).alias("kept"))
+
+    joined = F.aggregate(lines(x), start, step, lambda s: F.array_join(s.kept, "\n"))
+    return trim_all(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
 
 
 def answer_summary(x: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.operators.names import similar_names  # noqa: F401
 from gleaner.sources.shared_folder import shared_folder
 
 
@@ -135,14 +136,6 @@ def screenshot_status(snippets: DataFrame, assignments: DataFrame, categories: D
     return found.join(named, "id", "left").select("id", "category", F.col("category").isNotNull().alias("is_categorized")).orderBy("id").limit(limit)
 
 
-def similar_names(categories: DataFrame, names: DataFrame, floor: float = 0.85) -> DataFrame:
-    """name, category: the existing category most like each new name, above the floor. Pairs meet by a shared character, which any two names above 0 share."""
-    letters = lambda d, c: d.select(c, F.explode(F.array_distinct(F.split(F.lower(c), ""))).alias("letter"))
-    pairs = letters(names, "name").join(letters(categories.select(F.col("name").alias("category")), "category"), "letter").select("name", "category").distinct()
-    scored = pairs.withColumn("score", T.similarity(F.col("name"), F.col("category"))).where(F.col("score") > floor)
-    return scored.groupBy("name").agg(F.min_by("category", F.struct(-F.col("score"), "category")).alias("category"), F.max("score").alias("score"))
-
-
 def create_categories(categories: DataFrame, new: DataFrame) -> DataFrame:
     """categories and the new (name, parent_id) whose normalised name is not there yet; ids go on from the largest."""
     key = T.normalize_category(F.col("name")).alias("key")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
 from gleaner.functions import text as T
-from gleaner.operators import postings, query_language, search, tables, vectors
+from gleaner.operators import centroids, names, postings, query_language, search, tables, vectors
 from gleaner.plans import oracles as O
 from gleaner.sources import exchange
 from gleaner.sources import logical as L
 from gleaner.sources.shared_folder import snapshot, temporary
+from gleaner.streaming import cache
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -222,6 +223,27 @@ def category_centroids(spark, sf_dir):
     return found.select("category_id", "n", F.posexplode("centroid").alias("pos", "x")).select("category_id", "n", (F.col("pos") + 1).cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
+_FINAL = """
+final AS (
+  SELECT snippet_id, CASE WHEN is_manual OR confidence <= 0.8 THEN category_id ELSE 100 + (category_id - 99) % 10 END AS category_id, assigned_at
+  FROM snippet_categories WHERE is_manual OR confidence > 0.5)
+"""
+
+
+@query(W("SELECT category_id, n, i AS pos, round(c[i], 6) AS x FROM centroid, unnest(range(1, len(c) + 1)) AS u(i)", _FINAL + "," + O.CENTROIDS.replace("snippet_categories", "final")))
+def centroids_after_changes(spark, sf_dir):
+    """Sums of the assignments that aren't manual; then manual ones come in, the surest others move on to the next category, and the least sure ones go."""
+    rows, all_of_them = L.embeddings(spark, sf_dir), L.assignments(spark, sf_dir)
+    manual, sure = F.col("is_manual"), F.col("confidence") > 0.8
+    following = (F.lit(100) + (F.col("category_id") - 99) % 10).cast("long")
+    changes = all_of_them.select(
+        "snippet_id", F.when(~manual, F.col("category_id")).alias("old_category"), F.when(manual | ~sure & (F.col("confidence") > 0.5), F.col("category_id")).when(sure, following).alias("new_category")
+    )
+    final = all_of_them.join(changes.select("snippet_id", "new_category"), "snippet_id").where("new_category is not null").select("snippet_id", F.col("new_category").alias("category_id"), "assigned_at")
+    state = centroids.changed_sums(centroids.centroid_sums(rows, all_of_them.where(~manual)), changes, rows, final)
+    return centroids.centroids_of(state).select("category_id", "n", F.posexplode("centroid").alias("pos", "x")).select("category_id", "n", (F.col("pos") + 1).cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
 @query(O.nearest(""))
 def nearest_centroid(spark, sf_dir):
     rows = L.embeddings(spark, sf_dir)
@@ -659,6 +681,35 @@ def string_similarity(spark, sf_dir):
     return pairs.select(F.col("r_name").alias("left_name"), F.col("n_name").alias("right_name"), F.round(T.similarity(F.col("r_name"), F.col("n_name")), 6).alias("score"))
 
 
+_ALIKE = f"""
+asked AS (SELECT reverse(s_name) AS name FROM supplier UNION SELECT s_name || '1' FROM supplier UNION SELECT upper(s_name) FROM supplier UNION SELECT n_name || 'S' FROM nation UNION SELECT substring(r_name, 2) FROM region),
+pair AS (SELECT a.name, c.name AS category, lower(a.name) AS a, lower(c.name) AS b FROM asked a, categories c),
+scored AS (SELECT name, category, CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b)) ELSE len(list_intersect({_LETTERS.format('a')}, {_LETTERS.format('b')})) / len(list_distinct({_LETTERS.format('a')} || {_LETTERS.format('b')})) END AS score FROM pair)
+"""
+
+
+@query(W("SELECT name, category, round(score, 6)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, category) AS r FROM scored WHERE score > 0.85) WHERE r = 1", _ALIKE))
+def similar_names(spark, sf_dir):
+    """The category most like each supplier's name backwards, with a figure more and in capitals, and each changed name of a nation or region."""
+    one = lambda table, x: L.read(spark, sf_dir, table).select(F.expr(x).alias("name"))
+    asked = one("supplier", "reverse(s_name)").union(one("supplier", "s_name || '1'")).union(one("supplier", "upper(s_name)")).union(one("nation", "n_name || 'S'")).union(one("region", "substring(r_name, 2)"))
+    return names.similar_names(L.categories(spark, sf_dir), asked).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT conv_id, turn, '[' || role || '] of [[' || turn || ']]' AS caption, CASE WHEN regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g') = '' THEN NULL ELSE " + O.TRIMMED.format("translate(text, '[]', '()')") + " END AS text FROM conversations")
+def split_screenshot(spark, sf_dir):
+    """Captions with nested brackets and texts (theirs made round, as they need not be balanced) are combined and taken apart again."""
+    both = T.combine_screenshot(F.concat(F.lit("["), "role", F.lit("] of [["), F.col("turn").cast("string"), F.lit("]]")), F.translate("text", "[]", "()"))
+    return L.read(spark, sf_dir, "conversations").select("conv_id", "turn", T.split_screenshot(both).alias("s")).select("conv_id", "turn", "s.caption", "s.text")
+
+
+@query()
+def query_cache(spark, sf_dir):
+    """Lookups of users' caches of three queries: an event's type and its property are the query."""
+    lookups = L.read(spark, sf_dir, "events").select("user_id", F.concat("event_type", F.get_json_object("props", "$.k")).alias("query"), "ts", F.col("event_id").alias("seq"))
+    return cache.cached_lookups(lookups, "user_id", capacity=3, seconds=12 * 3600)
+
+
 @query("SELECT p_partkey, array_to_string(" + O.words("replace(replace(lower(p_brand || '_' || p_name), '_', ' '), '-', ' ')") + ", ' ') AS name FROM part")
 def normalize_category(spark, sf_dir):
     return L.read(spark, sf_dir, "part").select("p_partkey", T.normalize_category(F.concat("p_brand", F.lit("_"), "p_name")).alias("name"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, fields, replace
 
 import pandas as pd
@@ -115,3 +116,33 @@ def image_size(content: Column) -> Column:
         return pd.DataFrame([_size(f) or (None, None) for f in files], columns=["width", "height"]).astype("Int32")
 
     return run(content)
+
+
+def store_images(files: DataFrame, folder: str) -> DataFrame:
+    """content_hash, file_path of images (images, stream_images) in a store that names files by their content.
+
+    A task writes a file under a name of its own and then moves it to that of its hash,
+    so a task that runs again, or twice at once, leaves the same files; a file that is
+    there already isn't written again. folder is a path or address that Arrow's file
+    systems open from every machine. Equal images are written once.
+    """
+    import uuid
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("managed_name"), batch.column("content"), strict=True):
+                target = f"{root}/{name.as_py()}"
+                if system.get_file_info(target).type == fs.FileType.NotFound:
+                    own = f"{target}.{uuid.uuid4().hex}.part"
+                    with system.open_output_stream(own) as out:
+                        out.write(content.as_py())
+                    system.move(own, target)
+            paths = pa.array([f"{root}/{n}" for n in batch.column("managed_name").to_pylist()], pa.string())
+            yield pa.record_batch([batch.column("content_hash"), paths], names=["content_hash", "file_path"])
+
+    return files.dropDuplicates(["managed_name"]).select("content_hash", "managed_name", "content").mapInArrow(run, "content_hash string, file_path string")
