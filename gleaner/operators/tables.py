@@ -145,6 +145,18 @@ def create_categories(categories: DataFrame, new: DataFrame) -> DataFrame:
     return categories.select("id", "name", "parent_id").unionByName(missing.crossJoin(F.broadcast(last)).select((F.col("last") + place).alias("id"), "name", "parent_id"))
 
 
+def app_folders(categories: DataFrame, apps: DataFrame, now: Column) -> DataFrame:
+    """categories and a folder for each app (source_app) that has none yet, whatever its rows: name and app_name are the app's without blanks around it, with its emoji. Blank apps get none."""
+    lacking = {"emoji": "string", "created_at": "timestamp_ntz", "is_app_folder": "boolean", "app_name": "string"}
+    there = categories.withColumns({c: F.lit(None).cast(t) for c, t in lacking.items() if c not in categories.columns})
+    asked = apps.select(F.trim("source_app").alias("app_name")).where(F.col("app_name") != "").distinct()
+    missing = asked.join(there.where("is_app_folder").select("app_name"), "app_name", "left_anti")
+    last = there.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    place = F.row_number().over(Window.orderBy("app_name"))  # a row an app
+    new = missing.crossJoin(F.broadcast(last)).select((F.col("last") + place).alias("id"), F.col("app_name").alias("name"), T.app_emoji(F.col("app_name")).alias("emoji"), now.cast("timestamp_ntz").alias("created_at"), F.lit(True).alias("is_app_folder"), "app_name")
+    return there.unionByName(new, allowMissingColumns=True)
+
+
 def update_category(categories: DataFrame, category_id: int, **changes: object) -> DataFrame:
     own = F.col("id") == category_id
     return categories.withColumns({c: F.when(own, F.coalesce(F.lit(v), F.col(c))).otherwise(F.col(c)) for c, v in changes.items()})
@@ -221,6 +233,13 @@ def duplicate_groups(snippets: DataFrame) -> DataFrame:
     return members.groupBy("content_hash", "n").agg(ids.alias("ids"))
 
 
+def duplicate_members(snippets: DataFrame) -> DataFrame:
+    """content_hash, n, id, position (oldest first): a row for each member of each group, however many a hash has."""
+    counted = snippets.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    place = F.row_number().over(Window.partitionBy("content_hash").orderBy("created_at", "id"))
+    return snippets.select("content_hash", "created_at", "id").join(counted, "content_hash").select("content_hash", "n", "id", place.alias("position"))
+
+
 def duplicate_stats(snippets: DataFrame) -> DataFrame:
     """total, unique_hashes, groups, duplicates, rate in one row; rows without a hash count as duplicates."""
     by_hash = snippets.groupBy("content_hash").agg(F.count("*").alias("n"))

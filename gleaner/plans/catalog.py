@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
 from gleaner.functions import text as T
-from gleaner.operators import centroids, names, postings, query_language, search, tables, vectors
+from gleaner.operators import centroids, hybrid, names, postings, query_language, search, tables, vectors
 from gleaner.plans import oracles as O
 from gleaner.sources import exchange
 from gleaner.sources import logical as L
@@ -258,12 +258,7 @@ def classify_uncategorized(spark, sf_dir):
 
 
 def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
-    keyword = search.keyword_search(L.snippets(spark, sf_dir), "thing", as_of(), index=indexed(spark, sf_dir)).select("id", "position")
-    near = vectors.top_k(L.embeddings(spark, sf_dir), _probe(spark, sf_dir))
-    semantic = near.select(F.col("snippet_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("similarity"), "snippet_id")).alias("position"))
-    return keyword, semantic
+    return hybrid.ranked_lists(L.snippets(spark, sf_dir), L.embeddings(spark, sf_dir), "thing", _probe(spark, sf_dir), as_of(), indexed(spark, sf_dir))
 
 
 _KW = O.search([(("thing",), True)], "t0 > 0")[0]
@@ -277,9 +272,31 @@ def rrf_fusion(spark, sf_dir):
 
 @query(W("SELECT id, round(score, 6) AS score, CASE WHEN in_semantic THEN 'semantic' ELSE 'keyword' END AS match_type, source_app FROM fused JOIN (SELECT id, source_app FROM snippets WHERE contains(lower(source_app), 'src1') AND created_at >= TIMESTAMP '2024-01-03 00:00:00') USING (id)", _FUSE))
 def hybrid_search(spark, sf_dir):
-    found = vectors.fuse(*_lists(spark, sf_dir)).join(L.snippets(spark, sf_dir).select("id", "source_app", "created_at"), "id")
-    found = tables.search_filters(found, since=when("2024-01-03 00:00:00"), app="SRC1")
-    return found.select("id", F.round("score", 6).alias("score"), F.when(F.col("in_semantic"), "semantic").otherwise("keyword").alias("match_type"), "source_app")
+    return _hybrid(spark, sf_dir, "similarity")
+
+
+def _hybrid(spark, sf_dir, semantic_rank: str) -> DataFrame:
+    found = hybrid.hybrid_search(L.snippets(spark, sf_dir), L.embeddings(spark, sf_dir), "thing", _probe(spark, sf_dir), as_of(), indexed(spark, sf_dir), semantic_rank=semantic_rank, since=when("2024-01-03 00:00:00"), app="SRC1")
+    return found.select("id", F.round("score", 6).alias("score"), "match_type", "source_app")
+
+
+@query(W("SELECT id, round(score, 6) AS score, CASE WHEN in_semantic THEN 'semantic' ELSE 'keyword' END AS match_type, source_app FROM fused JOIN (SELECT id, source_app FROM snippets WHERE contains(lower(source_app), 'src1') AND created_at >= TIMESTAMP '2024-01-03 00:00:00') USING (id)", _FUSE.replace("ORDER BY similarity DESC, snippet_id) AS p FROM top", "ORDER BY created_at DESC, snippet_id) AS p FROM top JOIN snippets ON snippets.id = snippet_id")))
+def hybrid_search_recency(spark, sf_dir):
+    """The semantic list in order of dates."""
+    return _hybrid(spark, sf_dir, "recency")
+
+
+@query(W("SELECT content_hash, n, id, position FROM (SELECT content_hash, id, count(*) OVER (PARTITION BY content_hash) AS n, row_number() OVER (PARTITION BY content_hash ORDER BY created_at, id) AS position FROM snippets WHERE content_hash IS NOT NULL) WHERE n > 1"))
+def duplicate_members(spark, sf_dir):
+    return tables.duplicate_members(L.snippets(spark, sf_dir)).withColumn("position", F.col("position").cast("long"))
+
+
+@query(W("SELECT max_id + row_number() OVER (ORDER BY app) AS id, app AS app_name FROM (SELECT DISTINCT trim(source_app) AS app FROM snippets WHERE trim(source_app) <> ''), (SELECT max(id) AS max_id FROM categories)"))
+def app_folders(spark, sf_dir):
+    """Folders of all snippets' apps, made where there is none."""
+    rows = L.snippets(spark, sf_dir)
+    made = tables.app_folders(L.categories(spark, sf_dir), rows.select("source_app"), as_of())
+    return made.where("is_app_folder").select("id", "app_name")
 
 
 @query(W("SELECT id FROM snippets WHERE created_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00' AND contains(lower(source_app), 'src1') AND id IN (SELECT snippet_id FROM vectors)"))

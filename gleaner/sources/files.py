@@ -70,15 +70,37 @@ def managed_path(folder: str, content_hash: Column, extension: Column) -> Column
 class Settings:
     """One row of settings with their defaults."""
 
-    semantic_search: bool = True
-    search_analytics: bool = True
-    auto_categorize: bool = True
+    # Names and defaults of a settings file.
+    theme: str = "light"
+    enable_semantic_search: bool = True
+    enable_search_analytics: bool = True
+    shortcut_save: str = "Alt+Shift+C"
+    shortcut_search: str = "Alt+Shift+F"
+    run_in_background: bool = True
+    terminal_monitoring_enabled: bool = False
+    terminal_blocklist: str = "ls,cd,pwd,clear,exit,history,echo,cat,which,type"
+    terminal_allowlist: str = "docker,git,kubectl,npm,cargo,python,ffmpeg,curl,aws,gcloud,az,terraform,ansible,ssh,scp,rsync"
+    terminal_min_length: int = 60
+    shell_type: str = "zsh"
+    command_picker_enabled: bool = True
+    command_picker_shortcut: str = "Ctrl+R"
+    spotlight_enabled: bool = True
+    spotlight_shortcut: str = "Alt+Space"
+    screenshot_monitoring_enabled: bool = True
+    screenshot_directory: str = "~/Desktop"
+    screenshot_ocr_enabled: bool = True
+    screenshot_caption_enabled: bool = True
+    visual_search_enabled: bool = False
+    ocr_engine: str = "auto"
+    ocr_recognition_level: str = "accurate"
+    ocr_cleaning_level: str = "balanced"
+    tesseract_psm_mode: int = 3
+    # this library's own
     search_limit: int = 10
     semantic_floor: float = 0.3
     classify_floor: float = 0.75
     analytics_days: int = 30
     job_days: int = 7
-    command_min_length: int = 60
 
 
 def load_settings(rows: DataFrame) -> Settings:

@@ -2,17 +2,23 @@
 
 import collections
 import hashlib
+import html
 import json
+import os
 import random
+import re
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import stem
 from gleaner.functions import text as T
-from gleaner.operators import centroids, names, vectors
+from gleaner.operators import centroids, names, tables, vectors
+from gleaner.plans import catalog
 from gleaner.sources import files
+from gleaner.sources import logical as L
 from gleaner.streaming import batches, cache
 
 
@@ -148,7 +154,6 @@ def test_batches_survive_a_restart(spark, tmp_path):
     jobs("1.json", range(47))
     query = start(10**9)  # nothing goes out by time
     until(lambda: sum(len(j) for j, _ in seen.values()) >= 30, query)
-    query.processAllAvailable()
     query.stop()
     assert all(full and len(j) == 10 for j, full in seen.values())
     before = dict(seen)
@@ -210,3 +215,65 @@ def test_whitespace_and_code(of):
         "Line 1\n\nLine 2\nLine 3", "see:\n    if  x:\n      go  on\n  still  in\nout of it",
         "one  two\n\n  kept  too\nnow plain", "$ ls -la\n  const  x = 1", "a b", "", None,
     ]
+
+
+def test_app_folders(spark):
+    there = spark.createDataFrame([(3, "Cursor", None, True, "Cursor"), (9, "Notes", None, False, None)], "id long, name string, parent_id long, is_app_folder boolean, app_name string")
+    apps = spark.createDataFrame([(" Cursor ",), ("Notes",), ("Notes",), (" ",), (None,), ("Zed",)], "source_app string")
+    got = tables.app_folders(there, apps, F.expr("timestamp_ntz '2024-01-01 00:00:00'"))
+    assert sorted((r.id, r.name, r.app_name, r.emoji) for r in got.where("is_app_folder").collect()) == [(3, "Cursor", "Cursor", None), (10, "Notes", "Notes", "📝"), (11, "Zed", "Zed", "📱")]
+    assert got.count() == 4
+
+
+# queries that have no SQL twin, over the driver's smallest tables, against plain Python
+
+DATA = "/root/testdata/sf0.001"
+with_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
+
+
+@with_data
+def test_stemmed_index_by_counting(spark):
+    accents = str.maketrans(stem._ACCENTED, stem._PLAIN)
+    words, rows = collections.Counter(), collections.defaultdict(set)
+    for r in L.snippets(spark, DATA).select("id", "content", "summary").collect():
+        for text in (r.content, r.summary):
+            for w in re.findall(r"[^\W_]+", (text or "").lower().translate(accents)):
+                words[stem.porter(w)] += 1
+                rows[stem.porter(w)].add(r.id)
+    got = {r.term: (r.n, r.df) for r in catalog.queries()["index_stemmed"](spark, DATA).collect()}
+    assert got == {w: (n, len(rows[w])) for w, n in words.items()}
+
+
+@with_data
+def test_highlights_mark_all_and_only_matches(spark):
+    texts = {r.id: r.content for r in L.snippets(spark, DATA).select("id", "content").collect()}
+    marks = 0
+    for r in catalog.queries()["highlight"](spark, DATA).collect():
+        plain = html.unescape(re.sub(r"</?mark>", "", r.html))
+        assert plain.removeprefix("...").removesuffix("...") in texts[r.id]
+        marked = "".join(f"\x00{html.unescape(x)}\x01" if i % 2 else html.unescape(x) for i, x in enumerate(re.split(r"</?mark>", r.html)))
+        for part in re.split("\x00.*?\x01", marked, flags=re.S):
+            assert not re.search("thing|of the", part.lower())
+        for m in re.findall("\x00(.*?)\x01", marked, re.S):
+            assert re.fullmatch("(thing|of the)+", m.lower())
+            marks += 1
+    assert marks
+
+
+@with_data
+def test_nested_export_by_hand(spark):
+    versions = collections.defaultdict(list)
+    for r in L.versions(spark, DATA).collect():
+        versions[r.snippet_id].append((r.version_number, r.content))
+    categories = {r.id for r in L.categories(spark, DATA).collect()}
+    own = {r.snippet_id: r.category_id for r in L.assignments(spark, DATA).collect() if r.category_id in categories}
+    want = {r.id: (r.content, r.summary, r.created_at.isoformat(), r.source_app, own.get(r.id), sorted(versions[r.id])) for r in L.snippets(spark, DATA).collect()}
+    got = {r.id: (r.content, r.summary, r.created_at, r.source_app, r.category_id, [tuple(v) for v in r.versions]) for r in catalog.queries()["export_nested"](spark, DATA).collect()}
+    assert got == want
+
+
+@with_data
+def test_query_cache_by_simulation(spark):
+    rows = [(r.user_id, f"{r.event_type}{json.loads(r.props)['k']}", r.ts.timestamp(), r.event_id) for r in L.read(spark, DATA, "events").collect()]
+    got = {r.seq: (r.outcome, r.evicted) for r in catalog.queries()["query_cache"](spark, DATA).collect()}
+    assert got == simulate(rows, 3, 12 * 3600)

@@ -198,6 +198,9 @@ def test_settings(spark, tmp_path):
     files.save_settings(spark, files.Settings(search_limit=5), f"{tmp_path}/settings")
     assert files.load_settings(spark.read.json(f"{tmp_path}/settings")).search_limit == 5
     assert files.load_settings(spark.createDataFrame([], "search_limit int")) == files.Settings()
+    (tmp_path / "file.json").write_text('{"theme": "dark", "terminal_min_length": 12, "ocr_engine": null, "unknown": 1}')
+    loaded = files.load_settings(spark.read.json(f"{tmp_path}/file.json"))
+    assert (loaded.theme, loaded.terminal_min_length, loaded.ocr_engine) == ("dark", 12, "auto")
 
 
 def test_image_size(spark):
