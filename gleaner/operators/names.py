@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.sources.shared_folder import written
+
 
 def _letters(low: Column) -> Column:
     return F.array_sort(F.array_distinct(F.split(low, "")))
@@ -60,7 +62,8 @@ def similar_names(categories: DataFrame, names: DataFrame, floor: float = 0.85)
     asked = names.where(F.col("name").isNotNull()).select("name", F.lower("name").alias("low")).distinct()
     there = categories.where(F.col("name").isNotNull()).groupBy(F.lower("name").alias("low_c")).agg(F.min("name").alias("category"))
     with_set = lambda d, low, key: d.withColumn("letters", _letters(F.col(low))).withColumn(key, F.array_join("letters", ""))
-    asked, there = with_set(asked, "low", "set"), with_set(there, "low_c", "set_c")
+    # read many times below, and a caller may go on from the result to the next join
+    asked, there = written(with_set(asked, "low", "set")), written(with_set(there, "low_c", "set_c"))
     lows, lows_c = asked.select("low").distinct(), there.select("low_c")
     equal = asked.join(there.select(F.col("low_c").alias("low"), "category"), "low").select("name", "category", F.lit(1.0).alias("score"))
     contained = _contained(lows, lows_c, floor)
