@@ -240,3 +240,20 @@ FALLBACK_PROPOSAL = (("aec", "proposal"), "AEC Proposal Management", "AI Busines
 FALLBACK_TOPICS = ((("api", "documentation", "reference"), "Documentation"), (("code", "function", "class"), "Code Snippets"), (("news", "article", "breaking"), "News & Articles"))
 FALLBACK_TYPES = (("command", "Commands"), ("screenshot", "Screenshots"), ("text", "Text Content"))
 FALLBACK_LAST = "General Content"
+
+# Titles of blank tabs and their sites.
+BLANK_TAB_SITES = (("Gmail", "https://mail.google.com"), ("Google Docs", "https://docs.google.com"), ("Google Drive", "https://drive.google.com"), ("YouTube", "https://www.youtube.com"))
+# Characters that cleaning keeps.
+KEPT_CHARACTERS = r"\x20-\x7E\t\n\r -ɏḀ-ỿ -⁯₠-⃏℀-⅏←-⋿☀-➿\x{1F300}-\x{1F9FF}"
+# Words in lines that are taken for code.
+CODE_WORDS = ("function", "const ", "let ", "var ", "def ", "class ", "import ", "from ", "=>")
+# Lines that are noise in screenshots.
+SCREENSHOT_NOISE = (
+    r"^[a-zA-Z0-9+/=_-]{20,}$", r"^\w{2,}=[a-zA-Z0-9+/=_-]{10,}$", r"^[A-Z]{6,}$", r"^[A-Z]{3,}[0-9]{2,}$", r"^[a-z]{3}-[a-z]{4}-[a-z]{3}$", r"^[a-zA-Z0-9]{8,}-[a-zA-Z0-9]{4,}", r"^[@#&%*+=<>]{2,}$", r"^[a-z]{1,2}$",
+    r"^(Meet|Zoom|Teams)\s*-\s*[a-z]{3}-[a-z]{4}", r"^[xX+⋮⋯…×]{1,3}$", r"^\d{1,2}:\d{2}\s*(?:AM|PM|am|pm)$", r"^(?:Online|Offline|Away|Busy)$", r"^[^\w\s]{1,2}$", r"^[a-zA-Z0-9]{1,2}[^\w\s]+$", r"^[aeiouy]{3,}$", r"^[^aeiouy]{5,}$",
+    r"^\.{2,}$", r"^-{3,}$", r"^={3,}$", r"^[a-z]{1,3}\s*[0-9]{1,2}$", r"^[0-9]+[a-z]{1,2}$",
+)
+# Tags in order, and words of which a text has one; python also takes "import " with "python".
+TAG_WORDS = (("code", ("function", "def ", "const ")), ("react", ("import react", "usestate", "jsx")), ("rust", ("fn ", "impl ", "struct ")), ("python", ("def ",)), ("async", ("async", "await")), ("note", ("todo", "note:")))
+# Confidence of an answer that only names a category.
+SIMPLE_CONFIDENCE = 0.75

@@ -190,10 +190,8 @@ def caption_type(caption: Column) -> Column:
 def tags(x: Column) -> Column:
     """Up to two tags, in the rules' order."""
     low = F.lower(x)
-    rules = (
-        (has_any(low, ("function", "def ", "const ")), "code"), (has_any(low, ("import react", "usestate", "jsx")), "react"), (has_any(low, ("fn ", "impl ", "struct ")), "rust"),
-        (low.contains("def ") | (low.contains("import ") & low.contains("python")), "python"), (has_any(low, ("async", "await")), "async"), (has_any(low, ("todo", "note:")), "note"),
-    )
+    python = low.contains("def ") | (low.contains("import ") & low.contains("python"))
+    rules = [(python if tag == "python" else has_any(low, found), tag) for tag, found in fixed.TAG_WORDS]
     return F.slice(F.array_compact(F.array(*(F.when(c, F.lit(t)) for c, t in rules))), 1, 2)
 
 
@@ -275,9 +273,8 @@ def browser_app(app: Column) -> Column:
 
 def infer_blank_url(title: Column) -> Column:
     """The site of a blank tab by its title."""
-    sites = (("Gmail", "https://mail.google.com"), ("Google Docs", "https://docs.google.com"), ("Google Drive", "https://drive.google.com"), ("YouTube", "https://www.youtube.com"))
     found = F.lit(None).cast("string")
-    for name, site in reversed(sites):
+    for name, site in reversed(fixed.BLANK_TAB_SITES):
         found = F.when(title.contains(name), site).otherwise(found)
     return found
 
@@ -350,11 +347,8 @@ def fix_confusion(x: Column) -> Column:
     return F.replace(F.translate(x, fixed.CONFUSED_FROM, fixed.CONFUSED_TO), F.lit("…"), F.lit("..."))
 
 
-KEPT_CHARACTERS = r"\x20-\x7E\t\n\r -ɏḀ-ỿ -⁯₠-⃏℀-⅏←-⋿☀-➿\x{1F300}-\x{1F9FF}"
-
-
 def drop_noise_characters(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, r"[\x0B\x0C 　\x85]", " "), f"[^{KEPT_CHARACTERS}]", "")
+    return F.regexp_replace(F.regexp_replace(x, r"[\x0B\x0C 　\x85]", " "), f"[^{fixed.KEPT_CHARACTERS}]", "")
 
 
 def _lines_where(x: Column, keep) -> Column:
@@ -382,17 +376,9 @@ def clean_balanced(x: Column) -> Column:
     return trim_all(F.array_join(F.transform(lines(kept), collapse), "\n"))
 
 
-# Lines that are noise in screenshots.
-SCREENSHOT_NOISE = (
-    r"^[a-zA-Z0-9+/=_-]{20,}$", r"^\w{2,}=[a-zA-Z0-9+/=_-]{10,}$", r"^[A-Z]{6,}$", r"^[A-Z]{3,}[0-9]{2,}$", r"^[a-z]{3}-[a-z]{4}-[a-z]{3}$", r"^[a-zA-Z0-9]{8,}-[a-zA-Z0-9]{4,}", r"^[@#&%*+=<>]{2,}$", r"^[a-z]{1,2}$",
-    r"^(Meet|Zoom|Teams)\s*-\s*[a-z]{3}-[a-z]{4}", r"^[xX+⋮⋯…×]{1,3}$", r"^\d{1,2}:\d{2}\s*(?:AM|PM|am|pm)$", r"^(?:Online|Offline|Away|Busy)$", r"^[^\w\s]{1,2}$", r"^[a-zA-Z0-9]{1,2}[^\w\s]+$", r"^[aeiouy]{3,}$", r"^[^aeiouy]{5,}$",
-    r"^\.{2,}$", r"^-{3,}$", r"^={3,}$", r"^[a-z]{1,3}\s*[0-9]{1,2}$", r"^[0-9]+[a-z]{1,2}$",
-)
-
-
 def clean_screenshot(x: Column) -> Column:
     """Balanced cleaning, then without screenshot noise and lines with over twice as many symbols as letters."""
-    noise = "(?U)" + "|".join(SCREENSHOT_NOISE)
+    noise = "(?U)" + "|".join(fixed.SCREENSHOT_NOISE)
     letters = lambda v: F.regexp_count(v, F.lit(r"\p{L}"))
     symbols = lambda v: F.regexp_count(v, F.lit(r"[^\p{L}\p{N}\s]"))
     return _lines_where(clean_balanced(x), lambda v: (v != "") & ~v.rlike(noise) & ~((letters(v) > 0) & (symbols(v) > 2 * letters(v))))
@@ -455,10 +441,6 @@ def repaired_json(x: Column) -> Column:
     return let(json_object(x), lambda v: F.when(v != "", F.coalesce(valid(v), valid(cleaned(v)))))
 
 
-#: Confidence of an answer that only names a category.
-SIMPLE = 0.75
-
-
 def parse_decision(x: Column) -> Column:
     """action, name, confidence of a model's category answer; confidence may be a number or a word in quotes and is kept between 0 and 1.
 
@@ -470,17 +452,13 @@ def parse_decision(x: Column) -> Column:
         get = lambda k: F.get_json_object(body, f"$.{k}")
         name = without_emoji(F.coalesce(get("name"), get("category_name"), get("category")))
         simple = get("action").isNull()
-        sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(get("confidence").try_cast("double"), F.when(simple, SIMPLE).otherwise(0.5))))
+        sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(get("confidence").try_cast("double"), F.when(simple, fixed.SIMPLE_CONFIDENCE).otherwise(0.5))))
         found = F.coalesce(name, F.lit("")) != ""
         return F.struct(F.when(found, F.coalesce(get("action"), F.lit("create_new"))).alias("action"), F.when(found, name).alias("name"), F.when(found, sure).alias("confidence"))
 
     return let(repaired_json(x), parts)
 
 
-# Words in lines that are taken for code.
-CODE_WORDS = ("function", "const ", "let ", "var ", "def ", "class ", "import ", "from ", "=>")
-
-
 def clean_whitespace(x: Column) -> Column:
     """Text with its white space collapsed, but for code.
 
@@ -494,7 +472,7 @@ def clean_whitespace(x: Column) -> Column:
         blank = trim_all(line) == ""
         lead = F.length(line) - F.length(F.regexp_replace(line, r"^\s+", ""))
         code = F.when(blank, s.code).when((lead >= 4) | line.startswith("\t"), True).when(lead == 0, False).otherwise(s.code)
-        looks = line.rlike(fixed.COMMAND_LINE_PATTERN) | line.rlike(fixed.CODE_PATTERN) | has_any(line, CODE_WORDS)
+        looks = line.rlike(fixed.COMMAND_LINE_PATTERN) | line.rlike(fixed.CODE_PATTERN) | has_any(line, fixed.CODE_WORDS)
         kept = F.when(code | looks, F.regexp_replace(line, r"^\t+", "    ")).otherwise(collapse(line))
         one = F.when(blank & ~s.code & (F.size(s.kept) == 0), F.array().cast("array<string>")).otherwise(F.array(F.when(blank, "").otherwise(kept)))
         return F.struct(code.alias("code"), F.concat(s.kept, one).alias("kept"))

@@ -17,7 +17,7 @@ from gleaner.functions import stem
 from gleaner.functions import text as T
 from gleaner.operators import centroids, names, tables, vectors
 from gleaner.plans import catalog
-from gleaner.sources import files
+from gleaner.sources import exchange, files
 from gleaner.sources import logical as L
 from gleaner.streaming import batches, cache
 
@@ -179,6 +179,39 @@ def test_image_store_is_idempotent(spark, tmp_path):
             assert hashlib.sha256(open(r.file_path.removeprefix("file://"), "rb").read()).hexdigest() == r.content_hash
 
 
+def finished(stream, tmp_path, name):
+    """The rows of a stream over the files that are there."""
+    out = str(tmp_path / name)
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def test_log_and_image_streams_equal_their_batches(spark, tmp_path):
+    logs, shots = tmp_path / "logs", tmp_path / "pictures"
+    logs.mkdir()
+    shots.mkdir()
+    for k in range(3):
+        (logs / f"{k}.log").write_text(f"170000000{k}|CMD_START|/w|echo a|b {k}\nshort|line\nx|CMD_END|/w|{k}\n")
+        (shots / f"{k}.png").write_bytes(bytes([k] * 9))
+    columns = ["session", "ts", "event", "cwd", "data"]
+    want = sorted(map(tuple, files.parse_log(files.read_log(spark, str(logs))).select(columns).collect()))
+    out = finished(files.parse_log(files.stream_log(spark, str(logs), 1)).select(columns), tmp_path, "log")
+    assert len(want) == 6 and sorted(map(tuple, spark.read.parquet(f"{out}/rows").select(columns).collect())) == want
+    assert {r[4] for r in want} == {"echo a|b 0", "echo a|b 1", "echo a|b 2", "0", "1", "2"} and sum(r[1].timestamp() == 0 for r in want) == 3
+    named = ["content_hash", "managed_name"]
+    want = sorted(map(tuple, files.images(spark, str(shots)).select(named).collect()))
+    out = finished(files.stream_images(spark, str(shots), 1).select(named), tmp_path, "image")
+    assert len(want) == 3 and sorted(map(tuple, spark.read.parquet(f"{out}/rows").select(named).collect())) == want
+
+
+def test_whole_document_is_read(spark, tmp_path):
+    document = {"version": "1.0", "exported_at": "x", "snippets": [{"id": 1, "content": "c", "summary": "s", "created_at": "2024-01-01T00:00:00", "source_app": "a", "category_id": 4, "versions": [{"version_number": 1, "content": "old"}]}, {"id": 2, "content": "d"}], "categories": [{"id": 4, "name": "K", "parent_id": None}]}
+    (tmp_path / "export.json").write_text(json.dumps(document, indent=2))
+    rows, categories = exchange.read_document(spark, f"{tmp_path}/export.json")
+    assert [(r.id, r.content, r.category_id, r.versions and [tuple(v) for v in r.versions]) for r in rows.orderBy("id").collect()] == [(1, "c", 4, [(1, "old")]), (2, "d", None, None)]
+    assert [tuple(r) for r in categories.collect()] == [(4, "K", None)]
+
+
 @pytest.fixture(scope="module")
 def of(spark):
     """The values of an expression over rows."""
