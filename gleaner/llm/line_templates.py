@@ -2,11 +2,12 @@
 
 A line goes down a tree of fixed depth: its number of tokens, then its first
 ``LEAD`` tokens, with tokens that hold a digit generalised to ``<*>``. A leaf that
-enough distinct texts share gets templates: at each place the commonest token of
+enough distinct texts share gets a template: at each place the commonest token of
 the leaf's lines. A line follows a template if at least ``alike`` percent of its
-tokens do; the other places are its variable fields. Lines that don't follow make
-the leaf's next template, as long as enough lines follow the last; the lines left
-then are compared by their whole generalised wording. A template or wording that
+tokens do; the other places are its variable fields. Lines that don't follow part by
+their token at the place where the leaf's lines agree most, so that several wordings
+in one leaf come apart; each branch gets a template in the same way, ``depth``
+levels in all, whatever the number of templates. The lines left then are compared by their whole generalised wording. A template or wording that
 the lines of ``min_docs`` distinct texts follow recurs (for lines of
 ``long_tokens`` tokens or more: of ``long_docs``), if ``constant`` percent of its
 tokens are constant, so that lines of numbers only don't count as alike. Lines
@@ -29,16 +30,17 @@ result; extra columns are kept, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.quality_rules import SPACES, text_key
 from gleaner.llm.shared import divided, fresh, quoted, written
 
 LEAD = 3
-LIMITS = {"min_docs": 5, "long_docs": 2, "long_tokens": 50, "alike": 70, "constant": 50}
+LIMITS = {"min_docs": 5, "long_docs": 2, "long_tokens": 50, "alike": 70, "constant": 50, "depth": 3}
 #: Wordings of a leaf beyond which its tokens are dealt by place and token instead of by leaf.
 LARGE = 20_000
 #: A generalised token.
@@ -72,38 +74,66 @@ def _steady(tokens: Column, constant: int) -> Column:
     return 100 * F.size(F.filter(tokens, lambda t: t != ANY)) >= constant * F.size(tokens)
 
 
-def _groups(wordings: DataFrame, alike: int, constant: int) -> DataFrame:
-    """leaf, line, exact, group: the template, by its turn in the leaf, or the whole wording that each of the lines follows. Others follow none."""
+def _met(left: DataFrame, alike: int, constant: int, large: bool) -> DataFrame:
+    """left with what follows its node's template (follows), by how many lines (n), and all the node's lines (total)."""
     tokens = F.split("wording", " ")
+    seen = left.select("node", "weight", F.posexplode(tokens).alias("place", "token")).groupBy("node", "place", "token").agg(F.sum("weight").alias("n"))
+    common = seen.groupBy("node", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+    templates = common.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).getField("token").alias("template"))
     same = F.size(F.filter(F.zip_with(tokens, "template", lambda a, b: a == b), lambda x: x))
-    follows = 100 * same >= alike * F.size(tokens)
-
-    def told(left: DataFrame) -> DataFrame:
-        """left with whether each wording follows its leaf's template."""
-        seen = left.select("leaf", "weight", F.posexplode(tokens).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("weight").alias("n"))
-        common = seen.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
-        templates = common.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).getField("token").alias("template"))
-        met = left.join(templates.where(_steady(F.col("template"), constant)).hint("merge"), "leaf", "left")  # the same plan at every size
-        return met.select("leaf", "line", "wording", "weight", "need", "large", F.coalesce(follows, F.lit(False)).alias("follows"))
-
-    found, rest, left, turn = [], [], wordings, 0
-    while True:
-        # dealt by leaf, wordings move instead of their single tokens; a large leaf's tokens are counted apart, wherever they are
-        met = written(told(left.where(~F.col("large")).repartition("leaf")).unionByName(told(left.where("large"))))
-        # more lines than texts may follow a template, not fewer: one that too few follow can't recur, and the leaf has no more
-        follow = F.col("follows")
-        often = met.groupBy("leaf").agg(F.sum(F.when(follow, F.col("weight")).otherwise(0)).alias("n"), F.count(F.when(~follow, 1)).alias("others"), F.first("need").alias("need"))
-        often = written(often.where(F.col("n") >= F.col("need")).select("leaf", "others"))
-        found.append(met.where(follow).join(often, "leaf", "left_semi").select("leaf", "line", F.lit(False).alias("exact"), F.lit(turn).cast("long").alias("group")))
-        left = met.where(~follow).drop("follows")
-        whole = left.join(often, "leaf", "left_anti").where(_steady(tokens, constant) & (F.col("weight") >= F.col("need")))
-        rest.append(whole.select("leaf", "line", F.lit(True).alias("exact"), F.col("line").alias("group")))
-        left, turn = left.join(often, "leaf", "left_semi"), turn + 1
-        if often.where(F.col("others") > 0).isEmpty():
-            return reduce(DataFrame.unionByName, found + rest)
-
-
-def _drops(docs: DataFrame, min_docs: int, long_docs: int, long_tokens: int, alike: int, constant: int) -> DataFrame:
+    met = left.join(templates.where(_steady(F.col("template"), constant)).hint("merge"), "node", "left")  # the same plan at every size
+    met = met.select(*left.columns, F.coalesce(100 * same >= alike * F.size(tokens), F.lit(False)).alias("follows"))
+    n, total = F.sum(F.when(F.col("follows"), F.col("weight")).otherwise(0)), F.sum("weight")
+    if large:
+        return met.join(met.groupBy("node").agg(n.alias("n"), total.alias("total")), "node")
+    node = Window.partitionBy("node")
+    return met.withColumns({"n": n.over(node), "total": total.over(node)})
+
+
+def _branches(left: DataFrame, large: bool) -> DataFrame:
+    """node, line, branch of wordings with a parting token: one that enough of the node's lines have at its place, but half of them at most.
+
+    Of several, the one at the place where lines agree most (the sum of squared numbers
+    is greatest) decides: fields vary more than the words that tell wordings apart.
+    """
+    seen = left.select("node", "line", "weight", "need", "rest", F.posexplode(F.split("wording", " ")).alias("place", "token")).withColumn("token", F.xxhash64("token"))
+    spot, n = ["node", "place", "token"], F.col("n").cast("double")
+    if large:  # a token that most lines have is one row on the right; the left side's tasks may be split
+        counts = seen.groupBy(*spot).agg(F.sum("weight").alias("n"), F.first("need").alias("need"), F.first("rest").alias("rest"))
+        counts = counts.join(counts.groupBy("node", "place").agg(F.sum(n * n).alias("agree")), ["node", "place"])
+        seen = seen.select(*spot, "line").join(counts.hint("merge"), spot)
+    else:
+        seen = seen.withColumn("n", F.sum("weight").over(Window.partitionBy(*spot)))
+        seen = seen.withColumn("agree", F.sum(F.col("weight") * n).over(Window.partitionBy("node", "place")))
+    parting = seen.where((F.col("n") >= F.col("need")) & (2 * F.col("n") <= F.col("rest")))
+    best = F.max(F.struct("agree", "n", (-F.col("place")).alias("place"), "token")).alias("best")
+    return parting.groupBy("node", "line").agg(best).select("node", "line", F.xxhash64("node", "best.place", "best.token").alias("branch"))
+
+
+def _groups(wordings: DataFrame, alike: int, constant: int, depth: int) -> DataFrame:
+    """leaf, line, exact, group: the node whose template each of the lines follows, or their whole generalised wording. Others follow none."""
+
+    def both(step: Callable[[DataFrame, bool], DataFrame], rows: DataFrame) -> DataFrame:
+        # dealt by node, wordings move instead of their single tokens; a large leaf's tokens are counted apart, wherever they are
+        return step(rows.where(~F.col("large")).repartition("node"), False).unionByName(step(rows.where("large"), True))
+
+    found, left = [], wordings.withColumn("node", F.col("leaf"))
+    for level in range(depth):
+        met = written(both(lambda rows, large: _met(rows, alike, constant, large), left))
+        # more lines than texts may follow a template, not fewer: one that too few follow can't recur
+        often = F.col("n") >= F.col("need")
+        found.append(met.where(F.col("follows") & often).select("leaf", "line", F.lit(False).alias("exact"), F.col("node").alias("group")))
+        rest = F.col("total") - F.when(often, F.col("n")).otherwise(0)
+        left = met.where(~(F.col("follows") & often)).withColumn("rest", rest).where(F.col("rest") >= F.col("need")).drop("follows", "n", "total")
+        if level + 1 == depth or left.isEmpty():
+            break
+        left = left.join(both(_branches, left).hint("merge"), ["node", "line"]).withColumn("node", F.col("branch")).drop("branch", "rest")
+    out = reduce(DataFrame.unionByName, found)
+    whole = wordings.where((F.col("weight") >= F.col("need")) & _steady(F.split("wording", " "), constant)).join(out, ["leaf", "line"], "left_anti")
+    return out.unionByName(whole.select("leaf", "line", F.lit(True).alias("exact"), F.col("line").alias("group")))
+
+
+def _drops(docs: DataFrame, min_docs: int, long_docs: int, long_tokens: int, alike: int, constant: int, depth: int) -> DataFrame:
     """__a, __b (a text's key), __at: numbers of the lines to drop, from 0."""
     need = lambda n: F.when(n >= long_tokens, long_docs).otherwise(min_docs)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", text_key(F.col("text")).alias("key"))
@@ -121,7 +151,7 @@ def _drops(docs: DataFrame, min_docs: int, long_docs: int, long_tokens: int, ali
     wordings = inside.select("leaf", "line", "wording", need(F.col("size")).alias("need")).distinct()
     large = weights.groupBy("leaf").agg((F.count("*") > LARGE).alias("large"))
     weighed = wordings.join(weights.join(large, "leaf"), ["leaf", "line"])
-    groups = written(_groups(written(weighed), alike, constant))
+    groups = written(_groups(written(weighed), alike, constant, depth))
 
     group = ["leaf", "exact", "group"]
     following = written(lines.join(groups, ["leaf", "line"]).drop("line"))
@@ -161,8 +191,8 @@ def report(docs: DataFrame, **limits: int) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.length(left).cast("long").alias("n_chars"), F.sha2(left.cast("binary"), 256).alias("text_sha256"))
 
 
-def sql(turns: int = 12, min_docs: int = 5, long_docs: int = 2, long_tokens: int = 50, alike: int = 70, constant: int = 50) -> str:
-    """The same tree over exact strings in DuckDB, for at most so many templates a leaf."""
+def sql(min_docs: int = 5, long_docs: int = 2, long_tokens: int = 50, alike: int = 70, constant: int = 50, depth: int = 3) -> str:
+    """The same tree over exact strings in DuckDB."""
     need = lambda n: f"(CASE WHEN {n} >= {long_tokens} THEN {long_docs} ELSE {min_docs} END)"
     steady = lambda t: f"100 * len(list_filter({t}, lambda y: y <> '{ANY}')) >= {constant} * len({t})"
     parts = [
@@ -173,23 +203,29 @@ def sql(turns: int = 12, min_docs: int = 5, long_docs: int = 2, long_tokens: int
         "k AS (SELECT *, len(tok) || '|' || tok[1] || '|' || coalesce(tok[2], '') || '|' || coalesce(tok[3], '') AS leaf FROM g)",
         f"s AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT text) >= {need('any_value(len(tok))')})",
         "h AS MATERIALIZED (SELECT * FROM k SEMI JOIN s USING (leaf))",
-        f"o0 AS (SELECT leaf, tok, count(*) AS weight, {need('len(tok)')} AS need FROM h GROUP BY leaf, tok)",
+        f"o0 AS (SELECT leaf, leaf AS node, tok, count(*) AS weight, {need('len(tok)')} AS need FROM h GROUP BY leaf, tok)",
     ]
-    for i in range(turns):
+    for i in range(depth):
         parts += [
-            f"c{i} AS (SELECT leaf, i AS place, tok[i] AS token, sum(weight) AS n FROM o{i}, unnest(range(1, len(tok) + 1)) AS u(i) GROUP BY ALL)",
-            f"b{i} AS (SELECT leaf, place, token FROM c{i} QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) = 1)",
-            f"m{i} AS (SELECT leaf, list(token ORDER BY place) AS template FROM b{i} GROUP BY leaf)",
-            f"f{i} AS MATERIALIZED (SELECT o.*, coalesce({steady('template')} AND 100 * len(list_filter(range(1, len(tok) + 1), lambda y: tok[y] = template[y])) >= {alike} * len(tok), false) AS follows FROM o{i} AS o JOIN m{i} USING (leaf))",
-            f"n{i} AS (SELECT leaf FROM f{i} GROUP BY leaf HAVING sum(CASE WHEN follows THEN weight ELSE 0 END) >= any_value(need))",
-            f"o{i + 1} AS MATERIALIZED (SELECT leaf, tok, weight, need FROM f{i} SEMI JOIN n{i} USING (leaf) WHERE NOT follows)",
+            f"c{i} AS (SELECT node, i AS place, tok[i] AS token, sum(weight) AS n FROM o{i}, unnest(range(1, len(tok) + 1)) AS u(i) GROUP BY ALL)",
+            f"b{i} AS (SELECT node, place, token FROM c{i} QUALIFY row_number() OVER (PARTITION BY node, place ORDER BY n DESC, token DESC) = 1)",
+            f"m{i} AS (SELECT node, list(token ORDER BY place) AS template FROM b{i} GROUP BY node)",
+            f"f{i} AS (SELECT o.*, coalesce({steady('template')} AND 100 * len(list_filter(range(1, len(tok) + 1), lambda y: tok[y] = template[y])) >= {alike} * len(tok), false) AS follows FROM o{i} AS o JOIN m{i} USING (node))",
+            f"s{i} AS (SELECT node, sum(CASE WHEN follows THEN weight ELSE 0 END) AS n, sum(weight) AS total FROM f{i} GROUP BY node)",
+            f"w{i} AS MATERIALIZED (SELECT f.*, follows AND n >= need AS settled, total - CASE WHEN n >= need THEN n ELSE 0 END AS rest FROM f{i} AS f JOIN s{i} USING (node))",
+            f"x{i} AS MATERIALIZED (SELECT node, tok, i AS place, tok[i] AS token, weight, need, rest FROM w{i}, unnest(range(1, len(tok) + 1)) AS u(i) WHERE NOT settled AND rest >= need)",
+            f"y{i} AS (SELECT *, sum(weight) OVER (PARTITION BY node, place, token) AS n FROM x{i})",
+            f"g{i} AS (SELECT *, sum(weight * n) OVER (PARTITION BY node, place) AS agree FROM y{i})",
+            f"z{i} AS (SELECT node, tok, place, token FROM g{i} WHERE n >= need AND 2 * n <= rest QUALIFY row_number() OVER (PARTITION BY node, tok ORDER BY agree DESC, n DESC, place) = 1)",
+            f"o{i + 1} AS MATERIALIZED (SELECT w.leaf, w.node || chr(10) || z.place || ' ' || z.token AS node, w.tok, w.weight, w.need FROM w{i} AS w JOIN z{i} AS z ON w.node = z.node AND w.tok = z.tok)",
         ]
-    whole = " UNION ALL ".join([f"SELECT leaf, tok, {i} AS turn, NULL AS line FROM f{i} SEMI JOIN n{i} USING (leaf) WHERE follows" for i in range(turns)] + [f"SELECT leaf, tok, -1, tok FROM f{i} ANTI JOIN n{i} USING (leaf) WHERE NOT follows AND weight >= need AND {steady('tok')}" for i in range(turns)])
+    parts.append("v AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT leaf, tok, node, NULL AS line FROM w{i} WHERE settled" for i in range(depth)) + ")")
+    whole = f"SELECT * FROM v UNION ALL SELECT leaf, tok, NULL, tok FROM o0 ANTI JOIN v USING (leaf, tok) WHERE weight >= need AND {steady('tok')}"
     parts += [
         f"a AS ({whole})",
-        "fo AS MATERIALIZED (SELECT h.text, h.ln, h.doc_id, leaf, tok, turn, coalesce(array_to_string(line, ' '), '') AS line FROM h JOIN a USING (leaf, tok))",
-        f"r AS (SELECT leaf, turn, line, arg_min(text, doc_id) AS first FROM fo GROUP BY leaf, turn, line HAVING count(DISTINCT text) >= {need('any_value(len(tok))')})",
-        "x AS (SELECT fo.text, list(DISTINCT fo.ln) AS gone FROM fo JOIN r USING (leaf, turn, line) WHERE fo.text <> r.first GROUP BY fo.text)",
+        "fo AS MATERIALIZED (SELECT h.text, h.ln, h.doc_id, leaf, tok, coalesce(node, '') AS node, coalesce(array_to_string(line, ' '), '') AS line FROM h JOIN a USING (leaf, tok))",
+        f"r AS (SELECT leaf, node, line, arg_min(text, doc_id) AS first FROM fo GROUP BY leaf, node, line HAVING count(DISTINCT text) >= {need('any_value(len(tok))')})",
+        "x AS (SELECT fo.text, list(DISTINCT fo.ln) AS gone FROM fo JOIN r USING (leaf, node, line) WHERE fo.text <> r.first GROUP BY fo.text)",
         "z AS (SELECT d.doc_id, string_split(d.text, chr(10)) AS ls, x.gone FROM documents d LEFT JOIN x USING (text))",
         "q AS (SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(gone), 0) AS n_dropped, coalesce(array_to_string(list_filter(ls, lambda y, i: gone IS NULL OR NOT list_contains(gone, i - 1)), chr(10)), '') AS left_text FROM z)",
     ]
