@@ -103,6 +103,32 @@ def test_nearest_in_blocks(spark):
         assert [got[(q, p)] for p in (1, 2, 3)] == best
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """Many shuffle partitions that stay apart, as with large tables: on few rows Spark would join them into one."""
+    settings = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_classify_in_blocks(spark, uncoalesced):
+    """Each block of vectors meets all centroids in its own task."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [(i, rng.normal(size=4).astype("float32").tolist()) for i in range(60)]
+    centres = [(c, 2, rng.normal(size=4).tolist()) for c in range(5)]
+    named = spark.createDataFrame([(c, f"n{c}") for c in range(5)], "id long, name string")
+    got = vectors.classify(spark.createDataFrame(data, "snippet_id long, embedding array<float>"), spark.createDataFrame(centres, "category_id long, n long, centroid array<double>"), named, floor=-1.0, block=7)
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    sims = {i: [float(unit(v) @ np.array(c)) for _, _, c in centres] for i, v in data}
+    assert {r.snippet_id: r.category_id for r in got.collect()} == {i: int(np.argmax(s)) for i, s in sims.items()}
+
+
 def test_duplicates(spark):
     rows = spark.createDataFrame([(1, "a", 3), (2, "a", 1), (3, "b", 1), (4, None, 1), (5, None, 2)], "id long, content_hash string, created_at int")
     assert sorted(r.id for r in tables.keep_oldest(rows).collect()) == [2, 3, 4, 5]
