@@ -129,6 +129,23 @@ def test_classify_in_blocks(spark, uncoalesced):
     assert {r.snippet_id: r.category_id for r in got.collect()} == {i: int(np.argmax(s)) for i, s in sims.items()}
 
 
+def test_nearest_in_blocks_of_both_sides(spark, uncoalesced):
+    """Each block of vectors meets each block of queries, whatever the number of partitions."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = [(i, rng.normal(size=4).astype("float32").tolist()) for i in range(60)]
+    frame = spark.createDataFrame(data, "snippet_id long, embedding array<float>")
+    asked = frame.where("snippet_id % 3 = 0").withColumnRenamed("snippet_id", "query_id")
+    got = {(r.query_id, r.position): r.snippet_id for r in vectors.nearest_to_each(frame, asked, 3, floor=-1.0, block=7).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in data}
+    want = {}
+    for q in range(0, 60, 3):
+        best = sorted((i for i in unit if i != q), key=lambda i: (-round(float(unit[i] @ unit[q]), 9), i))[:3]
+        want |= {(q, p): i for p, i in enumerate(best, 1)}
+    assert got == want
+
+
 def test_duplicates(spark):
     rows = spark.createDataFrame([(1, "a", 3), (2, "a", 1), (3, "b", 1), (4, None, 1), (5, None, 2)], "id long, content_hash string, created_at int")
     assert sorted(r.id for r in tables.keep_oldest(rows).collect()) == [2, 3, 4, 5]
