@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gleaner.llm import line_templates
+from gleaner.llm import line_templates, shared
 
 LEAD = "status of job"
 
@@ -49,3 +49,14 @@ def test_a_field_with_common_values(spark):
 def test_unlike_lines_of_a_leaf_stay(spark):
     texts = [LEAD + " " + " ".join(f"q{chr(97 + (i * 7 + j * 11) % 26)}{chr(97 + (i * 5 + j) % 26)}{i}".translate(str.maketrans("0123456789", "klmnopqrst")) for j in range(9)) for i in range(40)]
     assert check(spark, texts).n_dropped.sum() == 0
+
+
+def test_only_wordings_of_shared_leaves_are_taken_apart(spark, monkeypatch):
+    """However full the bitmap is, lines of other leaves are left out."""
+    monkeypatch.setattr(shared, "CELLS", 64)
+    seen, groups = [], line_templates._groups
+    monkeypatch.setattr(line_templates, "_groups", lambda wordings, *limits: seen.append(wordings) or groups(wordings, *limits))
+    alone = lambda i, j: f"{'abcdefghij'[i]}{'uvwxyzpqrs'[j]}own line here alone"
+    got = check(spark, [wording(0, i) + "".join(f"\n{alone(i, j)}" for j in range(10)) for i in range(10)])
+    assert got.n_dropped.sum() == 9
+    assert {r.wording for r in seen[0].collect()} == {wording(0, i) for i in range(10)}
