@@ -1,19 +1,18 @@
 """Centroids kept up to date: sums and counts that assignments add to and take from, in place of a rebuild.
 
-A state has a row for each category: ``assigned`` (its assignments), ``n`` (those of the
-newest ``members`` with a vector) and ``sums`` (of their vectors). A change touches the
-categories it names only, and reads the vectors of its own snippets only; a category with
-more assignments than ``members`` before or after it, whose newest members differ, is
-summed up anew from its assignments.
+A state has a row for each category: ``assigned`` (its assignments), ``n`` (those with a
+vector) and ``sums`` (of their vectors). A change touches the categories it names only, and
+reads the vectors of its own snippets only. Where ``members`` is given, only that many of a
+category's newest assignments count; then a category with more before or after a change,
+whose newest members differ, is summed up anew from its assignments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions import fixed
-from gleaner.operators.vectors import unit
+from gleaner.operators.vectors import newest, unit
 
 
 def _summed(rows: DataFrame, sign: Column) -> DataFrame:
@@ -24,15 +23,14 @@ def _summed(rows: DataFrame, sign: Column) -> DataFrame:
     return parts.groupBy("category_id").agg(F.max(F.when(F.col("at") == 0, F.col("n"))).alias("n"), sums.alias("sums"))
 
 
-def centroid_sums(vectors: DataFrame, assignments: DataFrame, members: int = fixed.CENTROID_MEMBERS) -> DataFrame:
+def centroid_sums(vectors: DataFrame, assignments: DataFrame, members: int | None = None) -> DataFrame:
     """category_id, assigned, n, sums."""
-    newest = F.row_number().over(Window.partitionBy("category_id").orderBy(F.desc("assigned_at"), "snippet_id"))
-    kept = assignments.withColumn("__n", newest).where(F.col("__n") <= members).select("category_id", "snippet_id")
+    kept = newest(assignments, members)
     counted = assignments.groupBy("category_id").agg(F.count("*").alias("assigned"))
     return counted.join(_summed(kept.join(vectors, "snippet_id"), F.lit(1)), "category_id", "left").select("category_id", "assigned", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("sums", F.array().cast("array<double>")).alias("sums"))
 
 
-def changed_sums(state: DataFrame, changes: DataFrame, vectors: DataFrame, assignments: DataFrame, members: int = fixed.CENTROID_MEMBERS) -> DataFrame:
+def changed_sums(state: DataFrame, changes: DataFrame, vectors: DataFrame, assignments: DataFrame, members: int | None = None) -> DataFrame:
     """The state after changes (snippet_id, old_category, new_category; null where there is none: assigned anew, or deleted). assignments are those after them."""
     moves = changes.where(~F.col("old_category").eqNullSafe(F.col("new_category")))
     ends = moves.select("snippet_id", F.explode(F.array(F.struct(F.col("old_category").alias("category_id"), F.lit(-1).alias("sign")), F.struct(F.col("new_category").alias("category_id"), F.lit(1).alias("sign")))).alias("e"))
@@ -44,10 +42,13 @@ def changed_sums(state: DataFrame, changes: DataFrame, vectors: DataFrame, assig
     after = before + F.col("dassigned")
     touched = touched.withColumns({"before": before, "after": after})
     added = F.when(F.size(F.coalesce("sums", F.array())) == 0, F.col("dsums")).when(F.col("dsums").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "dsums", lambda a, b: a + b))
-    small = (F.col("before") <= members) & (F.col("after") <= members)
+    small = F.lit(True) if members is None else (F.col("before") <= members) & (F.col("after") <= members)
     easy = touched.where(small).select("category_id", F.col("after").alias("assigned"), (F.coalesce("n", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n"), F.coalesce(added, F.array().cast("array<double>")).alias("sums"))
+    followed = state.join(counts, "category_id", "left_anti").unionByName(easy.where(F.col("assigned") > 0))
+    if members is None:
+        return followed
     anew = centroid_sums(vectors, assignments.join(touched.where(~small).select("category_id"), "category_id", "left_semi"), members)
-    return state.join(counts, "category_id", "left_anti").unionByName(easy.where(F.col("assigned") > 0)).unionByName(anew)
+    return followed.unionByName(anew)
 
 
 def centroids_of(state: DataFrame) -> DataFrame:

@@ -51,6 +51,27 @@ def test_query(spark, duck, name):
         assert len(got.columns)
 
 
+@pytest.fixture(scope="module")
+def many_members(tmp_path_factory):
+    """A category of 10,500 members, the oldest 500 of which point elsewhere, and one of 50."""
+    folder = tmp_path_factory.mktemp("members")
+    for name in ("region", "nation", "supplier"):
+        shutil.copy(f"{DATA}/{name}.parquet", folder)
+    made = "SELECT i AS vec_id, CASE WHEN i < 1000 THEN [0, 30] WHEN i < 21000 THEN [1, (i % 7) / 10] ELSE [0.2, -1] END::FLOAT[] AS embedding, CASE WHEN i < 21000 THEN 3 ELSE 4 END::INT AS label FROM range(21100) AS t(i)"
+    duckdb.sql(f"COPY ({made}) TO '{folder}/embeddings.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["nearest_centroid", "category_centroids", "classify_uncategorized", "centroids_after_changes"])
+def test_centroids_of_all_members(spark, many_members, name):
+    """A centroid is the mean of all members, not of the newest 10,000."""
+    connection = duckdb.connect()
+    for path in pathlib.Path(many_members).glob("*.parquet"):
+        connection.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    got, want = catalog.queries()[name](spark, many_members).toPandas(), connection.sql(catalog.oracle_sql()[name]).df()
+    assert len(want) and rows(got) == rows(want)
+
+
 def test_without_training_operators(tmp_path):
     """The library and its entry still import where the folder of training-data operators is gone."""
     for name in ("gleaner", "__spark_entry__.py"):
